@@ -148,3 +148,37 @@ def filter_documents(docs: DataFrame) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return filter_documents(docs)
+
+
+def _limits_sql() -> str:
+    floors = " ".join(f"when '{m}' then {v}" for m, v in MEASURES.items())
+    picks = ", ".join(f"max(case when measure = '{m}' then lim end) as t_{m}" for m in MEASURES)
+    rows = " union all ".join(f"select _lang, _source, '{m}' as measure, {m} as v from r" for m in MEASURES)
+    quart = lambda k, by: f"min(case when 4 * c >= {k} * t then bin end)"
+    sums = lambda by: f"sum(n) over (partition by {by}, measure order by bin) as c, sum(n) over (partition by {by}, measure) as t"
+    return f"""
+v as ({rows}),
+s as (select _lang, _source, measure, ((v >> greatest(0, length(bin(v)) - {SKETCH_BITS})) << greatest(0, length(bin(v)) - {SKETCH_BITS})) as bin, count(*) as n from v group by all),
+o as (select _lang, _source, measure, max(t) as n, {quart(1, "")} as q25, {quart(3, "")} as q75 from (select *, {sums("_lang, _source")} from s) group by all),
+wide as (select _lang, measure, {quart(1, "")} as w25, {quart(3, "")} as w75 from (select *, {sums("_lang")} from (select _lang, measure, bin, sum(n) as n from s group by all)) group by all),
+q as (select _lang, _source, measure, case when n < {MIN_GROUP} then w25 else q25 end as lo, case when n < {MIN_GROUP} then w75 else q75 end as hi from o join wide using (_lang, measure)),
+lim as (select _lang, _source, {picks} from (select *, hi + {SPREADS} * greatest(hi - lo, case measure {floors} end) as lim from q) group by all)"""
+
+
+OP1_SQL = f"""
+with d as (select doc_id, coalesce(lang, '') as _lang, coalesce(source, '') as _source, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l from d),
+g as (select doc_id, i, [w[i], w[i + 1], w[i + 2]] as k from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w)),
+rep as (select doc_id, count(distinct x) as n from (select doc_id, unnest([i, i + 1, i + 2]) as x from (select *, count(*) over (partition by doc_id, k) as c from g) where c > 1) group by doc_id),
+m as (
+  select doc_id, _lang, _source, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
+    len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(n, 0) as n_repeat_words, len(l) as n_lines
+  from w left join rep using (doc_id)),
+r as (
+  select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words as base_failed,
+    (1000 * n_symbols) // greatest(word_chars, 1) as m_symbols, (1000 * n_dup_lines) // greatest(n_lines, 1) as m_dup_lines,
+    (100 * word_chars) // greatest(n_words, 1) as m_word_length, (1000 * n_repeat_words) // greatest(n_words, 1) as m_repeats from m),{_limits_sql()}
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and {" and ".join(f"{m} <= t_{m}" for m in MEASURES)} as kept, {", ".join(f"t_{m}" for m in MEASURES)}
+from r join lim using (_lang, _source)
+"""

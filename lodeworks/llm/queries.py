@@ -6,9 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import decontamination, license_scan, quality_rules, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_decontamination": decontamination.op2_decontamination,
+    "op6_warc": warc.op6_warc,
+    "op8_url_filters": url_filters.op8_url_filters,
+    "op10_license_scan": license_scan.op10_license_scan,
+}
+ORACLE: dict[str, str] = {
+    "op1_quality_rules": quality_rules.OP1_SQL,
+    "op2_decontamination": decontamination.OP2_SQL,
+    "op6_warc": warc.OP6_SQL,
+    "op8_url_filters": url_filters.OP8_SQL,
 }
-ORACLE: dict[str, str] = {}
