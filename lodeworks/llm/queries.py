@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, license_scan, quality_rules, url_filters, warc
+from . import decontamination, license_scan, line_dedup, lm_scoring, minhash_dedup, quality_rules, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_decontamination": decontamination.op2_decontamination,
+    "op3_lm_scoring": lm_scoring.op3_lm_scoring,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_minhash_dedup": minhash_dedup.op5_minhash_dedup,
     "op6_warc": warc.op6_warc,
     "op8_url_filters": url_filters.op8_url_filters,
     "op10_license_scan": license_scan.op10_license_scan,
