@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, license_scan, line_dedup, lm_scoring, minhash_dedup, quality_rules, url_filters, warc
+from . import decontamination, license_scan, line_dedup, lm_scoring, minhash_dedup, quality_rules, suffix_dedup, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_minhash_dedup": minhash_dedup.op5_minhash_dedup,
     "op6_warc": warc.op6_warc,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_url_filters": url_filters.op8_url_filters,
     "op10_license_scan": license_scan.op10_license_scan,
 }
