@@ -1,9 +1,9 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams, probed by every training token window.
 
 Words are the runs of digits, a-z and characters beyond ASCII after lower-casing A-Z. A window is WINDOW words of an item, or a whole
-shorter item. Documents are probed with a hash of fully lower-cased words (equal words have equal hashes), in one codegen
-stage: split, explode positions, broadcast hash join. A hit counts only if the window's words, A-Z lower-cased, equal the item's: hash
-collisions and other case foldings fall out there. Then hits are joined into intervals, and items are counted by distinct text, so that
+shorter item. Documents are probed with a hash of three of a window's fully lower-cased words (equal windows have equal hashes), in one codegen
+stage: split, explode positions, broadcast hash join. A hit counts only if all the window's words, A-Z lower-cased, equal the item's: windows
+that share the three words, hash collisions and other case foldings fall out there. Then hits are joined into intervals, and items are counted by distinct text, so that
 copies of an item cost nothing until their ids are listed.
 
 The set is broadcast while it has at most MAX_BROADCAST windows; a larger one is joined by shuffle.
@@ -39,7 +39,8 @@ def folded(words: Column) -> Column:
 
 
 def window_key(words: Column, at: Column, length: int) -> Column:
-    return F.xxhash64(*(F.get(words, at + j) for j in range(length)))
+    """The hash under which a window is looked up: of its first, middle and last word. Whole windows are compared afterwards."""
+    return F.xxhash64(*(F.get(words, at + j) for j in sorted({0, length // 2, length - 1})))
 
 
 def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -65,8 +66,9 @@ def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     if windows.count() <= MAX_BROADCAST:
         lookup = F.broadcast(lookup)
     d = docs.select("doc_id", F.xxhash64("text").alias("_t"), cased_words(F.col("text")).alias("_orig"))
-    d = d.where(F.size("_orig") >= lengths[0]).withColumn("_low", folded(F.col("_orig")))
-    p = d.select(*KEY, "_orig", "_low", F.posexplode("_low").alias("at", "_word"))
+    d = d.withColumn("_low", folded(F.col("_orig")))
+    # outer: for the inner form Catalyst infers a filter on the array, and moves it below the projections, so all words would be split twice
+    p = d.select(*KEY, "_orig", "_low", F.posexplode_outer("_low").alias("at", "_word"))
     fits = lambda n: F.col("at") + n <= F.size("_low")
     if len(lengths) == 1:
         n = lengths[0]
@@ -95,7 +97,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = ids.groupBy(*KEY).agg(F.sort_array(F.collect_set("item_id")).alias("_items"))
     items = items.select(*KEY, F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"))
     marked = n_hit.join(items, KEY).withColumnRenamed("doc_id", "_id").withColumnRenamed("_t", "_ht")
-    every = docs.select("doc_id", F.xxhash64("text").alias("_t"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(CASED_WORD)).cast("long").alias("n_words"))
+    every = docs.select("doc_id", F.xxhash64("text").alias("_t"), F.size(cased_words(F.col("text"))).cast("long").alias("n_words"))
     zero = F.lit(0).cast("long")
     return every.join(marked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_ht")), "left").select(
         *KEY,
