@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, license_scan, line_dedup, lm_scoring, minhash_dedup, quality_rules, suffix_dedup, url_filters, warc
+from . import decontamination, license_scan, line_dedup, lm_scoring, minhash_dedup, piece_sampling, quality_rules, suffix_dedup, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc": warc.op6_warc,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_url_filters": url_filters.op8_url_filters,
+    "op9_piece_sampling": piece_sampling.op9_piece_sampling,
     "op10_license_scan": license_scan.op10_license_scan,
 }
 ORACLE: dict[str, str] = {

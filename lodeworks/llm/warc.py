@@ -92,7 +92,9 @@ def write_archive(records: DataFrame, path: str, min_bytes: int = 0) -> None:
     wanted = winners.select(F.col("winner").alias("record_id"), "key")
     # the ids come from small rows; payloads meet them once, by id, and an id with several payloads is told apart by the key
     bodies = keyed.join(wanted, "record_id").where(F.col("key") == F.concat_ws("-", F.sha2("payload", 256), F.length("payload").cast("string")))
-    bodies.dropDuplicates(["record_id", "key"]).select("key", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    if known.groupBy("record_id", "key").agg(F.count("*").alias("n")).where("n > 1").take(1):  # repeated rows; else payloads needn't move again
+        bodies = bodies.dropDuplicates(["record_id", "key"])
+    bodies.select("key", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
