@@ -137,8 +137,10 @@ class Scanner:
         ordered = sorted({*seeds}, key=lambda s: (s[1], s[0]))
         for i, (at, place, length) in enumerate(ordered):
             covered, first = length, place
-            for j in range(max(0, i - 64), i):  # chains look back over so many seeds
+            for j in range(i - 1, -1, -1):
                 a, p, n = ordered[j]
+                if place - p > 2 * total:  # no earlier seed is near enough
+                    break
                 if a + n <= at and p + n <= place and place - (p + n) <= total and best[j][0] + length > covered:
                     covered, first = best[j][0] + length, best[j][1]
             best.append((covered, first))
