@@ -57,7 +57,7 @@ def aggregate(rows: DataFrame, d: Definition, wanted: Sequence[tuple[str, str]])
         total = F.sum(F.when(F.size(vs) > 0, F.aggregate(vs, zero, lambda a, x: (a + x).cast("decimal(38,0)") if whole else a + x)))
         if whole:
             low, high = (0, 2**64 - 1) if f.type is Type.UNSIGNED else (-(2**63), 2**63 - 1)
-            inside = total.between(F.lit(low).cast("decimal(38,0)"), F.lit(high).cast("decimal(38,0)"))
+            inside = total.between(F.lit(str(low)).cast("decimal(38,0)"), F.lit(str(high)).cast("decimal(38,0)"))
         else:
             inside = F.abs(total) <= 1.7976931348623157e308
         fail = F.raise_error(F.lit(f"the sum of {name} is out of range"))

@@ -56,7 +56,7 @@ def _scalar(v: Column, t: Type) -> Column:
     """The typed value of a scalar variant, null where its type doesn't fit."""
     kind = _kind(v)
     decimal, whole = kind.startswith("DECIMAL"), kind.rlike(r"^DECIMAL\(\d+,0\)$")
-    big = lambda low, high: whole & F.try_variant_get(v, "$", "decimal(38,0)").between(F.lit(low).cast("decimal(38,0)"), F.lit(high).cast("decimal(38,0)"))
+    big = lambda low, high: whole & F.try_variant_get(v, "$", "decimal(38,0)").between(F.lit(str(low)).cast("decimal(38,0)"), F.lit(str(high)).cast("decimal(38,0)"))
     number = F.try_variant_get(v, "$", "double")
     return {
         Type.BOOLEAN: F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean")),
