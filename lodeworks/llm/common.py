@@ -60,6 +60,16 @@ def hot_join(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, to
     return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
 
 
+def neutral(docs: DataFrame, *keep: str) -> tuple[DataFrame, list[str]]:
+    """docs with columns c0, c1, ... in place of all but those to keep, so that no name can clash with a working column; and the names to restore()."""
+    return docs.toDF(*(c if c in keep else f"c{i}" for i, c in enumerate(docs.columns))), docs.columns
+
+
+def restore(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns of neutral() under their own names and in their order; working columns go."""
+    return df.select(*(F.col(f"c{i}" if f"c{i}" in df.columns else n).alias(n) for i, n in enumerate(names)))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read, rows_of, utf8
+from .common import materialize, neutral, read, restore, rows_of, utf8
 from .exchange import CHUNK_BYTES, estimated_bytes, expand, ranges_for, squeeze
 from .minhash_dedup import mix
 
@@ -155,7 +155,7 @@ class _Chunk:
         ask = np.zeros(len(key), bool)
         ask[order[(new_class & ~hot) | (~new_class & ~again & ~hot) | (new_key & hot)]] = True
         kind[order] = c
-        where = ((key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+        where = ((mix(key) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)  # anchors are minima, so their hashes are small: mixed again
         asked = np.where(ask, where + 1, 0).astype(np.uint32)
         chunk = uuid.uuid4().hex
         for r in np.unique(where[ask]).tolist():
@@ -413,7 +413,8 @@ def with_spans(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The documents, their repeated bytes cut out of the text."""
-    return with_spans(docs).mapInArrow(cut, docs.schema)
+    plain, names = neutral(docs, "doc_id", "text")
+    return restore(with_spans(plain).mapInArrow(cut, plain.schema), names)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
