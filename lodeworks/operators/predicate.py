@@ -1,4 +1,5 @@
-"""Predicates on index records. Each is true or false for every record, never null; a field of several values matches by any of them."""
+"""Predicates on index records. A field of several values matches by any of them. A predicate is a set of records: null counts as false, which filters do by
+themselves, and negation does first; so plain comparisons stay plain and reach the Parquet scan."""
 
 from __future__ import annotations
 
@@ -104,7 +105,7 @@ def literal(field: Field, value: Any) -> Column:
 
 def _any(field: Field, test) -> Column:
     v = F.col(f"`{field.name}`.v")
-    return F.coalesce(F.exists(v, test) if field.multi else test(v), F.lit(False))
+    return F.exists(v, test) if field.multi else test(v)
 
 
 def compile_(p: Predicate, d: Definition) -> Column:
