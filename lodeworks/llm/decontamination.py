@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, materialize, read
+from .common import ascii_lower, materialize, neutral, read, restore
 
 WINDOW = 10
 MAX_BROADCAST = 500_000
@@ -118,8 +118,9 @@ def drop_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows, _ = benchmark_windows(benchmark)
     dirty = hits(docs, materialize(windows, "windows")).select(F.col("doc_id").alias("_id"), F.col("_t").alias("_ht")).distinct()
     dirty = materialize(dirty, "contaminated")
+    docs, names = neutral(docs, "doc_id", "text")
     keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    return keyed.join(dirty, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_ht")), "left_anti").select(*docs.columns)
+    return restore(keyed.join(dirty, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_ht")), "left_anti"), names)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -127,13 +128,14 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows, _ = benchmark_windows(benchmark)
     found = hits(docs, materialize(windows, "windows")).groupBy(*KEY).agg(F.collect_set(F.struct("at", "len")).alias("_spans"))
     found = found.select(F.col("doc_id").alias("_id"), F.col("_t").alias("_ht"), F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["at"], s["at"] + s["len"] - 1)))).alias("_hit"))
+    docs, names = neutral(docs, "doc_id", "text")
     keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
     joined = keyed.join(materialize(found, "spans"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_ht")), "left")
     joined = joined.withColumns({"_words": cased_words(F.col("text")), "_gaps": F.split("text", CASED_WORD), "_flags": F.sort_array("_hit")})
     # a map of hit positions would be searched linearly; hits are few against words, so positions to keep come from a set difference
     joined = joined.withColumn("_keep", F.array_except(F.sequence(F.lit(0), F.size("_words") - 1), F.col("_flags")))
     cut = F.concat(F.array_join(F.expr("transform(_keep, i -> concat(_gaps[i], _words[i]))"), ""), F.element_at("_gaps", -1))
-    return joined.withColumn("text", F.when(F.col("_hit").isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
+    return restore(joined.withColumn("text", F.when(F.col("_hit").isNull(), F.col("text")).otherwise(cut)), names)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

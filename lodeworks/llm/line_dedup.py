@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_join, materialize, read, rows_of, utf8
+from .common import hot_join, materialize, neutral, read, restore, rows_of, utf8
 
 ROLL, MEAN_LINES, MIN_LINES = 2, 4, 2
 LAST = 2**63 - 1
@@ -116,7 +116,7 @@ def removals(docs: DataFrame) -> DataFrame:
     rows = materialize(hot_join(found, shared, ["h"], "n", found.count()), "candidates")
     asked = rows.groupBy(*KEY).agg(F.collect_list(F.struct("chunk", "h")).alias("_asked"))
     bodies = keyed.where("text is not null").dropDuplicates(KEY) if _repeats(docs) else keyed.where("text is not null")
-    bodies = bodies.join(asked, KEY).mapInArrow(fetch, "_id long, _t long, chunk int, h long, bytes binary")
+    bodies = bodies.join(asked.hint("merge"), KEY).mapInArrow(fetch, "_id long, _t long, chunk int, h long, bytes binary")
     place = F.struct("_id", "_t", "chunk")
     same = materialize(bodies.groupBy("h", "bytes").agg(F.min(place).alias("first"), F.count("*").alias("copies")).select("h", "first", "copies", F.sha2("bytes", 256).alias("digest")), "compared")
     texts = same.groupBy("h").agg(F.count("*").alias("kinds"), F.first("first").alias("first"), F.first("copies").alias("n"))
@@ -135,10 +135,12 @@ def _repeats(docs: DataFrame) -> bool:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The documents with what stays of their text, and _n_lines, _n_chunks (removed) and _n_lost."""
+    """doc_id, text (what stays of it), the other columns as neutral() names them, _n_lines, _n_chunks (removed) and _n_lost."""
+    docs, _ = neutral(docs, "doc_id", "text")
     gone = removals(docs)
     keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(LAST)), "_t": F.xxhash64("text")})
-    joined = keyed.join(gone, KEY, "left").drop(*KEY)
+    # a plan for every size: the list isn't broadcast where it happens to be short
+    joined = keyed.join(gone.hint("merge"), KEY, "left").drop(*KEY)
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if n != "text")
     return joined.mapInArrow(cut, f"{schema}, text string, _n_lines long, _n_chunks long, _n_lost long")
 
@@ -151,4 +153,6 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which nothing is left but blank lines go, if they lost something."""
     done = dedup(docs).where((F.col("_n_lost") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
-    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else done.select(*docs.columns)
+    if "n_chars" in docs.columns:
+        done = done.withColumn(f"c{docs.columns.index('n_chars')}", F.length("text").cast("long"))
+    return restore(done, docs.columns)

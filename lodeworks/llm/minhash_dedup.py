@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, hot_join, materialize, read, rows_of, utf8
+from .common import WordHashes, hot_join, materialize, neutral, read, restore, rows_of, utf8
 from .components import components
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -233,7 +233,9 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, p: Params = PIPELINE) -> DataFrame:
-    """One document of each group, with all its columns, and every document without words. Of rows that repeat the kept id and text, one stays."""
+    """One document of each group, with all its columns, and every document without words. Of rows that repeat the kept id and text, one stays. Rows
+    without an id all stay, because a verdict can't name them."""
+    docs, names = neutral(docs, "doc_id", "text")
     judged = materialize(groups(docs, p), "judged")
     again = judged.where("kept and node is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
     gone = judged.where("not kept").select("doc_id").distinct()
@@ -241,14 +243,14 @@ def keep_one(docs: DataFrame, p: Params = PIPELINE) -> DataFrame:
     plain = docs.join(gone.join(mixed, "doc_id", "left_anti"), "doc_id", "left_anti")
     twice = again.where("n > 1").select("doc_id").union(mixed.select("doc_id")).distinct()
     if not twice.take(1):
-        return plain
+        return restore(plain, names)
     keep = judged.where("kept and node is not null").select("doc_id", "node").distinct()
     columns = docs.columns
     marked = docs.join(twice, "doc_id", "left_semi")
     nodes = marked.select("doc_id", "text").distinct().mapInArrow(_noder(p), "doc_id long, node long, text string")
     right = nodes.join(keep, ["doc_id", "node"], "left_semi").select("doc_id", "text")
     sole = marked.join(right, ["doc_id", "text"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return plain.join(twice, "doc_id", "left_anti").select(*columns).unionByName(sole.select(*columns))
+    return restore(plain.join(twice, "doc_id", "left_anti").select(*columns).unionByName(sole.select(*columns)), names)
 
 
 def _noder(p: Params) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import hot_join, materialize, read
+from .common import hot_join, materialize, neutral, read, restore
 
 SPACE = r"[\x20\x09-\x0D]"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -139,11 +139,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns. Verdicts meet documents by id and text digest, so that repeated
     ids with other texts are told apart."""
+    docs, names = neutral(docs, "doc_id", "lang", "source", "text")
     key = {"_qid": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_qtext": F.xxhash64("text", "lang", "source")}
     keyed = docs.withColumns(key)
     marked = docs.select(F.struct(key["_qid"].alias("a"), key["_qtext"].alias("b")).alias("doc_id"), "lang", "source", "text")
     passed = judge(marked).where("kept").select(F.col("doc_id.a").alias("_qid"), F.col("doc_id.b").alias("_qtext")).distinct()
-    return keyed.join(passed, ["_qid", "_qtext"], "left_semi").select(*docs.columns)
+    return restore(keyed.join(passed, ["_qid", "_qtext"], "left_semi"), names)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
