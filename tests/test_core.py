@@ -208,8 +208,8 @@ def test_chain_forgery(spark):
 
 
 def test_pushdown(spark, sf):
-    plan = search.select_page(spark.read.parquet(f"{sf}/documents.parquet").select(F.lit("p").alias("source_path"), F.lit(1).alias("source_version"), F.lit(0).alias("source_record"), F.lit("p").alias("result_path"), F.lit(1).alias("result_version"), F.struct(F.lit(True).alias("present"), F.lit(False).alias("has_null"), F.col("lang").alias("v")).alias("lang")), Builder(Definition("x")).keyword("lang", E).build(), Q.equal("lang", "en"), (), 4)
+    plan = search.select_page(spark.read.parquet(f"{sf}/documents.parquet").select(F.lit("p").alias("source_path"), F.col("doc_id").alias("source_version"), F.lit(0).alias("source_record"), F.lit("p").alias("result_path"), F.col("doc_id").alias("result_version"), F.struct(F.lit(True).alias("present"), F.lit(False).alias("has_null"), F.col("lang").alias("v")).alias("lang")), Builder(Definition("x")).keyword("lang", E).build(), Q.equal("lang", "en"), (), 4)
     text = plan._jdf.queryExecution().toString()
-    assert "EqualTo(lang,en)" in text and "TakeOrderedAndProject" in text and "ReadSchema: struct<lang:string>" in text
+    assert "EqualTo(lang,en)" in text and "TakeOrderedAndProject" in text and "ReadSchema: struct<doc_id:bigint,lang:string>" in text
     assert files.pushdown("phrase") == "inexact" and files.pushdown("x") == "unsupported"
     assert Type.KEYWORD == "keyword"
