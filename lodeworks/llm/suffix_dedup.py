@@ -51,12 +51,12 @@ def longest_previous_factor(data: bytes) -> np.ndarray:
     """LPF of one text: the length of the longest prefix of each suffix that also starts earlier. Suffix array by prefix doubling, common prefixes of
     neighbours, and for each suffix its previous and next smaller position in suffix order."""
     n = len(data)
-    rank = np.frombuffer(data, np.uint8).astype(np.int64) + 1
+    rank = np.unique(np.frombuffer(data, np.uint8), return_inverse=True)[1].astype(np.int64) + 1
     step = 1
     while n and rank.max() < n:
         after = np.zeros(n, np.int64)
-        after[:-step] = rank[step:] if step < n else 0
-        code = rank * (n + 257) + after
+        after[: n - step] = rank[step:]
+        code = rank * (n + 1) + after
         rank = np.unique(code, return_inverse=True)[1].astype(np.int64) + 1
         step *= 2
     order = np.argsort(rank, kind="stable").tolist()
