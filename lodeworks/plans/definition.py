@@ -9,7 +9,7 @@ from dataclasses import asdict, dataclass, field, replace
 from enum import StrEnum
 
 KINDS = ("path", "metadata", "typed", "text", "vector", "hybrid", "tree_manifest", "tensor_manifest")
-METADATA = ("path", "version", "content_type", "content_length", "content_hash", "committed_at_unix_millis")
+METADATA = tuple("path version content_type content_length content_hash committed_at_unix_millis".split())
 METRICS = ("dot", "cosine", "euclidean")
 NAME_BYTES = 128
 

@@ -9,16 +9,17 @@ from ..functions.scalar import ancestors
 from ..plans.definition import Invalid
 
 
-def _by_prefix(rows: DataFrame, definitions: DataFrame) -> DataFrame:
-    """rows (path, ...) met with every definition (prefix) that is an ancestor of the path: ancestors are exploded, then it is an equi join. A path meets a definition
-    once at most."""
-    return rows.withColumn("prefix", F.explode(ancestors(F.col("path")))).join(definitions.select("prefix").distinct(), "prefix")
+def by_prefix(rows: DataFrame, definitions: DataFrame, **sums: str) -> DataFrame:
+    """(prefix, sums): rows (path, ...) summed up for every definition (prefix) that is an ancestor of the path. Ancestors are exploded and summed up first, with
+    partial sums in each task, so the prefix of everything is no hot key; then definitions are an equi join."""
+    every = rows.withColumn("prefix", F.explode(ancestors(F.col("path")))).groupBy("prefix").agg(*(F.sum(c).cast("long").alias(n) for n, c in sums.items()))
+    return every.join(definitions.select("prefix").distinct(), "prefix")
 
 
 def baseline(versions: DataFrame, definitions: DataFrame) -> DataFrame:
     """(prefix, object_count, logical_bytes): live paths, and the bytes of all retained versions. Paths are summed up first, so a hot prefix gets one row per path."""
     per_path = versions.groupBy("path").agg((~F.max_by("deleted", "version")).cast("int").alias("live"), F.sum(F.coalesce("length", F.lit(0))).alias("bytes"))
-    met = _by_prefix(per_path, definitions).groupBy("prefix").agg(F.sum("live").cast("long").alias("object_count"), F.sum("bytes").cast("long").alias("logical_bytes"))
+    met = by_prefix(per_path, definitions, object_count="live", logical_bytes="bytes")
     zero = F.lit(0).cast("long")
     return definitions.select("prefix").distinct().join(met, "prefix", "left").select("prefix", F.coalesce("object_count", zero).alias("object_count"), F.coalesce("logical_bytes", zero).alias("logical_bytes"))
 
@@ -31,7 +32,7 @@ def deltas(before: DataFrame, changes: DataFrame, definitions: DataFrame) -> Dat
     moved = now.join(old, "path", "left")
     latest = F.when(F.col("v").isNull() | (F.col("_old") > F.col("v")), F.coalesce("was", F.lit(0))).otherwise((~F.col("gone")).cast("int"))
     signed = moved.select("path", (latest - F.coalesce("was", F.lit(0))).alias("objects"), "bytes")
-    return _by_prefix(signed, definitions).groupBy("prefix").agg(F.sum("objects").cast("long").alias("object_count"), F.sum("bytes").cast("long").alias("logical_bytes"))
+    return by_prefix(signed, definitions, object_count="objects", logical_bytes="bytes")
 
 
 def add(totals: DataFrame, more: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def traffic(flushes: DataFrame, definitions: DataFrame) -> DataFrame:
     """flushes: node, flush_id, path, inbound, outbound. A flush that is sent again counts once."""
     once = flushes.dropDuplicates(["node", "flush_id", "path"])
     per_path = once.groupBy("path").agg(F.sum("inbound").alias("inbound"), F.sum("outbound").alias("outbound"))
-    return _by_prefix(per_path, definitions).groupBy("prefix").agg(F.sum("inbound").cast("long").alias("inbound"), F.sum("outbound").cast("long").alias("outbound"))
+    return by_prefix(per_path, definitions, inbound="inbound", outbound="outbound")
 
 
 class Definitions:

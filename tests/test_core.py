@@ -157,7 +157,7 @@ def test_two_owners_of_a_path(spark):
 
 
 def test_paths(spark):
-    rows = spark.createDataFrame([(p,) for p in ("a/b", "/a", "a/", "a//b", "a/../b", "a/.system/b", "", "a\x01")], "path string")
+    rows = spark.createDataFrame([(p,) for p in "x/y|/x|x/|x//y|x/../y|x/.system/y||x\x01".split("|")], "path string")
     assert [r[0] for r in rows.select(X.valid_path(F.col("path"))).collect()] == [True, False, False, False, False, True, False, False]
     assert rows.where(X.reserved(F.col("path"))).count() == 1
     assert spark.range(1).select(X.ancestors(F.lit("a/b/c"))).first()[0] == ["", "a", "a/b", "a/b/c"]
