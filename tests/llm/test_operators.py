@@ -344,8 +344,13 @@ def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
 
 # --- 9 -------------------------------------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
-def pieces():
-    return piece_sampling.Pieces()
+def words():
+    return piece_sampling.Words(piece_sampling.Pieces())
+
+
+@pytest.fixture(scope="module")
+def pieces(words):
+    return words.pieces
 
 
 def segmentations(pieces, text):
@@ -372,9 +377,9 @@ def segmentations(pieces, text):
     return {s: w / total for s, w in found}
 
 
-def test_pieces_are_sampled_without_replacement(pieces):
+def test_pieces_are_sampled_without_replacement(words, pieces):
     p, n = segmentations(pieces, "the an"), 6000
-    got = piece_sampling.sample(["the an"] * n, list(range(n)), pieces, 3)
+    got = piece_sampling.sample(["the an"] * n, list(range(n)), words, 3)
     ids = [[tuple(x[0].tolist()) for x in r] for r in got]
     assert all(len(set(x)) == 3 for x in ids) and all(r[0][2] > r[1][2] > r[2][2] for r in got)
     assert all(math.isclose(x[1], math.log(p[tuple(x[0].tolist())]), abs_tol=1e-5) for r in got[:200] for x in r)
@@ -391,25 +396,37 @@ def test_pieces_are_sampled_without_replacement(pieces):
     assert abs(np.mean([sum(len(x[0]) * math.exp(x[1]) / x[3] for x in r) for r in got]) - mean) < 0.01  # inclusion scores make sums unbiased
 
 
-def test_pieces_round_trip_and_seed(pieces):
+def test_pieces_round_trip_and_seed(words, pieces):
     texts = ["", "a", " a  b ", "x\n\ty▁z", "퟿日本語 😀 ñ\x00", H.BASE * 30, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa" * 40]
-    got = piece_sampling.sample(texts, [3] * len(texts), pieces)
+    got = piece_sampling.sample(texts, [3] * len(texts), words)
     for t, r in zip(texts, got, strict=True):
         assert r and all(pieces.decode(x[0]) == t.encode() for x in r) and len({x[0].tobytes() for x in r}) == len(r)
-    alone = piece_sampling.sample([texts[5]], [3], pieces)[0]
+    alone = piece_sampling.sample([texts[5]], [3], words)[0]
     assert all((a[0] == b[0]).all() and math.isclose(a[2], b[2]) for a, b in zip(alone, got[5], strict=True))
     assert len(got[0]) == 1 and got[0][0][3] == 1.0
 
 
-def test_pieces_search_is_complete_when_values_are_low(pieces, monkeypatch):
+def test_pieces_search_is_complete_when_values_are_low(words, monkeypatch):
     texts = [H.BASE * 5, "the an"]
-    want = piece_sampling.sample(texts, [1, 2], pieces, 3)
+    want = piece_sampling.sample(texts, [1, 2], words, 3)
     monkeypatch.setattr(piece_sampling.Search, "FLOOR", -0.5)
     monkeypatch.setattr(piece_sampling.Search, "SPAN", 37.0)
-    got = piece_sampling.sample(texts, [1, 2], pieces, 3)
+    got = piece_sampling.sample(texts, [1, 2], words, 3)
     assert [[x[0].tolist() for x in r] for r in got] == [[x[0].tolist() for x in r] for r in want]
 
 
+def test_pieces_of_kept_words(pieces):
+    """Kept lattices change no sample."""
+    texts = [H.BASE, "the cat sat on the mat " * 5, "other words of one batch"]
+    fresh = [piece_sampling.sample([t], [i], piece_sampling.Words(pieces))[0] for i, t in enumerate(texts)]
+    words = piece_sampling.Words(pieces)
+    for _ in range(words.LEARN + 2):
+        got = piece_sampling.sample(texts, [0, 1, 2], words)
+        for a, b in zip(got, fresh, strict=True):
+            assert [x[0].tolist() for x in a] == [x[0].tolist() for x in b]
+    assert words.kept is not None and "▁the" in words.ids and "▁other" in words.ids
+
+
 def test_pieces_awkward(spark):
     got = piece_sampling.sample_documents(H.awkward(spark)).collect()
     assert len(got) == 13 and [r.samples for r in got if r.doc_id == 2] == [None]
