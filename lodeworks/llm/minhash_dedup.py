@@ -266,3 +266,18 @@ def _noder(p: Params) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one(docs)
+
+
+OP5_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select distinct doc_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * k >= 85 * (nx.n + ny.n - k)),
+e as (select x, y from l union all select y, x from l),
+r(doc_id, root) as (select doc_id, doc_id from documents union select e.y, r.root from r join e on e.x = r.doc_id)
+select r.doc_id, coalesce(any_value(n), 0) as n_shingles, min(root) as component_id, r.doc_id = min(root) as kept
+from r left join n on n.doc_id = r.doc_id group by r.doc_id
+"""

@@ -23,6 +23,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op1_quality_rules": quality_rules.OP1_SQL,
     "op2_decontamination": decontamination.OP2_SQL,
+    "op5_minhash_dedup": minhash_dedup.OP5_SQL,
     "op6_warc": warc.OP6_SQL,
+    "op7_suffix_dedup": suffix_dedup.OP7_SQL,
     "op8_url_filters": url_filters.OP8_SQL,
 }

@@ -420,3 +420,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.mapInArrow(report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+OP7_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select doc_id, p, substr(h, 2 * p + 1, 200) as s from (select doc_id, h, unnest(range(0, length(h) // 2 - 99)) as p from d where length(h) >= 200)),
+g as (select doc_id, p from (select doc_id, p, row_number() over (partition by s order by doc_id, p) as r from w) where r > 1),
+i as (select doc_id, p, coalesce((p > lag(p) over (partition by doc_id order by p) + 100)::int, 1) as new from g),
+sp as (select doc_id, min(p) as a, max(p) + 100 as b from (select *, sum(new) over (partition by doc_id order by p) as k from i) group by doc_id, k),
+kp as (
+  select doc_id, string_agg(piece, '' order by a) as k from (
+    select sp.doc_id, a, substr(h, 2 * coalesce(lag(b) over (partition by sp.doc_id order by a), 0) + 1, 2 * (a - coalesce(lag(b) over (partition by sp.doc_id order by a), 0))) as piece from sp join d on d.doc_id = sp.doc_id
+    union all
+    select m.doc_id, m.b, substr(h, 2 * m.b + 1) from (select doc_id, max(b) as b from sp group by doc_id) m join d on d.doc_id = m.doc_id)
+  group by doc_id),
+t as (select doc_id, sum(b - a)::bigint as n, count(*) as k from sp group by doc_id)
+select d.doc_id, length(h) // 2 as n_bytes, coalesce(t.n, 0) as n_removed, coalesce(t.k, 0) as n_spans, sha256(unhex(coalesce(kp.k, h))) as kept_sha256
+from d left join t on t.doc_id = d.doc_id left join kp on kp.doc_id = d.doc_id
+"""
