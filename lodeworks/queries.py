@@ -274,7 +274,7 @@ def _tensor_objects(spark, sf):
     return p.select(F.concat(F.lit("t/"), key.cast("string")).alias("path"), key.alias("version"), F.lit("application/json").alias("content_type"), F.to_json(r).alias("body"))
 
 
-@query("p11_tensor_manifest", "select 'w/' || p_partkey as path, p_brand as model_id, p_name as tensor_name, p_size as size from part")
+@query("p11_tensor_manifest", "select 'w/' || p_partkey as path, p_brand as model_id, p_name as tensor_name, p_size::bigint as size from part")
 def _(spark, sf):
     r = projection.tensor_manifest(_tensor_objects(spark, sf), Definition("n", kind="tensor_manifest"))
     return r.select(F.col("result_path").alias("path"), "model_id", "tensor_name", F.col("shape")[0].alias("size"))
@@ -612,7 +612,7 @@ def _(spark, sf):
     return search.search_vector(_vector_records(spark, sf), Definition("v", kind="vector", dimensions=64), _QUERY, 10).select(F.col("result_path").alias("path"))
 
 
-@query("r14_query_normalisation", "select 1.0 as norm")
+@query("r14_query_normalisation", "select 1.0::double as norm")
 def _(spark, sf):
     q = search.query_vector(Definition("v", kind="vector", dimensions=64, normalize=True), _QUERY)
     return spark.createDataFrame([(round(sum(x * x for x in q) ** 0.5, 5),)], "norm double")
@@ -644,7 +644,7 @@ def _(spark, sf):
     return rows.select(F.col("result_path").alias("path"), F.round(score, 3).alias("score"))
 
 
-@query("r17_hybrid_weights", "select 1.0 as text_weight, 1.0 as vector_weight, true as one_zero_refused")
+@query("r17_hybrid_weights", "select 1.0::double as text_weight, 1.0::double as vector_weight, true as one_zero_refused")
 def _(spark, sf):
     wt, wv = _HYBRID.weights()
     try:
@@ -1197,7 +1197,7 @@ def _(spark, sf):
     return advisories.verify(r, there).agg(F.count("*").alias("missing"))
 
 
-@query("o06_counters", f"with {FEED_SQL} select 3 as entries, 1 as malformed, 1 as oversized, count(*) as records, count(*) filter (package = '') as unscoped, count(*) filter (k in (select o_orderkey from orders where o_orderstatus = 'F')) as withdrawn from split")
+@query("o06_counters", f"with {FEED_SQL} select 3::bigint as entries, 1::bigint as malformed, 1::bigint as oversized, count(*) as records, count(*) filter (package = '') as unscoped, count(*) filter (k in (select o_orderkey from orders where o_orderstatus = 'F')) as withdrawn from split")
 def _(spark, sf):
     entries = spark.createDataFrame([("ok",), ("malformed",), ("oversized",)], "state string")
     return advisories.counters(entries, advisories.normalise(D.feed(spark, sf)))
