@@ -226,3 +226,21 @@ def objects_of(subject: tuple[str, str], namespace: str, permission: str, tuples
 
 def tuple_rows(rows: Iterable[tuple]) -> list[tuple]:
     return [(*r, None)[:6] + (1, None) for r in rows]
+
+
+def object_schema() -> Schema:
+    """The roles of stores: a system holds tenants, these buckets, these objects; each level's readers, writers and administrators count below it."""
+    users = Direct((Selector("object", "principal"), Selector("userset", "group", "member"), Selector("public")))
+    out: dict[str, dict[str, Direct | Permission]] = {"principal": {}, "group": {"member": Direct((Selector("object", "principal"), Selector("userset", "group", "member")))}}
+    above = None
+    for level in ("system", "tenant", "bucket", "object"):
+        up = () if above is None else (above,)
+        roles: dict[str, Direct | Permission] = {"reader": users, "writer": users, "admin": users}
+        if up:
+            roles["parent"] = Direct((Selector("object", above),))
+        through = lambda p: tuple(Through("parent", p) for _ in up)  # noqa: B023, E731
+        roles["administer"] = Permission((Inherit("admin"), *through("administer")))
+        roles["write"] = Permission((Inherit("writer"), Inherit("administer"), *through("write")))
+        roles["read"] = Permission((Inherit("reader"), Inherit("write"), *through("read")))
+        out[level], above = roles, level
+    return Schema(out).compile()

@@ -82,3 +82,16 @@ def catch_up(entries: DataFrame, group, index: int, hash_: str, max_bytes: int)
             raise Invalid("unknown position")
     w = Window.partitionBy("group").orderBy("index")
     return mine.where(F.col("index") > index).withColumn("_b", F.sum(F.octet_length("payload")).over(w)).where(F.col("_b") <= max_bytes).drop("_b").orderBy("index")
+
+
+def describe(entries: DataFrame, kinds: DataFrame) -> DataFrame:
+    """kinds: group, kind (source, projection or standalone). Every group with its tail; groups without entries too."""
+    tail = entries.groupBy("group").agg(F.count("*").alias("entries"), F.max_by(F.struct("index", "hash"), "index").alias("t"))
+    return kinds.join(tail, "group", "left").select("group", "kind", F.coalesce("entries", F.lit(0)).alias("entries"), F.coalesce("t.index", F.lit(0)).alias("index"), F.coalesce("t.hash", F.lit(GENESIS)).alias("hash"))
+
+
+def read_snapshot(snapshots: DataFrame, group, offset: int, length: int) -> DataFrame:
+    """snapshots: group, index, body (binary). A piece of a group's newest snapshot; offsets count from 0."""
+    mine = snapshots.where(F.col("group") == group)
+    newest = mine.groupBy("group").agg(F.max_by(F.struct("index", "body"), "index").alias("s"))
+    return newest.select("group", "s.index", F.substring("s.body", offset + 1, length).alias("piece"), F.octet_length("s.body").alias("size"))

@@ -1255,3 +1255,46 @@ def _(spark, sf):
 @query("d10_ancestors", f"with {DOCS_SQL} select path, ['', 'docs', 'docs/' || source, path] as prefixes from docs")
 def _(spark, sf):
     return D.docs_index(spark, sf).select(F.col("source_path").alias("path"), X.ancestors(F.col("source_path")).alias("prefixes"))
+
+
+# --- what the survey leaves open -----------------------------------------------------------------------------------------
+@query("j10_quorum_read", f"with {VERSIONS_SQL}, h as (select path, version, hash, 1 + version % 3 as held from versions where not deleted) select path, max(version) as version from h where held >= 2 group by path")
+def _(spark, sf):
+    """Each version is held by one to three replicas; two are a quorum."""
+    v = D.versions(spark, sf).where("not deleted")
+    held = v.withColumn("replica", F.explode(F.sequence(F.lit(0), (F.col("version") % 3).cast("int"))))
+    return objects.quorum_read(held.select("replica", "path", "version", "hash"), 2).select("path", "version")
+
+
+@query("t06_retention", f"with {JOURNAL_SQL} select source, case when source = 'n1' then least(greatest(min(off), max(off) - 49), 5) else greatest(min(off), max(off) - 49) end as floor, source = 'n1' and greatest(min(off), max(off) - 49) > 5 as blocked from journal group by source")
+def _(spark, sf):
+    j = D.journal(spark, sf)
+    return journal.retention(j, j.where("source = 'n1'").select("source").distinct().withColumn("next", F.lit(5).cast("long")), 50)
+
+
+@query("k01_groups", f"with {_CHAIN_SQL}, t as (select grp, count(*) as entries from chain group by grp) select c_custkey as group_id, case when c_custkey % 2 = 0 then 'source' else 'standalone' end as kind, coalesce(entries, 0) as entries from customer left join t on grp = c_custkey")
+def _(spark, sf):
+    kinds = table(spark, sf, "customer").select(F.col("c_custkey").alias("group"), F.when(F.col("c_custkey") % 2 == 0, "source").otherwise("standalone").alias("kind"))
+    return grouplog.describe(_chains(spark, sf), kinds).select(F.col("group").alias("group_id"), "kind", "entries")
+
+
+@query("k06_snapshots", "with s as (select string_agg(o_orderkey, ',' order by o_orderkey) as b from orders where o_custkey = (select min(o_custkey) from orders)) select substr(b, 4, 8) as piece, length(b)::int as size from s")
+def _(spark, sf):
+    o = table(spark, sf, "orders")
+    s = o.groupBy(F.col("o_custkey").alias("group")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ",").cast("binary").alias("body"), F.count("*").alias("index"))
+    r = grouplog.read_snapshot(s, s.agg(F.min("group")).first()[0], 3, 8)
+    return r.select(F.col("piece").cast("string").alias("piece"), "size")
+
+
+@query("z09_object_roles", "select doc_id::varchar as id from documents where source in ('src1', 'src2')")
+def _(spark, sf):
+    """A reader of one bucket and an administrator of another reads their objects."""
+    none = F.lit(None).cast("string")
+    d = table(spark, sf, "documents").select(F.lit("object").alias("namespace"), F.col("doc_id").cast("string").alias("id"), F.lit("parent").alias("relation"), F.lit("bucket").alias("subject_namespace"), F.col("source").alias("subject_id"), none.alias("subject_relation"))
+    roles = spark.createDataFrame([("bucket", "src1", "reader", "principal", "p", None), ("bucket", "src2", "admin", "group", "g", "member"), ("group", "g", "member", "principal", "p", None)], "namespace string, id string, relation string, subject_namespace string, subject_id string, subject_relation string")
+    return authz.objects_of(("principal", "p"), "object", "read", d.unionByName(roles), authz.object_schema())
+
+
+@query("d09_query_statistics", f"with {PARTS_SQL} select count(*) as records, count(*) filter (large) as candidates, count(*) filter (large and key % 2 = 0) as visible, count(*) filter (large and key % 2 = 1) as rejected from parts")
+def _(spark, sf):
+    return search.counted(D.parts_index(spark, sf), PARTS, Q.equal("large", True), lambda rows: rows.where(F.col("source_version") % 2 == 0))

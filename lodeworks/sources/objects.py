@@ -223,3 +223,9 @@ def policy_class(path: Column, immutable: Sequence[str], program_only: Sequence[
 def failure_codes(spark: SparkSession) -> DataFrame:
     codes = ["exists", "version_mismatch", "immutable", "not_immutable_prefix", "program_only", "command_conflict", "not_versioned", "current_tombstone", "unknown_operation", "not_deleted"]
     return spark.createDataFrame([(i, c) for i, c in enumerate(codes)], "code int, name string")
+
+
+def quorum_read(replicas: DataFrame, quorum: int) -> DataFrame:
+    """replicas: replica, path, version, hash. The newest version of each path that a quorum holds alike."""
+    alike = replicas.groupBy("path", "version", "hash").agg(F.count_distinct("replica").alias("held")).where(F.col("held") >= quorum)
+    return alike.groupBy("path").agg(F.max_by(F.struct("version", "hash"), "version").alias("r")).select("path", "r.*")

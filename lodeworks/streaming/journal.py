@@ -70,3 +70,12 @@ def watch(spark: SparkSession, path: str, prefix: str, sink, checkpoint: str, fi
     """Follows a journal folder. The stream's offset log is the vector checkpoint; sink(df, batch) sees each batch's invalidations, at least once."""
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files).parquet(path)
     return invalidations(stream, prefix).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def retention(journal: DataFrame, consumers: DataFrame, most: int) -> DataFrame:
+    """consumers: source, next (of what must not be lost). (source, floor, blocked): the floor that would keep the newest most entries, lowered to the slowest consumer;
+    blocked, if that keeps more than most, so writers have to wait."""
+    tails = journal.groupBy("source").agg(F.min("offset").alias("first"), F.max("offset").alias("last"))
+    slow = consumers.groupBy("source").agg(F.min("next").alias("slow"))
+    want = F.greatest("first", F.col("last") - most + 1)
+    return tails.join(slow, "source", "left").select("source", F.least(want, F.coalesce("slow", want)).alias("floor"), F.coalesce(F.col("slow") < want, F.lit(False)).alias("blocked"))
