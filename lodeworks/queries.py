@@ -601,10 +601,10 @@ for _metric, _sql in (
     ("euclidean", f"-list_distance(embedding::double[], {_Q_SQL}::double[])"),
 ):
 
-    @query(f"r13_vector_{_metric}", f"select 'v/' || vec_id as path, round({_sql}, 4) as score from embeddings")
+    @query(f"r13_vector_{_metric}", f"select 'v/' || vec_id as path, round({_sql}, 4) + 0.0 as score from embeddings")
     def _(spark, sf, metric=_metric):
         d = Definition("v", kind="vector", dimensions=64, metric=metric)
-        return _vector_records(spark, sf).select(F.col("result_path").alias("path"), F.round(search.similarity("vector", search.query_vector(d, _QUERY), metric), 4).alias("score"))
+        return _vector_records(spark, sf).select(F.col("result_path").alias("path"), (F.round(search.similarity("vector", search.query_vector(d, _QUERY), metric), 4) + 0.0).alias("score"))  # + 0.0: no negative zero
 
 
 @query("r13_vector_top", f"select 'v/' || vec_id as path from embeddings order by list_dot_product(embedding::double[], {_Q_SQL}::double[])::float desc, path limit 10")
@@ -633,7 +633,7 @@ def _(spark, sf):
 t2 as (select doc_id, embedding, list_transform(w0, lambda x: lower(x)) as w from t),
 st as (select count(*)::double as n, greatest(avg(len(w)), 1.0) as avgdl, count(*) filter (list_contains(w, 'the'))::double as df from t2),
 hit as (select *, len(list_filter(w, lambda x: x = 'the'))::double as f from t2 where list_contains(w, 'the'))
-select 'h/' || doc_id as path, round(2.0 * (ln(1 + greatest(n - df + 0.5, 0) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(w) / avgdl))) + 0.5 * list_dot_product(embedding::double[], {_Q_SQL}::double[]), 3) as score from hit, st""",
+select 'h/' || doc_id as path, round(2.0 * (ln(1 + greatest(n - df + 0.5, 0) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(w) / avgdl))) + 0.5 * list_dot_product(embedding::double[], {_Q_SQL}::double[]), 3) + 0.0 as score from hit, st""",
 )
 def _(spark, sf):
     d = replace(_HYBRID, text_weight=2.0, vector_weight=0.5)
@@ -641,7 +641,7 @@ def _(spark, sf):
     wt, wv = d.weights()
     rows = r.where(search.matches(["text"], ["the"])).join(F.broadcast(search.statistics(r, ["text"], ["the"])))
     score = wt * search.bm25(["text"], ["the"]) + wv * search.similarity("vector", _QUERY, "dot")
-    return rows.select(F.col("result_path").alias("path"), F.round(score, 3).alias("score"))
+    return rows.select(F.col("result_path").alias("path"), (F.round(score, 3) + 0.0).alias("score"))
 
 
 @query("r17_hybrid_weights", "select 1.0::double as text_weight, 1.0::double as vector_weight, true as one_zero_refused")
