@@ -92,9 +92,9 @@ class WordHashes(dict):
         return value
 
 
-def rows_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+def rows_of(batches: Iterator[pa.RecordBatch], *columns: str, at_once: int = 256) -> Iterator[tuple]:
     """The rows of Arrow batches, in slices so that few long texts are Python objects at once."""
     for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            part = batch.slice(start, 256)
+        for start in range(0, batch.num_rows, at_once):
+            part = batch.slice(start, at_once)
             yield from zip(*(part.column(c).to_pylist() for c in columns), strict=True)

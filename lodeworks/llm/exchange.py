@@ -26,6 +26,15 @@ def estimated_bytes(df: DataFrame) -> int:
     return min(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), 10**18)
 
 
+def small_batches(df: DataFrame) -> None:
+    """Lets Arrow batches to Python end at 16 MB, for tables of chunks, whose rows have megabytes each. Only lowers the session's limit; results don't depend
+    on it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    most = int(df.sparkSession._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch())
+    if most <= 0 or most > 16 << 20:
+        df.sparkSession.conf.set(name, "16m")
+
+
 def ranges_for(keys: float) -> int:
     return max(1, min(1_000_000, int(-(-keys // KEYS_A_RANGE))))
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WordHashes, materialize, read, rows_of, utf8
-from .exchange import CHUNK_BYTES, REQUEST, REQUEST_FIELDS, by_chunk, estimated_bytes, expand, expand_sorted, joined, ranges_for, replies, requests, squeeze, squeeze_sorted
+from .exchange import CHUNK_BYTES, REQUEST, REQUEST_FIELDS, by_chunk, estimated_bytes, expand, expand_sorted, joined, ranges_for, replies, requests, small_batches, squeeze, squeeze_sorted
 from .minhash_dedup import mix
 
 FOLDS, HELD_OUT, EM_FOLD = 10, 0, 1
@@ -94,7 +94,7 @@ def weights_of(em: bool, held: list[bool], lengths: list[int]) -> tuple[np.ndarr
 
 def asker(ranges: int, bigrams: bool):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, em, lengths, held, tokens, vocabulary in rows_of(batches, "chunk", "em", "lengths", "held", "tokens", "vocabulary"):
+        for chunk, em, lengths, held, tokens, vocabulary in rows_of(batches, "chunk", "em", "lengths", "held", "tokens", "vocabulary", at_once=1):
             words, t, context, _ = opened(lengths, tokens, vocabulary)
             keys, where = np.unique(bigram_keys(words, t, context), return_inverse=True) if bigrams else (words, t)
             numbers = np.stack([np.bincount(where[w], minlength=len(keys)) for w in weights_of(em, held, lengths)]).astype(np.uint32)
@@ -127,7 +127,7 @@ def estimates(lengths: list[int], tokens: bytes, vocabulary: bytes, u: list[byte
 
 def em_events(n: int, v: int, begins: int):
     def events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lengths, tokens, vocabulary, u, b in rows_of(batches, "lengths", "tokens", "vocabulary", "u", "b"):
+        for lengths, tokens, vocabulary, u, b in rows_of(batches, "lengths", "tokens", "vocabulary", "u", "b", at_once=1):
             c2, cu, c1, _ = estimates(lengths, tokens, vocabulary, u, b, False, begins)
             p2 = np.divide(c2, cu, out=np.zeros_like(c2), where=cu > 0)
             code = np.stack([bucket(cu), bins(p2 * (v + 1)), bins(c1 / max(n, 1) * (v + 1))])
@@ -162,7 +162,7 @@ def learn(events: np.ndarray) -> np.ndarray:
 
 def scorer(weights: np.ndarray, n: int, v: int, begins: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for docs, lengths, held, tokens, vocabulary, u, b in rows_of(batches, "docs", "lengths", "held", "tokens", "vocabulary", "u", "b"):
+        for docs, lengths, held, tokens, vocabulary, u, b in rows_of(batches, "docs", "lengths", "held", "tokens", "vocabulary", "u", "b", at_once=1):
             c2, cu, c1, first = estimates(lengths, tokens, vocabulary, u, b, True, begins)
             w = weights[bucket(cu)]
             p = w[:, 0] * np.divide(c2, cu, out=np.zeros_like(c2), where=cu > 0) + w[:, 1] * c1 / max(n, 1) + w[:, 2] / (v + 1)
@@ -185,6 +185,7 @@ def scorer(weights: np.ndarray, n: int, v: int, begins: int):
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs."""
+    small_batches(docs)
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS, F.lit(HELD_OUT)).cast("int")
     chunks = materialize(docs.select("doc_id", fold.alias("fold"), "text").mapInArrow(pack, _CHUNKS), "chunks")
     ranges = ranges_for(estimated_bytes(docs) / 4)  # about a distinct bigram and chunk for four bytes of a compressed table

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, neutral, read, restore, rows_of, utf8
-from .exchange import CHUNK_BYTES, estimated_bytes, expand, ranges_for, squeeze
+from .exchange import CHUNK_BYTES, estimated_bytes, expand, ranges_for, small_batches, squeeze
 from .minhash_dedup import mix
 
 LENGTH, GRAM = 100, 32
@@ -212,7 +212,7 @@ def answer(table: pa.Table) -> pa.Table:
 
 def statuses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is to be done with each run of a document, for documents where anything is."""
-    for packed_ids, counts, texts, packed_local, packed_asked, replies in rows_of(batches, "ids", "runs", "texts", "local", "asked", "replies"):
+    for packed_ids, counts, texts, packed_local, packed_asked, replies in rows_of(batches, "ids", "runs", "texts", "local", "asked", "replies", at_once=1):
         ids, status, asked = expand(packed_ids, np.int64), expand(packed_local, np.uint8).copy(), expand(packed_asked, np.uint32)
         for r in replies or []:
             # a run that was removed or marked within its chunk keeps that; a marker only speaks for its anchor
@@ -356,6 +356,7 @@ def compare_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def removed_spans(docs: DataFrame) -> DataFrame:
     """(_id, _t, spans): flat starts and ends in bytes, in no order; they may overlap."""
+    small_batches(docs)
     keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.xxhash64("text").alias("_t"), "text")
     ranges = ranges_for(estimated_bytes(docs) / 18)  # about a run for 35 bytes of text
     asked = materialize(keyed.mapInArrow(ask(ranges), _REQUESTS), "runs")
