@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 KEYS_A_RANGE = 1_500_000
 #: Bytes of text after which a chunk is closed; a longer text is a chunk alone.
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 8_000_000
 REQUEST = "chunk string, range int, keys binary, numbers binary"
 REQUEST_FIELDS = [pa.field("chunk", pa.string()), pa.field("range", pa.int32()), pa.field("keys", pa.binary()), pa.field("numbers", pa.binary())]
 
