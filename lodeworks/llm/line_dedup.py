@@ -5,6 +5,9 @@ thus depend on ROLL lines only, and text that moves within or between documents
 word, are counted over all documents by hash. Chunks with a repeated hash are compared by their bytes: grouping is by the bytes
 themselves. The first copy stays (least doc_id, then text hash, then place; null ids last), the others are removed with their line ends.
 
+A passage rarely begins and ends where chunks do, and a short one has no whole chunk. So dedup_runs() matches the windows of two lines at every place too,
+counted and compared in the same way: each repeated run of two lines or more is found to its edges, whatever surrounds it. dedup() removes chunks only.
+
 Hot chunks: grouping combines within tasks first, so a chunk that a third of all documents have is one row a task; occurrences meet hot
 groups by a broadcast of fewer than HOT_SHARE rows.
 
@@ -14,7 +17,7 @@ or lose the same lines; an empty table gives an empty result; other columns stay
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import hot_join, materialize, neutral, read, restore, rows_of, utf8
 
 ROLL, MEAN_LINES, MIN_LINES = 2, 4, 2
+#: windows are numbered from here, by their first line; chunks below
+WINDOWS = 2**30
 LAST = 2**63 - 1
 KEY = ["_id", "_t"]
 
@@ -47,6 +52,14 @@ def eligible(lines: list[bytes]) -> bool:
     return len(lines) >= MIN_LINES and any(x.strip() for x in lines)
 
 
+def windows(lines: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """(first line, bytes) of each two lines that follow one another, of which one has a word."""
+    worded = [bool(x.strip()) for x in lines]
+    for i in range(len(lines) - 1):
+        if worded[i] or worded[i + 1]:
+            yield i, lines[i] + b"\n" + lines[i + 1]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.xxhash64("text").alias("_t"), "text")
 
@@ -64,18 +77,36 @@ def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _emit(out, [pa.int64(), pa.int64(), pa.int32(), pa.int64()], [*KEY, "chunk", "h"])
 
 
+def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chunks of find(), and the windows; another seed keeps their hashes apart."""
+    types, names = [pa.int64(), pa.int64(), pa.int32(), pa.int64()], [*KEY, "chunk", "h"]
+    out: list[tuple] = []
+    for doc, t, text in rows_of(batches, "_id", "_t", "text"):
+        if text is None:
+            continue
+        data = utf8(text)
+        out += [(doc, t, i, xxhash.xxh3_64_intdigest(b"\n".join(lines)) - 2**63) for i, (_, _, lines) in enumerate(chunks(data)) if eligible(lines)]
+        out += [(doc, t, WINDOWS + i, xxhash.xxh3_64_intdigest(body, 1) - 2**63) for i, body in windows(data.split(b"\n"))]
+        if len(out) > 16384:
+            yield _emit(out, types, names)
+            out = []
+    if out:
+        yield _emit(out, types, names)
+
+
 def _emit(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
 def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the chunks that are asked for."""
+    """The bytes of the chunks and windows that are asked for."""
     types, names = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()], [*KEY, "chunk", "h", "bytes"]
     out, held = [], 0
     for doc, t, text, asked in rows_of(batches, *KEY, "text", "_asked"):
-        every = chunks(utf8(text))
+        every, lines = chunks(utf8(text)), utf8(text).split(b"\n")
         for ask in asked:
-            body = b"\n".join(every[ask["chunk"]][2])
+            at = ask["chunk"] - WINDOWS
+            body = b"\n".join(lines[at : at + 2] if at >= 0 else every[ask["chunk"]][2])
             out.append((doc, t, ask["chunk"], ask["h"], body))
             held += len(body)
         if held > 4_000_000:
@@ -95,8 +126,13 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n = 0 if text is None else text.count("\n") + 1
                 lost, k = 0, 0
                 if gone:
-                    every, drop = chunks(utf8(text)), set(gone)
-                    keep = [x for i, (_, _, ls) in enumerate(every) if i not in drop for x in ls]
+                    every, drop, lost_lines = chunks(utf8(text)), {x for x in gone if x < WINDOWS}, set()
+                    for i in drop:
+                        lost_lines.update(range(*every[i][:2]))
+                    for x in gone:
+                        if x >= WINDOWS:
+                            lost_lines.update((x - WINDOWS, x - WINDOWS + 1))
+                    keep = [x for i, x in enumerate(utf8(text).split(b"\n")) if i not in lost_lines]
                     lost, k = n - len(keep), len(drop)
                     text = b"\n".join(keep).decode("utf-8", "surrogatepass")
                 texts.append(text)
@@ -108,10 +144,10 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict(columns)
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """(_id, _t, _gone): the chunks that each document loses."""
+def removals(docs: DataFrame, seek: Callable | None = None) -> DataFrame:
+    """(_id, _t, _gone): the chunks, and with find_runs the windows, that each document loses."""
     keyed = _keyed(docs)
-    found = materialize(keyed.mapInArrow(find, "_id long, _t long, chunk int, h long"), "chunks").distinct()
+    found = materialize(keyed.mapInArrow(seek or find, "_id long, _t long, chunk int, h long"), "chunks").distinct()
     shared = materialize(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     rows = materialize(hot_join(found, shared, ["h"], "n", found.count()), "candidates")
     asked = rows.groupBy(*KEY).agg(F.collect_list(F.struct("chunk", "h")).alias("_asked"))
@@ -134,10 +170,10 @@ def _repeats(docs: DataFrame) -> bool:
     return bool(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").take(1))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, seek: Callable | None = None) -> DataFrame:
     """doc_id, text (what stays of it), the other columns as neutral() names them, _n_lines, _n_chunks (removed) and _n_lost."""
     docs, _ = neutral(docs, "doc_id", "text")
-    gone = removals(docs)
+    gone = removals(docs, seek)
     keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(LAST)), "_t": F.xxhash64("text")})
     # a plan for every size: the list isn't broadcast where it happens to be short
     joined = keyed.join(gone.hint("merge"), KEY, "left").drop(*KEY)
@@ -145,8 +181,13 @@ def dedup(docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(cut, f"{schema}, text string, _n_lines long, _n_chunks long, _n_lost long")
 
 
+def dedup_runs(docs: DataFrame) -> DataFrame:
+    """dedup() of chunks and of all repeated runs of two lines or more."""
+    return dedup(docs, find_runs)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = dedup_runs(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_chunks").alias("n_removed_chunks"), F.col("_n_lost").alias("n_removed_lines"), F.sha2("text", 256).alias("kept_sha256"), "text")
 
 

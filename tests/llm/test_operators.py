@@ -193,6 +193,36 @@ def test_line_dedup_compares_bytes(spark, monkeypatch):
     assert got == {1: 0, 2: 0, 3: 2 if all(whole) else got[3]}
 
 
+def brute_runs(pairs):
+    """Lines that stay: those in no window of two lines, or chunk, whose least place is elsewhere."""
+    first, units, rows_ = {}, [], sorted(set(pairs), key=lambda x: (x[0] is None, x[0] or 0))
+    for k, (_, t) in enumerate(rows_):
+        lines = (t or "").encode().split(b"\n")
+        units += [(k, i, i + 2, b"\n".join(lines[i : i + 2])) for i in range(len(lines) - 1) if (lines[i] + lines[i + 1]).strip()]
+    gone = {(k, i) for k, a, b, body in units if first.setdefault(body, (k, a)) != (k, a) for i in range(a, b)}
+    first = {}
+    for k, (_, t) in enumerate(rows_):
+        for a, b, ls in line_dedup.chunks((t or "").encode()):
+            if line_dedup.eligible(ls) and first.setdefault(b"\n".join(ls), (k, a)) != (k, a):
+                gone |= {(k, i) for i in range(a, b)}
+    return {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (k, i) not in gone) for k, (d, t) in enumerate(rows_)}
+
+
+def test_line_dedup_runs_to_their_edges(spark):
+    """Two and three lines of other surroundings, wherever chunks end; one line alone and the first copy stay."""
+    pairs = []
+    for i in range(30):
+        shared = [f"shared {i} line {k}" for k in range(2 + i % 3)]
+        pairs += [(2 * i, "\n".join([f"a{i}", *shared, f"b{i}", "alone"])), (2 * i + 1, "\n".join([f"c{i}", f"d{i}", *shared, f"e{i}", "alone", f"f{i}"]))]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_runs(frame(spark, pairs)).collect()}
+    assert got == {d: t if d % 2 == 0 else f"c{d // 2}\nd{d // 2}\ne{d // 2}\nalone\nf{d // 2}" for d, t in pairs}
+
+
+def test_line_dedup_runs_brute_force(spark, sf, docs):
+    got = {r.doc_id: r.text for r in line_dedup.op4_line_dedup(spark, sf).collect()}
+    assert got == brute_runs(docs)
+
+
 def test_line_dedup_awkward(spark):
     d = H.awkward(spark)
     got = line_dedup.stage(spark, d, "")
