@@ -1,13 +1,15 @@
 """License scans: a generalised suffix automaton over the tokens of licence templates, streamed over files.
 
-The automaton is built once for all templates (a few thousand tokens, configuration) and walked with a file's words; at each word it gives the length
+The automaton is built once a worker for all templates (a few hundred tokens, configuration) and walked with a file's words; at each word it gives the length
 of the longest suffix of what was read that occurs in some template: the matching statistics. Matches of at least MIN_MATCH words
 (or a whole shorter template) that can't be extended are seeds; seeds of one template are chained in increasing order of place in file and
-template, and the words they cover in the template over its length is its coverage. A template with MIN_COVERAGE adds its label.
+template, and the words they cover in the template over its length is its coverage. A template adds its label if its coverage is that of its
+length in COVERAGES, if its NEEDS stand word by word in what it matched, and if none of its UNLESS stands in the file. A notice that lies within a whole
+text that is found (the texts end with their own notices) adds none.
 
 Only runs of words that templates use are walked, because a match can't leave them; the rest of a file costs one lookup a word.
 
-The base labels are phrases, found wherever their words stand consecutively. score is the best coverage, at least PHRASE_SCORE with a base label.
+The base labels are phrases, found wherever their words stand consecutively. score is the best coverage of a template whose NEEDS and UNLESS hold, at least PHRASE_SCORE with a base label.
 
 Defined results: a null or empty text has no words and no label; repeated rows are scanned alike, one row each; an empty table gives an
 empty result. One row is one file, held whole by its task; nothing else is held.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -26,7 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read, rows_of, utf8
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-MIN_MATCH, MIN_COVERAGE, PHRASE_SCORE = 6, 0.5, 0.25
+MIN_MATCH, PHRASE_SCORE = 6, 0.25
+#: (words of a template from which, coverage): short wordings must be complete, whole texts may lack their appendix.
+COVERAGES = [(100, 0.75), (20, 0.9), (0, 1.0)]
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: (label, words): short wordings by which the licences are named, and the operative parts of permissive ones.
 TEMPLATES = [
@@ -39,18 +44,52 @@ TEMPLATES = [
     ("gpl-2.0-or-later", "you can redistribute it and or modify it under the terms of the GNU General Public License as published by the Free Software Foundation either version 2 of the License or at your option any later version"),
     ("gpl-3.0-or-later", "you can redistribute it and or modify it under the terms of the GNU General Public License as published by the Free Software Foundation either version 3 of the License or at your option any later version"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License v 2 0"),
-    ("isc", "Permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "Permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("mit", "Permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the Software without restriction"),
     ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("bsd-2-clause", "Redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("lgpl-2.1-or-later", "you can redistribute it and or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation either version 2 1 of the License or at your option any later version"),
+    ("lgpl-3.0-or-later", "you can redistribute it and or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation either version 3 of the License or at your option any later version"),
+    ("agpl-3.0-or-later", "you can redistribute it and or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation either version 3 of the License or at your option any later version"),
+    ("agpl-3.0", "if you modify the Program your modified version must prominently offer all users interacting with it remotely through a computer network if your version supports such interaction an opportunity to receive the Corresponding Source of your version"),
 ]
+#: label: words without which a template is another licence's, so that shared wording is not enough
+NEEDS: dict[str, list[str]] = {
+    "gpl-2.0-or-later": ["gnu general public license", "version 2 of the license"],
+    "gpl-3.0-or-later": ["gnu general public license", "version 3 of the license"],
+    "lgpl-2.1-or-later": ["gnu lesser general public license", "version 2 1 of the license"],
+    "lgpl-3.0-or-later": ["gnu lesser general public license", "version 3 of the license"],
+    "agpl-3.0-or-later": ["gnu affero general public license", "version 3 of the license"],
+    "mit": ["mit license", "to deal in the software without restriction"],
+    "bsd-3-clause": ["neither the name of"],
+    "gpl-1.0": ["general public license", "version 1"],
+    "gpl-2.0": ["gnu general public license"],
+    "gpl-3.0": ["gnu general public license"],
+    "lgpl-2.0": ["library general public license"],
+    "lgpl-2.1": ["lesser general public license"],
+    "gfdl-1.2": ["version 1 2 november 2002"],
+    "gfdl-1.3": ["version 1 3 3 november 2008"],
+}
+#: of a label with two templates, one of the words is needed
+ANY_OF = {"mit"}
+#: label: words of another licence that has all of the template's own
+UNLESS: dict[str, list[str]] = {
+    "bsd-2-clause": ["neither the name", "may not be used to endorse or promote", "all advertising materials mentioning features"],
+    "bsd-3-clause": ["all advertising materials mentioning features"],
+    "gpl-3.0": ["remote network interaction"],
+}
 
 
 def words_of(text: bytes) -> list[bytes]:
     return WORD.findall(text.lower())
 
 
+def stands(words: list[bytes], phrase: list[bytes], first: int, end: int) -> bool:
+    n = len(phrase)
+    return any(words[i] == phrase[0] and words[i : i + n] == phrase for i in range(first, end - n + 1))
+
+
 class Automaton:
     """A generalised suffix automaton of token sequences, with one end position per state and template."""
 
@@ -96,6 +135,16 @@ class Automaton:
             self.link[current] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, token)
         return current
 
+    def each(self, length: int, state: int, least: int) -> dict[int, tuple[int, int]]:
+        """(length, end) of the longest match of each template that ends here, so that one template's longer match doesn't hide another's."""
+        out: dict[int, tuple[int, int]] = {}
+        while length >= least:
+            for which, end in self.ends[state].items():
+                out.setdefault(which, (length, end))
+            state = self.link[state]
+            length = self.length[state]
+        return out
+
     def statistics(self, tokens: list[int]) -> Iterator[tuple[int, int]]:
         """(length, state) of the longest match that ends at each token."""
         state = length = 0
@@ -110,25 +159,34 @@ class Automaton:
 
 
 class Scanner:
-    def __init__(self, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> None:
+    def __init__(self, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] = PHRASES) -> None:
+        templates = TEMPLATES if templates is None else templates
         self.labels = [label for label, _ in templates]
         sequences = [words_of(utf8(text)) for _, text in templates]
         self.ids = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for s in sequences for w in s))}
         self.lengths = [len(s) for s in sequences]
         self.automaton = Automaton([[self.ids[w] for w in s] for s in sequences])
+        self.shares = [next(share for n, share in COVERAGES if len(s) >= n) for s in sequences]
+        packed = lambda rules: {label: [words_of(utf8(p)) for p in ps] for label, ps in rules.items()}
+        self.needs, self.unless = packed(NEEDS), packed(UNLESS)
         self.least = min([MIN_MATCH, *self.lengths])
         self.phrases = [([*words_of(utf8(p))], label) for p, label in phrases.items()]
         self.rare = [(max(p, key=len), p, label) for p, label in self.phrases]
 
     def seeds(self, tokens: list[int], start: int) -> Iterator[tuple[int, int, int, int]]:
         """(template, place in template, place in file, length) of matches that can't be extended to the right."""
-        found = [*self.automaton.statistics(tokens), (0, 0)]
-        for i in range(len(tokens)):
-            length, state = found[i]
-            if length >= self.least and found[i + 1][0] <= length:
-                for which, end in self.automaton.ends[state].items():
-                    if length >= min(MIN_MATCH, self.lengths[which]):
-                        yield which, end - length, start + i + 1 - length, length
+        now: dict[int, tuple[int, int]] = {}
+        for i, (length, state) in enumerate([*self.automaton.statistics(tokens), (0, 0)]):
+            before, now = now, self.automaton.each(length, state, self.least)
+            for which, (n, end) in before.items():
+                if n >= now.get(which, (0, 0))[0] and n >= min(MIN_MATCH, self.lengths[which]):
+                    yield which, end - n, start + i - n, n
+
+    def fits(self, label: str, words: list[bytes], first: int, end: int) -> bool:
+        """Whether the words of NEEDS are in the match, and none of UNLESS in the file."""
+        needs, unless = self.needs.get(label, []), self.unless.get(label, [])
+        held = (any if label in ANY_OF else all)(stands(words, p, first, end) for p in needs)
+        return (held or not needs) and not any(stands(words, p, 0, len(words)) for p in unless)
 
     def coverage(self, seeds: list[tuple[int, int, int]], total: int) -> tuple[float, int, int]:
         """The best chain of one template's seeds: share of the template, first and one past the last word in the file."""
@@ -176,10 +234,14 @@ class Scanner:
         score, labels, found = 0.0, set(base), []
         for which, seeds in spans.items():
             share, first, end = self.coverage(seeds, self.lengths[which])
+            if not self.fits(self.labels[which], words, first, end):
+                continue
             score = max(score, share)
-            if share >= MIN_COVERAGE:
-                labels.add(self.labels[which])
-                found.append({"label": self.labels[which], "start": first, "end": end, "coverage": share})
+            if share >= self.shares[which]:
+                found.append((self.lengths[which], {"label": self.labels[which], "start": first, "end": end, "coverage": share}))
+        whole = [(f["start"], f["end"]) for n, f in found if n >= COVERAGES[0][0]]
+        found = [f for n, f in found if n >= COVERAGES[0][0] or not any(a <= f["start"] and f["end"] <= b for a, b in whole)]
+        labels |= {f["label"] for f in found}
         if base:
             score = max(score, PHRASE_SCORE)
         return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), min(1.0, score), found
@@ -191,8 +253,13 @@ _TYPES = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64(), _SPAN]
 _NAMES = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
 
 
+@lru_cache(maxsize=1)
+def scanner_of_worker() -> Scanner:
+    return Scanner()
+
+
 def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    scanner, out = Scanner(), []
+    scanner, out = scanner_of_worker(), []
     for doc_id, text in rows_of(batches, "doc_id", "text"):
         out.append((doc_id, *scanner.scan(utf8(text))))
         if len(out) == 1024:

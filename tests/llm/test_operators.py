@@ -502,6 +502,25 @@ def test_license_spans():
     assert s.scan(b"")[:2] == (0, 0) and s.scan(" ".join(words[:7]).encode())[5] == ""
 
 
+def test_license_needs_its_own_words():
+    """Shared wording gives no label: each wording is labelled as itself alone, no beginning of one as another."""
+    s = license_scan.Scanner()
+    named = lambda text: {f["label"] for f in s.scan(text.encode())[7]}
+    for label, text in license_scan.TEMPLATES:
+        assert named(text) == {label}
+        words = text.split()
+        for n in range(len(words) // 2, len(words) - 3):
+            assert named(" ".join(words[:n]) + " X licence") <= ({label} if n >= 0.9 * len(words) else set())
+    for text in (
+        "This work is licensed under the X licence", "This work is licensed under the Apache License", "This work is licensed under the GNU General Public License, version 2.", "Licensed under the Apache License, Version 1.1",
+        "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+    ):
+        assert named(text) == set()
+    notice = dict(license_scan.TEMPLATES)["gpl-3.0-or-later"]
+    assert named(notice.replace("version 3", "version 2")) == {"gpl-2.0-or-later"}
+    assert named(notice.replace("GNU General", "GNU Affero General")) == {"agpl-3.0-or-later"}
+
+
 def test_license_awkward(spark):
     got = license_scan.scan(H.awkward(spark)).collect()
     assert len(got) == 13 and {r.base_labels for r in got if r.doc_id == 9} == {"cc-by,gpl,mit"}
