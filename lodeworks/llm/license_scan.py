@@ -1,6 +1,8 @@
 """License scans: a generalised suffix automaton over the tokens of licence templates, streamed over files.
 
-The automaton is built once a worker for all templates (a few hundred tokens, configuration) and walked with a file's words; at each word it gives the length
+Templates are short wordings and notices (TEMPLATES) and whole licence texts (licenses/*.txt, one file a label).
+
+The automaton is built once a worker for all templates (some 40,000 tokens, configuration) and walked with a file's words; at each word it gives the length
 of the longest suffix of what was read that occurs in some template: the matching statistics. Matches of at least MIN_MATCH words
 (or a whole shorter template) that can't be extended are seeds; seeds of one template are chained in increasing order of place in file and
 template, and the words they cover in the template over its length is its coverage. A template adds its label if its coverage is that of its
@@ -21,6 +23,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import repeat
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +84,10 @@ UNLESS: dict[str, list[str]] = {
 }
 
 
+def whole_texts() -> list[tuple[str, str]]:
+    return [(p.stem, p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))]
+
+
 def words_of(text: bytes) -> list[bytes]:
     return WORD.findall(text.lower())
 
@@ -160,7 +167,7 @@ class Automaton:
 
 class Scanner:
     def __init__(self, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] = PHRASES) -> None:
-        templates = TEMPLATES if templates is None else templates
+        templates = [*TEMPLATES, *whole_texts()] if templates is None else templates
         self.labels = [label for label, _ in templates]
         sequences = [words_of(utf8(text)) for _, text in templates]
         self.ids = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for s in sequences for w in s))}

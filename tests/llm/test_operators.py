@@ -521,6 +521,26 @@ def test_license_needs_its_own_words():
     assert named(notice.replace("GNU General", "GNU Affero General")) == {"agpl-3.0-or-later"}
 
 
+def test_license_whole_texts():
+    """Each whole text, under another title and without its last tenth, is labelled as itself; the notices in it aren't labelled."""
+    s = license_scan.Scanner()
+    texts = license_scan.whole_texts()
+    assert {"apache-2.0", "gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "epl-1.0", "cc0-1.0", "zlib", "bsl-1.0"} <= {label for label, _ in texts}
+    for label, text in texts:
+        assert {f["label"] for f in s.scan(text.encode())[7]} == {label}
+        words = text.split()
+        assert label in s.scan(" ".join(["intro", *words[: len(words) * 9 // 10], "outro"]).encode())[5].split(",")
+    gpl = dict(texts)["gpl-3.0"]
+    affero = gpl.replace("13. Use with the GNU Affero General Public License.", "13. Remote Network Interaction; Use with the GNU General Public License.")
+    assert affero != gpl and "gpl-3.0" not in {f["label"] for f in s.scan(affero.encode())[7]}
+
+
+def test_license_matches_are_of_each_template():
+    """A longer match in one template doesn't hide a whole other one."""
+    s = license_scan.Scanner([("long", "zero one two three four five six seven eight"), ("short", "one two three four five six seven eight")])
+    assert [f["label"] for f in s.scan(b"x zero one two three four five six seven eight y")[7]] == ["long", "short"]
+
+
 def test_license_awkward(spark):
     got = license_scan.scan(H.awkward(spark)).collect()
     assert len(got) == 13 and {r.base_labels for r in got if r.doc_id == 9} == {"cc-by,gpl,mit"}
