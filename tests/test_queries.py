@@ -16,6 +16,14 @@ def test_query(spark, sf, duck, name):
         assert len(got.columns) > 0
 
 
+def test_next_token_counts_pages_of_50(spark, sf, monkeypatch):
+    """Over 2000 parts the pages stay of 50, and those reported are those fetched."""
+    limits, fetch = [], Q.search.fetch
+    monkeypatch.setattr(Q.search, "fetch", lambda *a, **k: (limits.append(k["limit"]), fetch(*a, **k))[1])
+    got = Q.QUERIES["r08_next_token"](spark, sf.replace("sf0.001", "sf0.01")).first()
+    assert set(limits) == {50} and got.pages == len(limits) == got.hits // 50 + 1 and got.last_is_short
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
