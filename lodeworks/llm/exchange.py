@@ -92,14 +92,14 @@ def opened(table: pa.Table, columns: int) -> tuple[list[np.ndarray], np.ndarray,
     return parts, np.concatenate(parts), np.concatenate(numbers, axis=1).astype(np.uint64)
 
 
-def replies(asked: DataFrame, columns: int, most: int = 2**32 - 1) -> DataFrame:
-    """(chunk, range, totals, found): sums over all chunks, at most `most`, in the order of the request's keys. found, in one row of
+def replies(asked: DataFrame, columns: int) -> DataFrame:
+    """(chunk, range, totals, found): 64-bit sums over all chunks, in the order of the request's keys. found, in one row of
     each range, is how many distinct keys there have a sum over 0."""
 
     def reply(table: pa.Table) -> pa.Table:
         parts, keys, numbers = opened(table, columns)
         _, total, where = sums(keys, numbers)
-        back = np.minimum(total, most).astype(np.uint32)[:, where]
+        back = total.astype(np.uint64)[:, where]
         ends = np.cumsum([len(p) for p in parts])
         packed = [squeeze(np.ascontiguousarray(back[:, e - len(p) : e]).reshape(-1)) for p, e in zip(parts, ends, strict=True)]
         found = [int((total.sum(axis=0) > 0).sum()), *[0] * (len(parts) - 1)]
@@ -115,5 +115,5 @@ def by_chunk(answered: DataFrame, name: str) -> DataFrame:
 
 def joined(parts: list[bytes], columns: int) -> np.ndarray:
     """(columns, keys) of a chunk's replies."""
-    each = [expand(p, np.uint32).reshape(columns, -1) for p in parts or []]
-    return np.concatenate(each, axis=1) if each else np.empty((columns, 0), np.uint32)
+    each = [expand(p, np.uint64).reshape(columns, -1) for p in parts or []]
+    return np.concatenate(each, axis=1) if each else np.empty((columns, 0), np.uint64)

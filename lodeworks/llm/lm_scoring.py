@@ -2,7 +2,7 @@
 
 P(v | u) = a[b] c(u, v) / c(u) + b[b] c(v) / N + c[b] / (V + 1), where b is the bucket of the context u: the bit length of c(u). The weights of a
 bucket add up to 1 and are learned by expectation-maximisation on held-out counts: the training documents of fold EM_FOLD are deleted from the counts
-for that, and their bigrams are the events. Scores then use the counts of all training documents.
+for that, and their bigrams are the events; where that fold is empty, the least training fold that isn't takes its place. Scores then use the counts of all training documents.
 
 All counts are exact, over all training documents: tokens are packed by chunk into a written table, and two exchanges (see exchange.py) bring each chunk
 the counts of its own words and bigrams. Nothing of the corpus is broadcast or collected but the table of (bucket, ratio, ratio) bins of the EM, whose
@@ -10,8 +10,8 @@ size is bounded by the grid (GRID bins an octave).
 
 Documents whose crc32(id as text) mod 10 is 0 are held out from all learning.
 
-Defined results: a null or empty text is one end token; a null id counts as held out; repeated rows all count and are scored each; without any training
-document every weight is the uniform one's; an empty table gives an empty result.
+Defined results: a null or empty text is one end token; a null id counts as held out; repeated rows all count and are scored each; without
+training documents in two folds there is nothing to learn from and every weight is the uniform one's; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -187,6 +187,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs."""
     small_batches(docs)
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS, F.lit(HELD_OUT)).cast("int")
+    folds = set(docs.agg(F.collect_set(fold)).first()[0])
+    if EM_FOLD not in folds and len(training := sorted(folds - {HELD_OUT})) > 1:
+        fold = F.when(fold == training[0], EM_FOLD).otherwise(fold)
     chunks = materialize(docs.select("doc_id", fold.alias("fold"), "text").mapInArrow(pack, _CHUNKS), "chunks")
     ranges = ranges_for(estimated_bytes(docs) / 4)  # about a distinct bigram and chunk for four bytes of a compressed table
     singles = materialize(replies(chunks.mapInArrow(asker(ranges, False), REQUEST), 2), "word_counts")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodeworks.llm import decontamination, license_scan, line_dedup, lm_scoring, minhash_dedup, piece_sampling, quality_rules, suffix_dedup, url_filters, warc
+from lodeworks.llm import decontamination, exchange, license_scan, line_dedup, lm_scoring, minhash_dedup, piece_sampling, quality_rules, suffix_dedup, url_filters, warc
 from lodeworks.llm.queries import ORACLE, QUERIES
 
 from ..compare import rows
@@ -141,6 +141,19 @@ def test_lm_awkward(spark):
     assert all(math.isfinite(r.score) for r in lm_scoring.score_documents(frame(spark, [(None, "only held out")])).collect())
 
 
+def test_lm_learns_where_the_em_fold_is_empty(spark):
+    ids = [i for i in range(200) if __import__("zlib").crc32(str(i).encode()) % 10 > 1]
+    got = lm_scoring.score_documents(frame(spark, [(i, "the cat sat on the mat") for i in ids])).collect()
+    assert all(r.score > r.base_score > r.n_tokens * math.log10(1 / 7) for r in got)  # five words, the end and an unknown one
+
+
+def test_lm_totals_beyond_32_bits(spark):
+    keys, most = np.array([3, 9], np.uint64), np.array([[2**32 - 1, 1], [7, 2]], np.uint32)
+    asked = [row for chunk in "abc" for row in exchange.requests(chunk, keys, most, 1)]
+    back = exchange.by_chunk(exchange.replies(spark.createDataFrame(asked, exchange.REQUEST), 2), "u").collect()
+    assert len(back) == 3 and all(exchange.joined(r.u, 2).tolist() == [[3 * (2**32 - 1), 3], [21, 6]] for r in back)
+
+
 def test_em_prefers_the_better_estimate():
     w = lm_scoring.learn(np.array([[5, 40, 4, 900], [5, -10000, 8, 100]], float))
     assert w[5, 0] > 0.5 and abs(w[5].sum() - 1) < 1e-9 and w[0, 0] == 0 and (w[:, 2] > 0).all()
