@@ -6,9 +6,12 @@ import copy
 import json
 import math
 import re
+from collections.abc import Callable
+from decimal import Decimal
 from typing import Any
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 RESERVED = ".system"
@@ -58,7 +61,7 @@ def variant_paths(pointer: str, root: str = "$") -> list[str]:
     out = [root]
     for t in tokens(pointer):
         key = "['" + t.replace("\\", "\\\\").replace("'", "\\'") + "']"
-        out = [p + step for p in out for step in ([key, f"[{int(t)}]"] if re.fullmatch(r"[0-9]+", t) else [key])]
+        out = [p + step for p in out for step in ([key, f"[{int(t)}]"] if re.fullmatch(r"0|[1-9][0-9]{0,8}", t) else [key])]
     return out
 
 
@@ -69,7 +72,8 @@ def pointer_get(value: Column, pointer: str, root: str = "$") -> Column:
 
 
 def array_place(token: str, size: int) -> int:
-    if not re.fullmatch(r"[0-9]+", token) or int(token) >= size:
+    """A number without leading zeros, below size."""
+    if not re.fullmatch(r"0|[1-9][0-9]*", token) or int(token) >= size:
         raise KeyError(token)
     return int(token)
 
@@ -179,8 +183,8 @@ def analyze(text: Column) -> Column:
 
 
 def analyze_text(text: str) -> list[str]:
-    """The same for a query's text, on the driver."""
-    return ["".join("σ" if c == "Σ" else c.lower() for c in t) for t in re.findall(r"[^\W_]+", text)]
+    """The tokens of a query's text, by the same expression; Catalyst folds it, so no job runs."""
+    return SparkSession.active().sql("select 1").select(analyze(F.lit(text)).alias("t")).first()[0]
 
 
 # --- feed normalisation --------------------------------------------------------------------------------------------------
@@ -189,17 +193,24 @@ def trimmed(text: Column) -> Column:
 
 
 def sorted_distinct(texts: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.filter(F.transform(texts, F.trim), lambda t: t.isNotNull() & (t != ""))))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(texts, lambda t: F.trim(t)), lambda t: t.isNotNull() & (t != ""))))
+
+
+def ascii_lower(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def ecosystem(text: Column) -> Column:
-    """Lower case, spaces to dashes, without what follows a colon."""
-    return F.regexp_replace(F.lower(F.trim(F.split(text, ":")[0])), r"\s+", "-")
+    """Trimmed, A-Z lower-cased; cargo is crates.io. What follows a colon belongs to the name."""
+    low = ascii_lower(F.trim(text))
+    return F.when(low == "cargo", "crates.io").otherwise(low)
 
 
 def package(eco: Column, name: Column) -> Column:
-    """Names of one ecosystem fold case, dots and underscores; others only the spaces around them."""
-    return F.when(eco == "pypi", F.regexp_replace(F.lower(F.trim(name)), r"[-_.]+", "-")).when(eco.isin("npm", "crates.io", "cargo"), F.lower(F.trim(name))).otherwise(F.trim(name))
+    """Trimmed. pypi: A-Z lower-cased, runs of dots, dashes and underscores one dash, none at an end; npm: lower-cased; others as they are."""
+    name = F.trim(name)
+    pypi = F.regexp_replace(F.regexp_replace(ascii_lower(name), r"[-_.]+", "-"), "^-|-$", "")
+    return F.when(eco == "pypi", pypi).when(eco == "npm", ascii_lower(name)).otherwise(name)
 
 
 def partition(eco: Column) -> Column:
@@ -211,6 +222,96 @@ def identity(*parts: Column) -> Column:
 
 
 def day(stamp: Column) -> Column:
-    """The date of a timestamp text, or "unknown"."""
-    d = F.substring(stamp, 1, 10)
-    return F.when(d.rlike(r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])$"), d).otherwise("unknown")
+    """The first ten characters where they are digits and dashes of a date's form, whatever its month and day, else "unknown"."""
+    return F.when(stamp.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.substring(stamp, 1, 10)).otherwise("unknown")
+
+
+# --- functions of columns for edits, arithmetic, comparison and templates --------------------------------------------------
+def _edited(edit: Callable[..., Any]) -> Callable[..., Any]:
+    """A pandas UDF of JSON texts: canonical text after the edit; null where a text doesn't parse or the edit isn't possible."""
+
+    def one(doc: str | None, *rest: str | None) -> str | None:
+        try:
+            return None if doc is None else json.dumps(edit(json.loads(doc), *rest), ensure_ascii=False, separators=(",", ":"))
+        except (KeyError, ValueError):
+            return None
+
+    return one
+
+
+def set_column(doc: Column, pointer: str, value: Column) -> Column:
+    """json_set() of a column; value: JSON text."""
+    tokens(pointer)
+    one = _edited(lambda d, v: json_set(d, pointer, json.loads(v)))
+
+    @F.pandas_udf("string")
+    def run(docs: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else one(d, v) for d, v in zip(docs, values, strict=True)], dtype=object)
+
+    return run(doc, value)
+
+
+def remove_column(doc: Column, pointer: str) -> Column:
+    """json_remove() of a column."""
+    tokens(pointer)
+    one = _edited(lambda d: json_remove(d, pointer))
+
+    @F.pandas_udf("string")
+    def run(docs: pd.Series) -> pd.Series:
+        return pd.Series([one(d) for d in docs], dtype=object)
+
+    return run(doc)
+
+
+def add_column(a: Column, b: Column, unsigned: bool = False, least: int | None = None, most: int | None = None) -> Column:
+    """checked_add() of columns; null where an operand or the sum leaves its type or the bounds. Signed: long; unsigned: decimal(20, 0)."""
+    total = a.cast("decimal(21,0)") + b.cast("decimal(21,0)")
+    low, high = (0, 2**64 - 1) if unsigned else (-(2**63), 2**63 - 1)
+    low, high = max(low, low if least is None else least), min(high, high if most is None else most)
+    limit = lambda x: F.lit(Decimal(x)).cast("decimal(22,0)")
+    return F.when((total >= limit(low)) & (total <= limit(high)), total.cast("decimal(20,0)" if unsigned else "long"))
+
+
+def compare_columns(op: str, a: Column, b: Column) -> Column:
+    return COMPARE[op](a, b)
+
+
+def expand_column(template: str, values: dict[str, Column]) -> Column:
+    """expand() with a column for each name; null where a value is."""
+    parts, at = [], 0
+    expand(template, dict.fromkeys(values, ""))  # refuses what expand() refuses
+    for m in re.finditer(r"\{\{|\}\}|\{([A-Za-z_][A-Za-z0-9_]*)\}", template):
+        parts.append(F.lit(template[at : m.start()]))
+        parts.append(values[m[1]].cast("string") if m[1] else F.lit(m[0][0]))
+        at = m.end()
+    return F.concat(*parts, F.lit(template[at:]))
+
+
+# --- placement -----------------------------------------------------------------------------------------------------------
+def rendezvous(key: Column, nodes: dict[int, float]) -> Column:
+    """The nodes by descending score weight / -log2(h), h in (0, 1) a hash of key and node: each node gets keys in proportion to its weight, and one that comes or
+    goes moves only its own. Ties go to the lesser node."""
+
+    def distance(node: int, weight: float) -> Column:
+        h = F.conv(F.substring(F.sha2(F.concat(key, F.lit(f"\0{node}")), 256), 1, 13), 16, 10).cast("long")
+        return -F.log2((h + 0.5) / float(2**52)) / weight
+
+    return F.transform(F.array_sort(F.array(*(F.struct(distance(n, w).alias("d"), F.lit(n).alias("n")) for n, w in nodes.items()))), lambda x: x["n"])
+
+
+# --- order-preserving keys -----------------------------------------------------------------------------------------------
+def order_key(value: Column, type_: str, down: bool = False) -> Column:
+    """Bytes that sort as the values do: nulls first, then by value; with down the reverse. Texts end by 00 00 and spell 00 as 00 FF, so that
+    keys of several columns can stand one after the other."""
+    if type_ == "string":
+        body = F.concat(F.regexp_replace(F.hex(value.cast("binary")), "(..)", "$1,"), F.lit(""))
+        body = F.concat(F.replace(F.regexp_replace(body, "00,", "00FF,"), F.lit(","), F.lit("")), F.lit("0000"))
+    elif type_ == "long":
+        body = F.lpad(F.hex(value.cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    elif type_ == "double":
+        bits = F.call_function("java_method", F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value.cast("double") + 0.0).cast("long")
+        body = F.lpad(F.hex(F.when(bits < 0, F.bitwise_not(bits)).otherwise(bits.bitwiseXOR(F.lit(-(2**63))))), 16, "0")
+    else:
+        raise ValueError(type_)
+    text = F.coalesce(F.concat(F.lit("01"), body), F.lit("00"))
+    return F.unhex(F.translate(text, "0123456789ABCDEF", "FEDCBA9876543210") if down else text)

@@ -8,7 +8,7 @@ object's relations; a tuple with a userset on the userset. Cycles end by themsel
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +78,16 @@ class Schema:
                             raise Invalid(f"{ns}#{name}: {r.tupleset} is no direct relation")
         return self
 
+    def stored(self) -> dict:
+        kind = lambda what: ["direct", [asdict(x) for x in what.allowed]] if isinstance(what, Direct) else ["permission", [asdict(x) for x in what.rules]]
+        return {ns: {name: kind(what) for name, what in rel.items()} for ns, rel in self.namespaces.items()}
+
+    @staticmethod
+    def restored(body: dict) -> Schema:
+        rule = lambda x: Through(**x) if "tupleset" in x else Inherit(**x)
+        made = lambda kind, xs: Direct(tuple(Selector(**x) for x in xs)) if kind == "direct" else Permission(tuple(map(rule, xs)))
+        return Schema({ns: {name: made(*what) for name, what in rel.items()} for ns, rel in body.items()})
+
     def rules(self, spark: SparkSession) -> DataFrame:
         """(namespace, relation, tupleset or null, target)."""
         rows = [(ns, name, getattr(r, "tupleset", None), r.relation) for ns, rel in self.namespaces.items() for name, p in rel.items() if isinstance(p, Permission) for r in p.rules]
@@ -88,25 +98,42 @@ class Schema:
         return spark.createDataFrame(rows, "namespace string, relation string, kind string, s_namespace string, s_relation string, s_id string")
 
 
-@dataclass
 class Bindings:
-    """Schema of each realm, changed by compare-and-set on a generation."""
+    """Schemas and the schema of each realm, changed by compare-and-set on a generation; stored in a document if one is given."""
+
+    def __init__(self, document=None) -> None:
+        self.document, self.number = document, 0
+        self.schemas: dict[str, Schema] = {}
+        self.bound: dict[str, tuple[str, int]] = {}
+
+    def _load(self) -> None:
+        if self.document is not None:
+            self.number, value = self.document.read()
+            value = value or {"schemas": {}, "bound": {}}
+            self.schemas = {n: Schema.restored(x) for n, x in value["schemas"].items()}
+            self.bound = {r: (n, g) for r, (n, g) in value["bound"].items()}
 
-    schemas: dict[str, Schema] = field(default_factory=dict)
-    bound: dict[str, tuple[str, int]] = field(default_factory=dict)
+    def _save(self) -> None:
+        if self.document is not None:
+            self.number = self.document.write({"schemas": {n: x.stored() for n, x in self.schemas.items()}, "bound": self.bound}, self.number)
 
     def put(self, name: str, schema: Schema) -> None:
+        self._load()
         self.schemas[name] = schema.compile()
+        self._save()
 
     def bind(self, realm: str, name: str, expected: int) -> int:
+        self._load()
         if self.bound.get(realm, ("", 0))[1] != expected:
             raise Invalid("binding generation")
         if name not in self.schemas:
             raise Invalid("no such schema")
         self.bound[realm] = (name, expected + 1)
+        self._save()
         return expected + 1
 
     def get(self, realm: str) -> tuple[Schema, int]:
+        self._load()
         name, generation = self.bound[realm]
         return self.schemas[name], generation
 

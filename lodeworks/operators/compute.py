@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalar import canonical_column
+from ..plans.lineage import folder
 from ..plans.definition import SPARK, Cap, Definition, Field, Invalid, Type
 
 MAX_COMPUTATIONS = 32
@@ -74,9 +76,24 @@ def aggregate(rows: DataFrame, d: Definition, wanted: Sequence[tuple[str, str]])
 
 
 def nearest_rank(rows: DataFrame, column: str, percents: Sequence[int]) -> DataFrame:
-    """Mean and nearest-rank percentiles: the least value whose rank reaches the percentage of the count. Spark merges frequencies, so what one task
-    holds grows with the distinct values (of a latency report), not with the rows."""
-    return rows.agg(F.avg(column).alias("mean"), *(F.expr(f"percentile_disc({p / 100}) within group (order by `{column}`)").alias(f"p{p}") for p in percents))
+    """Mean and nearest-rank percentiles: the least value whose rank reaches the percentage of the count; nulls don't count. Frequencies of distinct values are
+    written in ranges of values; the sizes of the ranges (one row each) say in which range a rank lies, and only those ranges are ranked, each in its task."""
+    spark = rows.sparkSession
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    path = folder(spark, "frequencies")
+    counts.repartitionByRange("v").select("v", "n", F.spark_partition_id().alias("part")).write.parquet(path)
+    written = spark.read.parquet(path)
+    sizes = written.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
+    total, before, wanted = sum(r.n for r in sizes), 0, []
+    for r in sizes:
+        wanted += [(r.part, before, p, rank) for p in percents if before < (rank := max(1, -(-p * total // 100))) <= before + r.n]
+        before += r.n
+    w = Window.partitionBy("part").orderBy("v")
+    targets = F.broadcast(spark.createDataFrame(wanted, "part int, before long, percent int, rank long"))  # a row for each percentage
+    ranked = written.join(F.broadcast(targets.select("part").distinct()), "part", "left_semi").withColumn("_upto", F.sum("n").over(w))
+    found = ranked.join(targets, "part").where(F.col("before") + F.col("_upto") >= F.col("rank")).groupBy("percent").agg(F.min("v").alias("v"))
+    picked = found.agg(*(F.max(F.when(F.col("percent") == p, F.col("v"))).alias(f"p{p}") for p in percents))
+    return rows.agg(F.avg(column).alias("mean")).join(F.broadcast(picked))
 
 
 def segment_statistics(records: DataFrame, d: Definition) -> DataFrame:

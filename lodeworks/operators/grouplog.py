@@ -6,11 +6,18 @@ entries: group, index (from 1), previous_hash, hash, payload. The hash of an ent
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from ..functions.streams import batched, tuples
+from . import authz
+
 GENESIS = ""
 
 
@@ -23,25 +30,20 @@ def entry_hash_column(previous: Column, index: Column, payload: Column) -> Colum
 
 
 def build_chains(items: DataFrame, group: str, order: str, payload: str) -> DataFrame:
-    """Entries from ordered items. Each hash needs the one before, so a group is one fold over its sorted payloads."""
-    rows = items.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(payload).alias("p")))).alias("xs"))
-    entry = "struct<index: bigint, previous_hash: string, hash: string, payload: string>"
-    step = F.aggregate(
-        "xs",
-        F.array().cast(f"array<{entry}>"),
-        lambda acc, x: F.concat(
-            acc,
-            F.array(
-                F.struct(
-                    (F.size(acc) + 1).cast("bigint").alias("index"),
-                    F.coalesce(F.try_element_at(acc, F.lit(-1))["hash"], F.lit(GENESIS)).alias("previous_hash"),
-                    entry_hash_column(F.coalesce(F.try_element_at(acc, F.lit(-1))["hash"], F.lit(GENESIS)), (F.size(acc) + 1).cast("bigint"), x["p"]).alias("hash"),
-                    x["p"].alias("payload"),
-                )
-            ).cast(f"array<{entry}>"),
-        ),
-    )
-    return rows.select(F.col(group).alias("group"), F.explode(step).alias("e")).select("group", "e.*")
+    """Entries from ordered items. Each hash needs the one before, so a group is one fold over its sorted payloads, which stream through a task."""
+    kind = items.schema[group].dataType
+    schema = pa.schema([("group", to_arrow_type(kind)), ("index", pa.int64()), ("previous_hash", pa.string()), ("hash", pa.string()), ("payload", pa.string())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for g, rows in groupby(tuples(batches, group, payload), key=lambda r: r[0]):
+            before = GENESIS
+            for i, (_, p) in enumerate(rows, 1):
+                now = entry_hash(before, i, p)
+                yield g, i, before, now, p
+                before = now
+
+    ordered = items.select(group, order, payload).repartition(group).sortWithinPartitions(group, order, payload).select(group, F.col(payload).cast("string").alias(payload))
+    return ordered.mapInArrow(lambda batches: batched(fold(batches), schema), f"group {kind.simpleString()}, index long, previous_hash string, hash string, payload string")
 
 
 def append(entries: DataFrame, requests: DataFrame) -> DataFrame:
@@ -95,3 +97,24 @@ def read_snapshot(snapshots: DataFrame, group, offset: int, length: int) -> Data
     mine = snapshots.where(F.col("group") == group)
     newest = mine.groupBy("group").agg(F.max_by(F.struct("index", "body"), "index").alias("s"))
     return newest.select("group", "s.index", F.substring("s.body", offset + 1, length).alias("piece"), F.octet_length("s.body").alias("size"))
+
+
+ROLES = ("reader", "writer", "admin")
+
+
+def change_roles(tuples: DataFrame, changes: DataFrame, revision: int) -> DataFrame:
+    """changes: group, role, subject_namespace, subject_id, grant (false: revoke). The relationship tuples after one batch of grants and revocations, a revocation of
+    what the same batch grants coming first; a role that isn't one is an error. Groups are objects of the namespace group_log."""
+    role = F.when(F.col("role").isin(*ROLES), F.col("role")).otherwise(F.raise_error(F.concat(F.lit("no role "), "role")))
+    rows = changes.select(
+        F.lit("group_log").alias("namespace"), F.col("group").cast("string").alias("id"), role.alias("relation"), "subject_namespace", "subject_id", F.lit(None).cast("string").alias("subject_relation"), "grant"
+    )
+    return authz.mutate(tuples, rows.where("grant").drop("grant"), rows.where("not grant").drop("grant"), revision)
+
+
+def role_schema() -> authz.Schema:
+    """Administrators write, writers read."""
+    users = authz.Direct((authz.Selector("object", "principal"),))
+    roles = {"reader": users, "writer": users, "admin": users, "administer": authz.Permission((authz.Inherit("admin"),))}
+    roles |= {"write": authz.Permission((authz.Inherit("writer"), authz.Inherit("administer"))), "read": authz.Permission((authz.Inherit("reader"), authz.Inherit("write")))}
+    return authz.Schema({"principal": {}, "group_log": roles}).compile()

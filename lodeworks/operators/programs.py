@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
 
-from ..functions.scalar import COMPARE, checked_add, checked_integer, expand, json_remove, json_select, json_set
+from ..functions.scalar import COMPARE, checked_add, checked_integer, expand, expand_column, json_remove, json_select, json_set
+from ..functions.streams import batched, tuples
 from ..plans.definition import Invalid
 
 MAX_PATHS, MAX_WRITES, MAX_STEPS, MAX_BYTES = 16, 16, 64, 1 << 20
@@ -127,17 +132,35 @@ def evaluate(program: Program, inputs: dict[str, Any], before: dict[str, tuple[i
 
 def run_by_key(calls: DataFrame, program: Program, key: str, state_path: str, start: Any, outputs: Sequence[str]) -> DataFrame:
     """calls: key, ordinal, inputs (JSON). Runs a program once per call, in order, on the key's own document, whose path is state_path expanded with
-    the inputs. (key, applied, failed, document): keys are independent, so this spreads; a key's calls are sequential by definition."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        doc, version, applied, failed = start, 0, 0, 0
-        for inputs in map(json.loads, rows.sort_values("ordinal")["inputs"]):
-            path = expand(state_path, inputs)
-            b = evaluate(program, inputs, {path: (version, doc)})
-            if b.ok:
-                doc, version, applied = b.writes.get(path, doc), version + bool(b.writes), applied + 1
-            else:
-                failed += 1
-        return pd.DataFrame({key: [rows[key].iloc[0]], "applied": [applied], "failed": [failed], "document": [json.dumps(doc)]})
-
-    return calls.groupBy(key).applyInPandas(fold, f"{key} {dict(calls.dtypes)[key]}, applied long, failed long, document string")
+    the inputs. (key, applied, failed, document): keys are independent, so this spreads; a key's calls are sequential by definition, and stream through
+    its task in order, which holds one document."""
+    kind = calls.schema[key].dataType
+    schema = pa.schema([(key, to_arrow_type(kind)), ("applied", pa.int64()), ("failed", pa.int64()), ("document", pa.string())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for k, rows in groupby(tuples(batches, key, "inputs"), key=lambda r: r[0]):
+            doc, version, applied, failed = start, 0, 0, 0
+            for inputs in (json.loads(r[1]) for r in rows):
+                path = expand(state_path, inputs)
+                b = evaluate(program, inputs, {path: (version, doc)})
+                if b.ok:
+                    doc, version, applied = b.writes.get(path, doc), version + bool(b.writes), applied + 1
+                else:
+                    failed += 1
+            yield k, applied, failed, json.dumps(doc)
+
+    ordered = calls.select(key, "ordinal", "inputs").repartition(key).sortWithinPartitions(key, "ordinal")
+    return ordered.mapInArrow(lambda batches: batched(fold(batches), schema), f"`{key}` {kind.simpleString()}, applied long, failed long, document string")
+
+
+def lock_order(program: Program, inputs: dict[str, Column]) -> Column:
+    """paths() for a table of calls: the distinct expanded paths of each, in byte order, in which a committer takes its locks."""
+    found = {p for x in (*program.assertions, *program.steps) for p in (x.path, getattr(x, "source", "")) if p} | {p for _, p, _ in program.outputs}
+    return F.array_sort(F.array_distinct(F.array(*(expand_column(p, inputs) for p in sorted(found)))))
+
+
+def conflicts(calls: DataFrame, paths_: str = "paths") -> DataFrame:
+    """(path, ordinal, waits_for): for each path that a call locks, the call before it on that path. A call runs once all that it waits for are done, so
+    calls without a common path run at once. One sort by path; a path's calls are one chain by definition."""
+    locks = calls.select("ordinal", F.explode(paths_).alias("path"))
+    return locks.withColumn("waits_for", F.lag("ordinal").over(Window.partitionBy("path").orderBy("ordinal")))

@@ -144,9 +144,9 @@ FEED_SQL = """aff as (
     trim(['PyPI', 'npm', 'crates.io', 'Go', 'Maven:central', ' '][l_partkey % 6 + 1]) as e0, p_brand || '_' || l_partkey % 4 as name
   from lineitem join part on l_partkey = p_partkey),
 scoped as (
-  select k, i, lower(split_part(e0, ':', 1)) as eco, name from aff),
+  select k, i, case lower(e0) when 'cargo' then 'crates.io' else lower(e0) end as eco, name from aff),
 canon as (
-  select k, i, eco, case when eco = 'pypi' then regexp_replace(lower(trim(name)), '[-_.]+', '-', 'g') when eco in ('npm', 'crates.io', 'cargo') then lower(trim(name)) else trim(name) end as pkg from scoped),
+  select k, i, eco, case when eco = 'pypi' then array_to_string(list_filter(string_split_regex(lower(trim(name)), '[-_.]'), lambda x: x <> ''), '-') when eco = 'npm' then lower(trim(name)) else trim(name) end as pkg from scoped),
 keyed as (
   select o_orderkey as k, i, case when coalesce(eco, '') <> '' then eco else '' end as ecosystem, case when coalesce(eco, '') <> '' then pkg else '' end as package
   from orders left join canon on o_orderkey = k),

@@ -89,6 +89,16 @@ class Definition:
         body = {k: v for k, v in asdict(self).items() if k not in ("version", "command_id", "name", "tenant", "bucket")}
         return hashlib.sha256(json.dumps(body, sort_keys=True, default=lambda x: sorted(x)).encode()).hexdigest()
 
+    def stored(self) -> dict:
+        """JSON values, from which restored() makes an equal definition."""
+        return json.loads(json.dumps(asdict(self), default=sorted))
+
+    @staticmethod
+    def restored(body: dict) -> Definition:
+        fields = tuple(Field(f["name"], Type(f["type"]), frozenset(map(Cap, f["capabilities"])), f["pointer"], f["multi"]) for f in body["fields"])
+        order = tuple((n, bool(down)) for n, down in body["physical_order"])
+        return Definition(**(body | {"fields": fields, "physical_order": order, "selector": tuple(body["selector"])}))
+
     def validate(self) -> Definition:
         if self.kind not in KINDS:
             raise Invalid(f"kind {self.kind}")
@@ -156,15 +166,28 @@ class Builder:
 
 
 class Store:
-    """The definitions of a catalog: create, compare-and-set update, list, rebuild, delete. Its state is one JSON document."""
+    """The definitions of a catalog: create, compare-and-set update, list, rebuild, delete. Each call reads the stored document and each change writes its next
+    version, so that another process sees it and one of two writers at once is refused. Without a document the state lasts as long as the store."""
 
     REBUILD_SECONDS = 3600
 
-    def __init__(self) -> None:
+    def __init__(self, document=None) -> None:
+        self.document, self.number = document, 0
         self.rows: dict[tuple[str, str, str], Definition] = {}
         self.rebuilt: dict[str, float] = {}
 
+    def _load(self) -> None:
+        if self.document is not None:
+            self.number, value = self.document.read()
+            each = [Definition.restored(d) for d in (value or {"definitions": []})["definitions"]]
+            self.rows, self.rebuilt = {(d.tenant, d.bucket, d.name): d for d in each}, dict((value or {"rebuilt": {}})["rebuilt"])
+
+    def _save(self) -> None:
+        if self.document is not None:
+            self.number = self.document.write({"definitions": [d.stored() for _, d in sorted(self.rows.items())], "rebuilt": self.rebuilt}, self.number)
+
     def create(self, d: Definition) -> Definition:
+        self._load()
         key = (d.tenant, d.bucket, d.name)
         old = self.rows.get(key)
         if old is not None:
@@ -172,9 +195,11 @@ class Store:
                 return old
             raise Invalid("it exists")
         self.rows[key] = d.validate()
+        self._save()
         return d
 
     def get(self, tenant: str, bucket: str, name: str) -> Definition:
+        self._load()
         if (tenant, bucket, name) not in self.rows:
             raise Invalid("no such index")
         return self.rows[tenant, bucket, name]
@@ -185,23 +210,29 @@ class Store:
             raise Invalid(f"version is {old.version}")
         new = replace(d, version=old.version + 1, command_id=old.command_id).validate()
         self.rows[d.tenant, d.bucket, d.name] = new
+        self._save()
         return new
 
     def delete(self, tenant: str, bucket: str, name: str, expected_version: int) -> Definition:
         old = self.get(tenant, bucket, name)
         if old.version != expected_version:
             raise Invalid(f"version is {old.version}")
-        return self.rows.pop((tenant, bucket, name))
+        self.rows.pop((tenant, bucket, name))
+        self._save()
+        return old
 
     def list(self, tenant: str, bucket: str, after: str = "", limit: int = 100, allowed=lambda d: True) -> tuple[list[Definition], bool]:
         if not 1 <= limit <= 1000:
             raise Invalid("limit is 1 to 1000")
+        self._load()
         found = [d for k, d in sorted(self.rows.items()) if k[:2] == (tenant, bucket) and k[2].encode() > after.encode() and allowed(d)]
         return found[:limit], len(found) > limit
 
     def rebuild(self, d: Definition, now: float) -> Definition:
         """Admits a rebuild, once an hour for a definition."""
+        self._load()
         if now - self.rebuilt.get(d.index_id, -1e18) < self.REBUILD_SECONDS:
             raise Invalid("rebuilt less than an hour ago")
         self.rebuilt[d.index_id] = now
+        self._save()
         return d

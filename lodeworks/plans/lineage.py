@@ -1,18 +1,43 @@
-"""Cutting lineage of iterative jobs through the shared checkpoint folder."""
+"""Cutting lineage, and the shared folder in which that and scratch tables lie."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_OWN: dict[str, str] = {}
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint. The folder is spark.checkpoint.dir; a temporary one is set only where that is unset."""
-    spark = df.sparkSession
+
+def shared(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all executors share. Where that is unset: a temporary folder if all runs in this process, as in tests; on a cluster an
+    error, because each machine would write to its own disk. The session's settings stay as they are."""
     base = spark.conf.get("spark.checkpoint.dir", "")
-    if not base:
-        base = tempfile.mkdtemp(prefix="lodeworks-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    spark.sparkContext.setCheckpointDir(base)
+    if base:
+        return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if "base" not in _OWN:
+        _OWN["base"] = tempfile.mkdtemp(prefix="lodeworks-")
+    return _OWN["base"]
+
+
+@atexit.register
+def _clean() -> None:
+    for path in _OWN.values():
+        shutil.rmtree(path, ignore_errors=True)
+
+
+def folder(spark: SparkSession, name: str = "table") -> str:
+    """A new path below shared(); nothing is there yet."""
+    return f"{shared(spark)}/lodeworks/{uuid.uuid4().hex}/{name}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint."""
+    df.sparkSession.sparkContext.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint()

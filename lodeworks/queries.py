@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import io
 import json
-import tempfile
 import zipfile
 from collections.abc import Callable
 from dataclasses import replace
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import scalar as X
 from .operators import advisories, authz, compute, grouplog, programs, projection, search
 from .operators import predicate as Q
 from .plans import datasets as D
 from .plans.datasets import DOCS_SQL, FEED_SQL, JOURNAL_SQL, PARTS_SQL, TALK_SQL, VERSIONS_SQL, table
+from .plans.lineage import folder
+from .plans.catalog import Document
 from .plans.definition import Builder, Cap, Definition, Invalid, Store, Type
 from .sources import files, objects
 from .streaming import accounting, generation, journal
@@ -37,13 +40,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.gettempdir()
-    import uuid
-
-    return f"{base.rstrip('/')}/lodeworks-{uuid.uuid4().hex}"
-
-
 # --- flagship: the shape of the incident query --------------------------------------------------------------------------
 FLAGSHIP = Q.both(Q.equal("lang", "en"), Q.compare("ge", "n_chars", 1000), Q.among("source", "src1", "src2", "src3"))
 FLAGSHIP_ORDER = (("n_chars", True), ("source", False))
@@ -126,11 +122,16 @@ def _(spark, sf):
 
 @query("s11_ndjson_shards", "select o_orderkey % 4 as part, o_orderkey as id from orders")
 def _(spark, sf):
-    """Written as compressed shards and read back."""
+    """Written as gzip shards and as zstd shards; read back from both, which must agree."""
     o = table(spark, sf, "orders").select((F.col("o_orderkey") % 4).alias("partition"), F.col("o_orderkey").alias("id"), F.to_json(F.struct((F.col("o_orderkey") % 4).alias("part"), F.col("o_orderkey").alias("id"))).alias("body"))
     path = folder(spark)
-    files.write_ndjson(files.shards(o, shard_bytes=50_000), path)
-    return spark.read.schema("part long, id long").json(path).select("part", "id")
+    cut, packed = files.shards(o, shard_bytes=50_000), folder(spark, "zstd")
+    files.write_ndjson(cut, path)
+    written = files.write_ndjson_zstd(cut, packed)
+    plain = spark.read.schema("part long, id long").json(path).select("part", "id")
+    parsed = files.read_ndjson_zstd(spark, packed).select(F.from_json("body", "part long, id long").alias("r")).select("r.part", "r.id")
+    assert written.agg(F.sum("documents")).first()[0] == o.count()
+    return plain.intersectAll(parsed)
 
 
 @query("s12_zip_source", "select n_name || '.json' as name, '{\"k\": ' || n_nationkey || '}' as body from nation")
@@ -182,7 +183,7 @@ def _(spark, sf):
     return r.select(F.col("path.v").alias("path"), F.col("result_version").alias("version"))
 
 
-@query("p03_metadata", "select 'events/' || event_type || '/' || event_id as path, octet_length(encode(props)) as content_length, sha256(props) as content_hash, epoch_ms(ts) as millis from events")
+@query("p03_metadata", "select 'events/' || event_type || '/' || event_id as path, octet_length(encode(props)) as content_length, sha256(props) as content_hash, epoch_us(ts) // 1000 as millis from events")
 def _(spark, sf):
     fields = [("path", Type.KEYWORD), ("content_length", Type.UNSIGNED), ("content_hash", Type.KEYWORD), ("committed_at_unix_millis", Type.UNSIGNED)]
     b = Builder(Definition("x", kind="metadata"))
@@ -765,25 +766,66 @@ def _(spark, sf):
     return e.select("event_id", F.try_variant_get(X.pointer_get(v, "/k"), "$", "long").alias("k"), F.try_variant_get(X.pointer_get(n, "/a~1b/1/k"), "$", "long").alias("nested"))
 
 
-@query("x02_x04_json_edit", "select '{\"a\":[1,9]}' as set_element, '{\"a\":[1]}' as removed, '{\"a\":[1,2],\"b~/\":3}' as added")
+@query(
+    "x02_x04_json_edit",
+    """with d as (select event_id, json_extract(props, '$.k')::bigint as k from events)
+select event_id, '{"a":[1,' || event_id || '],"k":' || k || '}' as set_element, '{"a":[' || k || '],"k":' || k || '}' as removed, '{"a":[1,' || k || '],"k":' || k || ',"b~/":' || event_id || '}' as added,
+  null::varchar as beyond, null::varchar as leading_zero, '"é"' as whole from d""",
+)
+def _(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    doc = F.concat(F.lit('{"a": [1, '), "k", F.lit('], "k":'), "k", F.lit("}"))
+    own = F.col("event_id").cast("string")
+    return e.select(
+        "event_id", X.set_column(doc, "/a/1", own).alias("set_element"), X.remove_column(doc, "/a/0").alias("removed"), X.set_column(doc, "/b~0~1", own).alias("added"), X.remove_column(doc, "/a/2").alias("beyond"),
+        X.set_column(doc, "/a/00", own).alias("leading_zero"), X.set_column(doc, "", F.lit('"é"')).alias("whole"),
+    )
+
+
+@query(
+    "x05_x06_checked_arithmetic",
+    """with d as (select l_orderkey, l_linenumber, l_partkey, 9223372036854775807::hugeint - l_partkey % 3 as a, l_linenumber % 4 as b, l_partkey - l_suppkey as c from lineitem)
+select l_orderkey, l_linenumber, case when a + b <= 9223372036854775807 then (a + b)::varchar end as total, case when c between 0 and 100 then c end as bounded,
+  case when l_partkey % 2 = 0 then '18446744073709551615' end as wide, b < 2 as less from d""",
+)
 def _(spark, sf):
-    doc, dump = {"a": [1, 2]}, lambda x: json.dumps(x, separators=(",", ":"))
-    return spark.createDataFrame([(dump(X.json_set(doc, "/a/1", 9)), dump(X.json_remove(doc, "/a/1")), dump(X.json_set(doc, "/b~0~1", 3)))], "set_element string, removed string, added string")
+    l = table(spark, sf, "lineitem")
+    top, n = F.lit(2**63 - 1) - F.col("l_partkey") % 3, (F.col("l_linenumber") % 4).cast("long")
+    wide = X.add_column(F.lit(Decimal(2**64 - 1)).cast("decimal(20,0)"), F.col("l_partkey") % 2, unsigned=True)
+    return l.select(
+        "l_orderkey", "l_linenumber", X.add_column(top, n).cast("string").alias("total"), X.add_column(F.col("l_partkey"), -F.col("l_suppkey"), least=0, most=100).alias("bounded"), wide.cast("string").alias("wide"),
+        X.compare_columns("lt", n, F.lit(2)).alias("less"),
+    )
 
 
-@query("x05_x06_checked_arithmetic", "select 9223372036854775807 as top, true as overflow, true as less")
+@query("x07_template", "select c_custkey, 'users/' || c_custkey || '/{' || c_mktsegment || '}' as path from customer")
 def _(spark, sf):
-    try:
-        X.checked_add(2**63 - 1, 1, False)
-        over = False
-    except OverflowError:
-        over = True
-    return spark.createDataFrame([(X.checked_add(2**63 - 2, 1, False), over, X.COMPARE["lt"](1, 2))], "top long, overflow boolean, less boolean")
+    return table(spark, sf, "customer").select("c_custkey", X.expand_column("users/{id}/{{{segment}}}", {"id": F.col("c_custkey"), "segment": F.col("c_mktsegment")}).alias("path"))
 
 
-@query("x07_template", "select 'users/5/{x}' as path")
+@query("x09_order_keys", "select p_partkey, true as by_text, true as by_number, true as by_float, true as down from part")
 def _(spark, sf):
-    return spark.createDataFrame([(X.expand("users/{id}/{{x}}", {"id": 5}),)], "path string")
+    """Each part's place among those with the next text, number and fraction is the same by its key. lead() over ranges of a brand, so no task holds all parts."""
+    p = table(spark, sf, "part").select("p_partkey", "p_brand", F.when(F.col("p_size") % 10 != 3, F.concat(F.lit("a\0"), "p_name")).alias("t"), (F.col("p_partkey") * 7 - 500 * F.col("p_size")).alias("n"), (F.col("p_retailprice") - 1000).alias("d"))
+
+    def agrees(c: str, kind: str, down: bool = False):
+        w = Window.partitionBy("p_brand", "t_").orderBy(F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_first(), "p_partkey")
+        mine, after = X.order_key(F.col(c), kind, down), F.lead(X.order_key(F.col(c), kind, down)).over(w)
+        same = F.lead(F.struct(c)).over(w) == F.struct(c)
+        return F.coalesce(F.when(same, mine == after).otherwise(mine < after), F.lit(True))
+
+    p = p.withColumn("t_", F.col("p_partkey") % 50)
+    return p.select("p_partkey", agrees("t", "string").alias("by_text"), agrees("n", "long").alias("by_number"), agrees("d", "double").alias("by_float"), agrees("n", "long", True).alias("down"))
+
+
+@query(
+    "x15_placement",
+    """with n(node, w) as (values (1, 1.0), (2, 2.0), (3, 1.0), (4, 0.5)), s as (select p_partkey, node, -log2((('0x' || substr(sha256('parts/' || p_partkey || chr(0) || node), 1, 13))::bigint + 0.5) / 4503599627370496.0) / w as d from part, n)
+select p_partkey, string_agg(node, ',' order by d, node) as nodes from s group by p_partkey""",
+)
+def _(spark, sf):
+    nodes = {1: 1.0, 2: 2.0, 3: 1.0, 4: 0.5}
+    return table(spark, sf, "part").select("p_partkey", F.array_join(X.rendezvous(F.concat(F.lit("parts/"), F.col("p_partkey").cast("string")), nodes), ",").alias("nodes"))
 
 
 @query("x08_canonical_scalars", "select p_partkey, to_json(p_name)::varchar as name, p_size::varchar as size from part")
@@ -791,11 +833,17 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", X.canonical_column(F.col("p_name"), "string").alias("name"), X.canonical_column(F.col("p_size"), "int").alias("size"))
 
 
-@query("x10_x13_normalisation", "select distinct lower(split_part(e, ':', 1)) as eco, lower(split_part(e, ':', 1)) in ('npm', 'pypi') as own from (select unnest(['PyPI', 'npm', 'Go', 'Maven:x']) as e)")
+@query(
+    "x10_x13_normalisation",
+    """with d as (select p_partkey, trim([' PyPI', 'npm', 'Cargo', 'crates.io', 'Maven:Central', 'GO '][p_partkey % 6 + 1]) as e, trim('_' || p_brand || '-_' || p_type || '. ') as n from part)
+select p_partkey, case lower(e) when 'cargo' then 'crates.io' else lower(e) end as eco, case lower(e) when 'cargo' then 'cargo' when 'crates.io' then 'cargo' when 'npm' then 'npm' when 'pypi' then 'pypi' else 'other' end as part,
+  case lower(e) when 'pypi' then array_to_string(list_filter(string_split_regex(lower(n), '[-_.]'), lambda x: x <> ''), '-') when 'npm' then lower(n) else n end as pkg, ['A', 'b'] as texts from d""",
+)
 def _(spark, sf):
-    e = spark.createDataFrame([("PyPI",), ("npm",), ("Go",), ("Maven:x",)], "e string")
-    eco = X.ecosystem(F.col("e"))
-    return e.select(eco.alias("eco"), X.partition(eco).isin("npm", "pypi").alias("own"))
+    p = table(spark, sf, "part")
+    eco = X.ecosystem(F.element_at(F.array(*(F.lit(x) for x in (" PyPI", "npm", "Cargo", "crates.io", "Maven:Central", "GO "))), (F.col("p_partkey") % 6 + 1).cast("int")))
+    name = F.concat(F.lit("_"), "p_brand", F.lit("-_"), "p_type", F.lit(". "))
+    return p.select("p_partkey", eco.alias("eco"), X.partition(eco).alias("part"), X.package(eco, name).alias("pkg"), X.sorted_distinct(F.array(F.lit(" b"), F.lit("A"), F.lit(""), F.lit("b"), F.lit(None))).alias("texts"))
 
 
 @query("x11_identity", "select p_partkey, sha256(p_brand || chr(0) || p_name) as id from part")
@@ -803,9 +851,11 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", X.identity(F.col("p_brand"), F.col("p_name")).alias("id"))
 
 
-@query("x12_day", "select o_orderkey, case when o_orderkey % 7 = 0 then 'unknown' else strftime(o_orderdate, '%Y-%m-%d') end as day from orders")
+@query("x12_day", "select o_orderkey, case o_orderkey % 7 when 0 then 'unknown' when 1 then '2024-13-32' else strftime(o_orderdate, '%Y-%m-%d') end as day from orders")
 def _(spark, sf):
-    s = F.when(F.col("o_orderkey") % 7 == 0, "2024-13-01").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
+    """Digits and dashes count, not the calendar."""
+    k = F.col("o_orderkey") % 7
+    s = F.when(k == 0, "2024/01/01").when(k == 1, "2024-13-32T").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
     return table(spark, sf, "orders").select("o_orderkey", X.day(s).alias("day"))
 
 
@@ -887,9 +937,19 @@ def _(spark, sf):
     raise AssertionError
 
 
-@query("m11_failure_codes")
+@query(
+    "m11_failure_codes",
+    f"""with {VERSIONS_SQL}, b as (select path, max(version) as now from versions where version < 500 group by path),
+o as (select version as ordinal, path, row_number() over (partition by path order by version) as k from versions where version >= 500)
+select ordinal, case when path = 'users/3' then 9 when path in ('users/1', 'users/2') then 2 else 1 end as code, case when path = 'users/3' then 'authorization_denied' when path in ('users/1', 'users/2') then 'immutable' else 'condition_failed' end as name, now as current_version
+from o left join b using (path)""",
+)
 def _(spark, sf):
-    return objects.failure_codes(spark)
+    """A write that expects a version that never was: refused, with the current version, by policy or by its condition."""
+    v = D.versions(spark, sf).where("version >= 500")
+    ops = v.select(F.col("version").alias("ordinal"), "path", F.lit("put_if_version").alias("op"), F.lit(-1).cast("long").alias("expected"), "version", F.lit(1).cast("long").alias("length"), F.lit("h").alias("hash"), F.lit(None).cast("string").alias("command_id"))
+    done = objects.bulk_write(ops, _base(spark, sf), immutable=["users/1", "users/2"], program_only=["users/3"])
+    return done.select("ordinal", objects.failure(F.col("outcome"), F.col("version")).alias("f")).select("ordinal", "f.code", "f.name", "f.current_version")
 
 
 # --- journals and generations (T) ----------------------------------------------------------------------------------------
@@ -992,13 +1052,14 @@ def _(spark, sf):
 
 @query("t10_late_data", _LIVE)
 def _(spark, sf):
-    """Pages in the wrong order: the highest version wins."""
+    """Pages in the wrong order, and one twice: the highest version wins."""
     ix = generation.Index(spark, folder(spark), _USERS)
     v = D.versions(spark, sf)
     ix.rebuild(objects.heads(v.where("version < 300")), {}, _user_project)
     ix.catch_up(v.where("version >= 600"), {}, _user_project)
-    late = v.where("version >= 300 and version < 600").join(v.where("version >= 600").select("path").distinct(), "path", "left_anti")
+    late = v.where("version >= 300 and version < 600")  # of paths with newer versions too
     ix.catch_up(late, {}, _user_project)
+    ix.catch_up(late.unionByName(late), {}, _user_project)
     return _live(ix.read())
 
 
@@ -1032,6 +1093,20 @@ def _(spark, sf):
     return journal.freshness(j, j.select("source").distinct().withColumn("next", F.lit(50)))
 
 
+@query(
+    "t15_traffic_buffer",
+    f"with {VERSIONS_SQL}, {_ACCOUNTS_SQL} select prefix, sum(coalesce(length, 0))::bigint as inbound, count(*)::bigint as outbound from defs a join versions v on a.prefix = '' or v.path = a.prefix or starts_with(v.path, a.prefix || '/') group by prefix",
+)
+def _(spark, sf):
+    """Buffered by second in a stream, some sent twice, then summed up by prefix."""
+    src, out = folder(spark, "sent"), folder(spark, "totals")
+    sent = D.versions(spark, sf).select(F.concat(F.lit("n"), (F.col("version") % 3).cast("string")).alias("node"), F.col("version").alias("flush_id"), "path", F.coalesce("length", F.lit(0)).alias("inbound"), F.lit(1).cast("long").alias("outbound"))
+    sent.unionByName(sent.where("flush_id % 5 = 0")).repartition(3, "flush_id").write.parquet(src)
+    stream = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    accounting.flush(stream, out, folder(spark, "checkpoint"), every=None).awaitTermination()
+    return accounting.traffic(spark.read.parquet(out), _accounts(spark, sf))
+
+
 # --- authorization (Z) ---------------------------------------------------------------------------------------------------
 @query("z01_schema", "select 5 as rules, 7 as selectors")
 def _(spark, sf):
@@ -1040,7 +1115,7 @@ def _(spark, sf):
 
 @query("z02_bindings", "select 1 as first, true as stale_refused")
 def _(spark, sf):
-    b = authz.Bindings()
+    b = authz.Bindings(Document(spark, folder(spark, "bindings")))
     b.put("acl", _ACL)
     first = b.bind("realm", "acl", 0)
     try:
@@ -1125,6 +1200,15 @@ def _(spark, sf):
     return r.select("o_custkey", F.get_json_object("document", "$.n").cast("long").alias("n"), F.get_json_object("document", "$.last").cast("long").alias("last"))
 
 
+@query("u05_lock_order", "select o_orderkey, list_sort(['c/' || o_custkey, 'days/' || strftime(o_orderdate, '%Y-%m-%d')]) as paths, lag(o_orderkey) over (partition by o_custkey order by o_orderkey) as waits_for from orders")
+def _(spark, sf):
+    """The paths of each call in the order of their locks, and the call that it waits for on the customer's document."""
+    p = programs.Program(steps=(programs.Step("add", "days/{day}", "/n", 1), programs.Step("add", "c/{id}", "/n", 1)), outputs=(("n", "c/{id}", "/n"),))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("ordinal"), programs.lock_order(p, {"id": F.col("o_custkey"), "day": F.date_format("o_orderdate", "yyyy-MM-dd")}).alias("paths"))
+    waits = programs.conflicts(o).where(F.col("path").startswith("c/")).select("ordinal", "waits_for")
+    return o.join(waits, "ordinal").select(F.col("ordinal").alias("o_orderkey"), "paths", "waits_for")
+
+
 @query("u04_bundle", "select 'a,b' as writes, 7 as total, true as all_or_nothing")
 def _(spark, sf):
     p = programs.Program(
@@ -1162,6 +1246,19 @@ def _(spark, sf):
     return grouplog.catch_up(e, e.agg(F.min("group")).first()[0], 0, "", 50).select("index", "payload")
 
 
+@query("k07_group_roles", "select c_custkey::varchar as id from customer where c_custkey % 3 = 0 or (c_custkey % 3 = 1 and c_custkey % 2 = 1)")
+def _(spark, sf):
+    """Administrators of every third group and readers of the next, whose grants are revoked again for even numbers; what the reader of groups may read."""
+    c = table(spark, sf, "customer")
+    role = F.element_at(F.array(F.lit("admin"), F.lit("reader"), F.lit("writer")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    who = F.when(F.col("c_custkey") % 3 == 2, "q").otherwise("p")
+    grants = c.select(F.col("c_custkey").alias("group"), role.alias("role"), F.lit("principal").alias("subject_namespace"), who.alias("subject_id"), F.lit(True).alias("grant"))
+    revoked = grants.where("group % 3 = 1 and group % 2 = 0").withColumn("grant", F.lit(False))
+    t = grouplog.change_roles(spark.createDataFrame([], authz.TUPLE), grants, 1)
+    t = grouplog.change_roles(t, revoked, 2)
+    return authz.objects_of(("principal", "p"), "group_log", "read", authz.at_revision(t), grouplog.role_schema())
+
+
 # --- advisories (O) ------------------------------------------------------------------------------------------------------
 @query("o01_split", f"with {FEED_SQL} select id, ecosystem, package, entries from split")
 def _(spark, sf):
@@ -1173,15 +1270,32 @@ def _(spark, sf):
     return advisories.normalise(D.feed(spark, sf)).select("id", "package", "state", "day", "identity", F.col("partition").alias("part"))
 
 
-@query("o03_shards")
+_SHARD_SQL = f"""with {FEED_SQL},
+rec as (
+  select s.id, ecosystem, package, sha256(s.id || chr(0) || ecosystem || chr(0) || package) as identity, case when ecosystem = 'crates.io' then 'cargo' when ecosystem in ('npm', 'pypi') then ecosystem else 'other' end as part,
+    case when o_orderkey % 11 = 0 then 'unknown' else strftime(o_orderdate, '%Y-%m-%d') end as day,
+    '{{"id":"' || s.id || '","ecosystem":"' || ecosystem || '","package":"' || package || '","entries":' || entries || ',"state":"' || case when o_orderstatus = 'F' then 'withdrawn' else 'active' end || '","aliases":["A-' || o_custkey % 9 || '","B"],"summary":"' || o_orderpriority
+      || '","day":"' || case when o_orderkey % 11 = 0 then 'unknown' else strftime(o_orderdate, '%Y-%m-%d') end || '"}}' as body
+  from split s join orders on o_orderkey = s.k),
+shard as (select *, (coalesce(sum(octet_length(encode(body)) + 1) over (partition by part order by identity rows between unbounded preceding and 1 preceding), 0) // 200000)::int as shard from rec)"""
+
+
+def _sharded(spark, sf):
+    return advisories.sharded(advisories.normalise(D.feed(spark, sf)).drop("id").withColumn("id", F.col("identity")), 200_000)
+
+
+@query("o03_shards", f"{_SHARD_SQL} select part, shard, sum(octet_length(encode(body)) + 1)::bigint as bytes from shard group by part, shard")
 def _(spark, sf):
-    r = advisories.sharded(advisories.normalise(D.feed(spark, sf)).drop("id").withColumn("id", F.col("identity")), 200_000)
-    return r.groupBy("partition", "shard").agg(F.sum(F.octet_length("body") + 1).alias("bytes"))
+    return _sharded(spark, sf).groupBy(F.col("partition").alias("part"), "shard").agg(F.sum(F.octet_length("body") + 1).alias("bytes"))
 
 
-@query("o04_manifest")
+@query(
+    "o04_manifest",
+    f"{_SHARD_SQL} select part, shard, count(*) as documents, sum(octet_length(encode(body)) + 1)::bigint as bytes, array_to_string(list_sort(list_distinct(list(ecosystem))), ',') as ecosystems, min(day) as first_day, max(day) as last_day, "
+    "sha256(string_agg(sha256(body), chr(10) order by sha256(body))) as digest from shard group by part, shard",
+)
 def _(spark, sf):
-    return advisories.manifest(advisories.sharded(advisories.normalise(D.feed(spark, sf)).drop("id").withColumn("id", F.col("identity")), 200_000))
+    return advisories.manifest(_sharded(spark, sf)).select(F.col("partition").alias("part"), "shard", "documents", "bytes", F.array_join("ecosystems", ",").alias("ecosystems"), "first_day", "last_day", "digest")
 
 
 @query("a15_shard_manifest", f"with {FEED_SQL} select case when ecosystem in ('cargo', 'crates.io') then 'cargo' when ecosystem in ('npm', 'pypi') then ecosystem else 'other' end as part, count(*) as documents, list_sort(list_distinct(list(ecosystem))) as ecosystems from split group by part")
@@ -1204,12 +1318,14 @@ def _(spark, sf):
 
 
 # --- definitions (D) -----------------------------------------------------------------------------------------------------
-@query("d01_d05_definitions")
+@query("d01_d05_definitions", "select * from (values ('replay', true), ('updated', true), ('listed', true), ('hourly', true), ('deleted', true), ('one_of_two_writers', true)) t(step, ok)")
 def _(spark, sf):
     """Create, replay, update, list, rebuild and delete."""
-    s, out = Store(), []
+    root, out = folder(spark, "definitions"), []
+    s = Store(Document(spark, root))
     a = s.create(DOCS)
-    out.append(("replay", s.create(DOCS) is a))
+    out.append(("replay", s.create(DOCS) == a))
+    s = Store(Document(spark, root))  # as another process would find it
     b = s.update(replace(DOCS, path_prefix="docs/x"), 1)
     out.append(("updated", b.version == 2 and b.index_id == a.index_id))
     s.create(replace(PARTS, name="aaa"))
@@ -1222,6 +1338,14 @@ def _(spark, sf):
         out.append(("hourly", True))
     s.delete("t", "b", "docs", 2)
     out.append(("deleted", s.list("t", "b")[0][0].name == "aaa"))
+    one, two = Document(spark, root), Document(spark, root)
+    at = one.read()
+    one.write(at[1], at[0])
+    try:
+        two.write(at[1], at[0])
+        out.append(("one_of_two_writers", False))
+    except Invalid:
+        out.append(("one_of_two_writers", True))
     assert all(ok for _, ok in out)
     return spark.createDataFrame(out, "step string, ok boolean")
 
@@ -1241,7 +1365,7 @@ def _(spark, sf):
 
 @query("d08_accounting_definitions", "select 2 as enabled, true as stale_refused")
 def _(spark, sf):
-    a = accounting.Definitions()
+    a = accounting.Definitions(Document(spark, folder(spark, "accounting")))
     first = a.enable("x")
     a.enable("y")
     try:
@@ -1249,7 +1373,7 @@ def _(spark, sf):
         refused = False
     except Invalid:
         refused = True
-    return spark.createDataFrame([(len(a.rows), refused)], "enabled int, stale_refused boolean")
+    return spark.createDataFrame([(sum(a.get(p) is not None for p in "xy"), refused)], "enabled int, stale_refused boolean")
 
 
 @query("d10_ancestors", f"with {DOCS_SQL} select path, ['', 'docs', 'docs/' || source, path] as prefixes from docs")

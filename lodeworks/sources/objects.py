@@ -5,14 +5,17 @@ versions: path, version, deleted, content_type, length, hash (and body where it
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
+from itertools import chain, groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import below, reserved
+from ..functions.streams import batched, tuples
 from ..plans.definition import Invalid
 
 LIST_DEFAULT, LIST_MAX, BATCH_MAX = 100, 1000, 1000
@@ -60,9 +63,13 @@ def get_object(versions: DataFrame, path: str, version: int | None = None) -> Da
 
 
 def batch_get(versions: DataFrame, requests: DataFrame) -> DataFrame:
-    """requests: ordinal, path, version (null: current), at most BATCH_MAX (a bound on the broadcast side). One outcome each, in order."""
-    asked = F.broadcast(requests.limit(BATCH_MAX + 1))
-    mine = versions.join(F.broadcast(requests.select("path").distinct()), "path", "left_semi")
+    """requests: ordinal, path, version (null: current). One outcome each, in order. More than BATCH_MAX are refused, all of them, before anything is
+    read; so what is broadcast is bounded."""
+    rows = requests.limit(BATCH_MAX + 1).collect()
+    if len(rows) > BATCH_MAX:
+        raise Invalid(f"a batch has at most {BATCH_MAX} requests")
+    asked = F.broadcast(requests.sparkSession.createDataFrame(rows, requests.schema))
+    mine = versions.join(F.broadcast(asked.select("path").distinct()), "path", "left_semi")
     current = heads(mine).select("path", F.col("version").alias("_now"), F.col("deleted").alias("_gone"))
     kept = mine.select("path", "version", F.col("deleted").alias("_tomb"), "length")
     r = asked.withColumnRenamed("version", "_want").join(current, "path", "left")
@@ -93,6 +100,10 @@ def retained_scan(versions: DataFrame) -> DataFrame:
 # --- mutations -----------------------------------------------------------------------------------------------------------
 OPS = ("put", "put_if_absent", "put_if_version", "put_immutable", "delete", "delete_if_version", "delete_version")
 OUTCOME = "ordinal long, path string, command_id string, outcome string, version long, replayed boolean, writes_version long, deleted boolean, length long, hash string, removes_version long"
+_OUTCOMES = pa.schema(
+    [("ordinal", pa.int64()), ("path", pa.string()), ("command_id", pa.string()), ("outcome", pa.string()), ("version", pa.int64()), ("replayed", pa.bool_()), ("writes_version", pa.int64()), ("deleted", pa.bool_()), ("length", pa.int64()), ("hash", pa.string()), ("removes_version", pa.int64())]
+)
+_SEQUENCE = ["path", "_op", "ordinal", "op", "expected", "version", "deleted", "length", "hash", "command_id"]
 
 
 def check_policy(immutable: Sequence[str], program_only: Sequence[str]) -> None:
@@ -108,11 +119,11 @@ def _covered(path: str, prefixes: Sequence[str]) -> bool:
     return any(path == p or path.startswith(p + "/") for p in prefixes)
 
 
-def fold_path(rows: list[dict], state: list[dict], immutable: Sequence[str], program_only: Sequence[str], versioned: bool) -> Iterator[dict]:
-    """Operations on one path in order, later ones seeing earlier ones. state: retained versions, oldest first."""
+def fold_path(rows: Iterable[dict], state: list[dict], immutable: Sequence[str], program_only: Sequence[str], versioned: bool) -> Iterator[dict]:
+    """Operations on one path, sorted by ordinal, later ones seeing earlier ones. state: retained versions, oldest first."""
     kept = {s["version"]: s for s in state}
     receipts: dict[str, tuple] = {}
-    for r in sorted(rows, key=lambda r: r["ordinal"]):
+    for r in rows:
         head = kept[max(kept)] if kept else None
         live = head is not None and not head["deleted"]
         out = dict(ordinal=r["ordinal"], path=r["path"], command_id=r["command_id"], outcome="ok", version=None, replayed=False, writes_version=None, deleted=None, length=None, hash=None, removes_version=None)
@@ -166,18 +177,29 @@ def fold_path(rows: list[dict], state: list[dict], immutable: Sequence[str], pro
 
 def bulk_write(ops: DataFrame, versions: DataFrame, immutable: Sequence[str] = (), program_only: Sequence[str] = (), versioned: bool = True) -> DataFrame:
     """ops: ordinal, path, op, expected, version (new, supplied by the log), length, hash, command_id. One outcome each. Operations meet only the versions of their own
-    paths; a path's operations are one sequential fold, and paths are independent, so this spreads over paths. writes_version and removes_version say what to do to
-    the log."""
+    paths; a path's operations are one sequential fold, and paths are independent, so this spreads over paths. A task streams its paths one after the
+    other and holds the retained versions of one. writes_version and removes_version say what to do to the log."""
     check_policy(immutable, program_only)
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        clean = lambda df: df.astype(object).where(df.notna(), None).to_dict("records")
-        if not len(left):
-            return pd.DataFrame(columns=[c.split()[0] for c in OUTCOME.split(", ")])
-        return pd.DataFrame(list(fold_path(clean(left), sorted(clean(right), key=lambda s: s["version"]), immutable, program_only, versioned)))
-
-    touched = versions.join(ops.select("path").distinct(), "path", "left_semi").select("path", "version", "deleted", "length", "hash")
-    return ops.groupBy("path").cogroup(touched.groupBy("path")).applyInPandas(run, OUTCOME)
+    names = [f.name for f in _OUTCOMES]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for _, rows in groupby((dict(zip(_SEQUENCE, r, strict=True)) for r in tuples(batches, *_SEQUENCE)), key=lambda r: r["path"]):
+            state: list[dict] = []
+            first = None
+            for first in rows:
+                if first["_op"]:
+                    break
+                state.append(first)
+            if first["_op"]:
+                for out in fold_path(chain([first], rows), state, immutable, program_only, versioned):
+                    yield tuple(out[n] for n in names)
+
+    none = lambda kind: F.lit(None).cast(kind)
+    touched = versions.join(ops.select("path").distinct(), "path", "left_semi")
+    before = touched.select("path", F.lit(False).alias("_op"), F.col("version").alias("ordinal"), none("string").alias("op"), none("long").alias("expected"), "version", "deleted", "length", "hash", none("string").alias("command_id"))
+    now = ops.select("path", F.lit(True).alias("_op"), "ordinal", "op", "expected", "version", none("boolean").alias("deleted"), "length", "hash", "command_id")
+    ordered = before.unionByName(now).repartition("path").sortWithinPartitions("path", "_op", "ordinal")
+    return ordered.mapInArrow(lambda batches: batched(run(batches), _OUTCOMES), OUTCOME)
 
 
 def apply_outcomes(versions: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -220,9 +242,21 @@ def policy_class(path: Column, immutable: Sequence[str], program_only: Sequence[
     return F.when(hit(program_only), "program_only").when(hit(immutable), "immutable").otherwise("open")
 
 
-def failure_codes(spark: SparkSession) -> DataFrame:
-    codes = ["exists", "version_mismatch", "immutable", "not_immutable_prefix", "program_only", "command_conflict", "not_versioned", "current_tombstone", "unknown_operation", "not_deleted"]
-    return spark.createDataFrame([(i, c) for i, c in enumerate(codes)], "code int, name string")
+#: The wire's failure codes, and which of them each refusal here is.
+CODES = {
+    0: "unspecified", 1: "condition_failed", 2: "immutable", 3: "idempotency_input_mismatch", 4: "invalid", 5: "internal", 6: "program_concurrency_violation", 7: "durability_unavailable", 8: "resource_limit", 9: "authorization_denied",
+    10: "immutable_policy_required",
+}
+REFUSALS = {
+    "exists": 1, "version_mismatch": 1, "immutable": 2, "command_conflict": 3, "unknown_operation": 4, "not_versioned": 4, "current_tombstone": 1, "program_only": 9, "not_immutable_prefix": 10,
+}
+
+
+def failure(outcome: Column, version: Column) -> Column:
+    """struct(code, name, current_version) of a refused operation; null of one that was done, or that found nothing to delete."""
+    code = reduce(lambda c, x: c.when(outcome == x[0], x[1]), REFUSALS.items(), F)
+    name = F.element_at(F.array(*(F.lit(n) for n in CODES.values())), code + 1)
+    return F.when(outcome.isin(*REFUSALS), F.struct(code.alias("code"), name.alias("name"), version.alias("current_version")))
 
 
 def quorum_read(replicas: DataFrame, quorum: int) -> DataFrame:

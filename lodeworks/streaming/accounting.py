@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalar import ancestors
 from ..plans.definition import Invalid
@@ -46,16 +47,50 @@ def traffic(flushes: DataFrame, definitions: DataFrame) -> DataFrame:
     return by_prefix(per_path, definitions, inbound="inbound", outbound="outbound")
 
 
+def flush(stream: DataFrame, totals: str, checkpoint: str, every: str | None = "1 second") -> StreamingQuery:
+    """The traffic buffer: stream (node, flush_id, path, inbound, outbound) summed up by path each second and written as one batch of totals.
+    A batch that is run again replaces what it wrote, so nothing counts twice; what a client sends twice is for traffic() to drop, before or after. every: None
+    takes what is there and ends."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        once = df.dropDuplicates(["node", "flush_id", "path"])
+        sums = once.groupBy("node", "path").agg(F.sum("inbound").alias("inbound"), F.sum("outbound").alias("outbound")).withColumn("flush_id", F.lit(number).cast("long"))
+        sums.write.mode("overwrite").parquet(f"{totals}/batch={number}")
+
+    writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 class Definitions:
-    """Enabled accounting, by prefix, with a generation for compare-and-set disabling."""
+    """Enabled accounting, by prefix, with a generation for compare-and-set disabling; stored in a document if one is given."""
 
-    def __init__(self) -> None:
+    def __init__(self, document=None) -> None:
+        self.document, self.number = document, 0
         self.rows: dict[str, int] = {}
 
+    def _load(self) -> None:
+        if self.document is not None:
+            self.number, value = self.document.read()
+            self.rows = dict(value or {})
+
+    def _save(self) -> None:
+        if self.document is not None:
+            self.number = self.document.write(self.rows, self.number)
+
     def enable(self, prefix: str) -> int:
-        return self.rows.setdefault(prefix, 1 + max(self.rows.values(), default=0))
+        self._load()
+        if prefix not in self.rows:
+            self.rows[prefix] = 1 + max(self.rows.values(), default=0)
+            self._save()
+        return self.rows[prefix]
+
+    def get(self, prefix: str) -> int | None:
+        self._load()
+        return self.rows.get(prefix)
 
     def disable(self, prefix: str, generation: int) -> None:
+        self._load()
         if self.rows.get(prefix) != generation:
             raise Invalid("generation")
         del self.rows[prefix]
+        self._save()

@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.window import Window
 
 from ..functions.scalar import below, reserved
 from ..plans.definition import Invalid
@@ -24,11 +23,11 @@ def invalidations(journal: DataFrame, prefix: str) -> DataFrame:
 
 
 def settled(journal: DataFrame) -> DataFrame:
-    """(source, settled): the end of the unbroken run of offsets from each source's first. Gaps come from a window over one source's offsets."""
-    w = Window.partitionBy("source").orderBy("offset")
-    gaps = journal.select("source", "offset").distinct().withColumn("_next", F.lead("offset").over(w))
-    ends = gaps.where(F.col("_next").isNull() | (F.col("_next") != F.col("offset") + 1))
-    return ends.groupBy("source").agg(F.min("offset").alias("settled"))
+    """(source, settled): the end of the unbroken run of offsets from each source's first, which is the least offset without a successor. An anti join by
+    source and offset, so a source spreads over all tasks."""
+    held = journal.select("source", "offset").distinct()
+    before = held.select("source", (F.col("offset") - 1).alias("offset"))
+    return held.join(before, ["source", "offset"], "left_anti").groupBy("source").agg(F.min("offset").alias("settled"))
 
 
 def start_checkpoint(journal: DataFrame, start: str, token: dict[str, int] | None = None) -> dict[str, int]:

@@ -1,4 +1,7 @@
-"""Rows of two results in one form: columns by name, rows sorted, numbers to nine digits."""
+"""Rows of two results in one form: columns by name, rows sorted, fractions to nine digits and whole numbers exactly."""
+
+import numbers
+from decimal import Decimal
 
 import pandas as pd
 
@@ -8,8 +11,10 @@ def value(v):
         return "NULL"
     if isinstance(v, bool) or type(v).__name__ == "bool_":
         return str(bool(v))
-    if isinstance(v, (int, float)) or type(v).__name__ in ("Decimal", "int64", "int32", "float64", "float32"):
-        return f"{float(v):.9g}"
+    if isinstance(v, numbers.Integral):
+        return str(int(v))
+    if isinstance(v, (numbers.Real, Decimal)):
+        return str(int(v)) if v == v // 1 and abs(v) < 2**53 else f"{float(v):.9g}"
     return str(list(v) if hasattr(v, "tolist") else v)
 
 

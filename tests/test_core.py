@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from lodeworks.functions import scalar as X
 from lodeworks.operators import authz, compute, grouplog, programs, projection, search
 from lodeworks.operators import predicate as Q
+from lodeworks.plans import lineage
+from lodeworks.plans.catalog import Document
 from lodeworks.plans.definition import Builder, Cap, Definition, Invalid, Type
 from lodeworks.sources import files, objects
+from lodeworks.streaming import generation
 
 E, P, R, O, C, A = Cap.EXACT, Cap.PREFIX, Cap.RANGE, Cap.ORDER, Cap.FACET, Cap.AGGREGATE
 
@@ -186,7 +189,9 @@ def test_programs_are_atomic():
 
 
 def test_pointers():
-    assert X.tokens("/a~1b/~0") == ["a/b", "~"] and X.json_select({"a": [1, {"b": 2}]}, "/a/01/b") == 2
+    assert X.tokens("/a~1b/~0") == ["a/b", "~"] and X.json_select({"a": [1, {"b": 2}]}, "/a/1/b") == 2
+    with pytest.raises(KeyError):  # no leading zeros in places of arrays
+        X.json_select({"a": [1, {"b": 2}]}, "/a/01/b")
     for bad in ("a", "/~2"):
         with pytest.raises(ValueError):
             X.tokens(bad)
@@ -213,3 +218,119 @@ def test_pushdown(spark, sf):
     assert "EqualTo(lang,en)" in text and "TakeOrderedAndProject" in text and "ReadSchema: struct<doc_id:bigint,lang:string>" in text
     assert files.pushdown("phrase") == "inexact" and files.pushdown("x") == "unsupported"
     assert Type.KEYWORD == "keyword"
+
+
+def _records(changes):
+    return changes.select(F.col("path").alias("source_path"), F.col("version").alias("source_version"), F.col("path").alias("result_path"))
+
+
+def _changes(spark, *rows):
+    return spark.createDataFrame([(p, v, gone) for p, v, gone in rows], "path string, version long, deleted boolean")
+
+
+def test_generations_keep_the_greatest_version(spark, tmp_path):
+    """Whatever comes late: an older version of a path, a tombstone, or a page twice."""
+    ix = generation.Index(spark, str(tmp_path / "ix"), Builder(Definition("x")).keyword("a", E).build())
+    live = lambda: {r.source_path: r.source_version for r in ix.read().collect()}
+    ix.rebuild(_changes(spark, ("a", 5, False), ("b", 2, False), ("d", 4, True)), {}, _records)
+    ix.catch_up(_changes(spark, ("a", 3, False), ("c", 1, False), ("d", 3, False)), {}, _records)
+    assert live() == {"a": 5, "b": 2, "c": 1}
+    ix.catch_up(_changes(spark, ("c", 7, True)), {}, _records)
+    ix.catch_up(_changes(spark, ("c", 6, False), ("b", 9, False), ("b", 9, False)), {}, _records)
+    assert live() == {"a": 5, "b": 9}
+    ix.catch_up(_changes(spark, ("b", 9, False)), {}, _records)
+    ix.compact()
+    assert live() == {"a": 5, "b": 9}
+    with pytest.raises(Exception, match="differ at one version"):
+        ix.catch_up(_changes(spark, ("a", 8, False), ("a", 8, True)), {}, _records)
+
+
+def test_a_failed_publish_doesnt_block_the_index(spark, tmp_path, monkeypatch):
+    ix = generation.Index(spark, str(tmp_path / "ix"), Builder(Definition("x")).keyword("a", E).build())
+    ix.rebuild(_changes(spark, ("a", 1, False)), {}, _records)
+    publish = generation.Index.publish
+
+    def broken(*_):
+        raise OSError("lost")
+
+    monkeypatch.setattr(generation.Index, "publish", broken)
+    with pytest.raises(OSError):
+        ix.catch_up(_changes(spark, ("a", 2, False)), {}, _records)
+    monkeypatch.setattr(generation.Index, "publish", publish)
+    (tmp_path / "ix" / "manifest-000000000002.json").write_text('[{"num')  # and one that broke off while it wrote
+    assert ix.current().number == 1
+    with pytest.raises(OSError, match="another writer"):  # it might be writing still
+        ix.catch_up(_changes(spark, ("a", 3, False)), {}, _records)
+    monkeypatch.setattr(generation, "STALE_SECONDS", -1)
+    ix.catch_up(_changes(spark, ("a", 3, False)), {}, _records)
+    assert [(r.source_path, r.source_version) for r in ix.read().collect()] == [("a", 3)] and ix.current().number == 2
+    assert ix.sweep() == [] and len(ix.sweep(0)) == 2 and ix.read().count() == 1
+    with pytest.raises(OSError, match="another writer"):
+        ix.publish(generation.Generation(2, "f", {}, []), ix.generations())
+
+
+def test_batches_over_the_limit_are_refused(spark):
+    v = spark.createDataFrame([("p1", 1, False, 1, "h")], "path string, version long, deleted boolean, length long, hash string")
+    asked = spark.range(1001).select(F.col("id").alias("ordinal"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("path"), F.lit(None).cast("long").alias("version"))
+    with pytest.raises(Invalid):
+        objects.batch_get(v, asked)
+    assert objects.batch_get(v, asked.where("ordinal > 0")).where("outcome = 'found'").count() == 1
+
+
+def test_one_analyzer(spark):
+    text = "हिन्दी वाक्य ΑΣ x_y İ"
+    column = spark.createDataFrame([(text,)], "t string").select(X.analyze(F.col("t"))).first()[0]
+    assert X.analyze_text(text) == column and column[:3] == ["हिन", "दी", "वाक"] and "ας" not in column
+
+
+def test_stored_state_is_another_process_s_too(spark, tmp_path):
+    doc = lambda: Document(spark, str(tmp_path / "d"))
+    b = authz.Bindings(doc())
+    b.put("acl", authz.object_schema())
+    b.bind("realm", "acl", 0)
+    schema, generation_ = authz.Bindings(doc()).get("realm")
+    assert generation_ == 1 and schema.namespaces == authz.object_schema().namespaces
+    d = Builder(Definition("x", physical_order=(("a", True),))).keyword("a", Cap.EXACT, Cap.ORDER).build()
+    assert Definition.restored(d.stored()) == d
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default: "")
+
+        class sparkContext:
+            master = "spark://x"
+
+    with pytest.raises(RuntimeError):
+        lineage.shared(Session)
+
+
+def test_edits_of_columns(spark):
+    d = spark.createDataFrame([('{"a": [1]}',), ("no json",), (None,), ('{"b": 1}',)], "d string")
+    assert [r[0] for r in d.select(X.set_column(F.col("d"), "/a/0", F.lit("2"))).collect()] == ['{"a":[2]}', None, None, None]
+    assert [r[0] for r in d.select(X.remove_column(F.col("d"), "/b")).collect()] == [None, None, None, "{}"]
+    one = spark.range(1)
+    assert one.select(X.add_column(F.lit(1), F.lit(-2), unsigned=True), X.add_column(F.lit(1), F.lit(2), most=2), X.add_column(F.lit(None).cast("long"), F.lit(2))).first()[:] == (None, None, None)
+    with pytest.raises(KeyError):
+        X.expand_column("{a}", {})
+
+
+def test_percentiles_over_ranges(spark):
+    d = spark.range(1000).select((F.col("id") * 7919 % 101).cast("double").alias("v")).unionByName(spark.createDataFrame([(None,)], "v double"))
+    values = sorted(i * 7919 % 101 for i in range(1000))
+    assert list(compute.nearest_rank(d, "v", (1, 50, 95, 100)).first()[1:]) == [values[-(-p * 1000 // 100) - 1] for p in (1, 50, 95, 100)]
+
+
+def test_shards_over_ranges(spark):
+    d = spark.range(300).select((F.col("id") % 2).cast("string").alias("partition"), F.col("id"), F.lit("x" * 9).alias("body"))
+    got = {(r.partition, r.id): r["shard"] for r in files.shards(d, shard_bytes=100).collect()}
+    assert got == {(str(i % 2), i): (i // 2) * 10 // 100 for i in range(300)}
+
+
+def test_bulk_write_streams_the_paths_of_a_task(spark):
+    """Many paths in few tasks, and a path without operations: each path as if alone."""
+    ops = spark.range(400).select(F.col("id").alias("ordinal"), F.concat(F.lit("p"), (F.col("id") % 50).cast("string")).alias("path"), F.lit("put_if_version").alias("op"), F.when(F.col("id") < 50, F.lit(1)).otherwise(F.col("id") + 50).alias("expected"), (F.col("id") + 100).alias("version"), F.lit(1).cast("long").alias("length"), F.lit("h").alias("hash"), F.lit(None).cast("string").alias("command_id"))
+    v = spark.range(60).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("path"), F.lit(1).cast("long").alias("version"), F.lit(False).alias("deleted"), F.lit(1).cast("long").alias("length"), F.lit("h").alias("hash"))
+    out = objects.bulk_write(ops, v).collect()
+    assert len(out) == 400 and {r.outcome for r in out} == {"ok"}
