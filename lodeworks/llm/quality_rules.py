@@ -1,10 +1,13 @@
 """Quality rules: adaptive thresholds from mergeable quantile sketches per language and source, then a joined filter.
 
-The sketch is a log-linear histogram of integers: the leading SKETCH_BITS bits of a value name its bin, so a bin is at
+Documents that fail the base rule are no part of the sketches. The sketch is a log-linear histogram of integers: the leading SKETCH_BITS bits of a value name its bin, so a bin is at
 most 1/64 of its value wide, bins of any two parts of the data add up, and a group has at most a few thousand of them.
 Quantiles of a group are read off its bins; a group under MIN_GROUP documents uses the merged sketch of its language.
-A document is an outlier if a measure is over the upper quartile by SPREADS spreads, where a spread is the interquartile
-range but at least the measure's floor. Thus an even corpus loses nothing, in contrast to a cut at a fixed quantile.
+A document is an outlier if a measure is over the group's upper decile by SPREADS spreads (for lengths of words also if it is under the lower decile by as many).
+A spread is what the sketch says: the distance of that decile from the median; for measures of which nearly all documents have none (duplicate lines, repeats)
+at least a third of the way from the upper decile to the highest centile; for symbols, which whole templates of junk have in plenty, at least an eighth of the lower
+decile of the documents that have any. FLOORS only keep a constant measure from having no spread. Thus an even corpus loses nothing, in contrast
+to a cut at a fixed quantile. So that a source full of junk can't raise its own limit at will, a limit is at most LIFT halves of that of its language.
 
 Defined results: a null text has no words and fails the base rule; null languages and sources are one group with the
 empty string; repeated rows are judged alike, each by itself; an empty table gives an empty result; other columns stay
@@ -23,9 +26,13 @@ from .common import hot_join, materialize, neutral, read, restore
 
 SPACE = r"[\x20\x09-\x0D]"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-SKETCH_BITS, MIN_GROUP, SPREADS = 7, 100, 6
-#: measure: the least spread, in the unit of the measure
-MEASURES = {"m_symbols": 10, "m_dup_lines": 100, "m_word_length": 100, "m_repeats": 80}
+SKETCH_BITS, MIN_GROUP, SPREADS, LIFT = 7, 100, 6, 3
+#: measure: (the least spread in the unit of the measure, what else a spread is at least)
+MEASURES = {"m_symbols": (2, "p10 div 8"), "m_dup_lines": (25, "(q99 - q90) div 3"), "m_word_length": (5, "0"), "m_repeats": (10, "(q99 - q90) div 3")}
+#: measures with a lower limit too
+LOW = ["m_word_length"]
+THRESHOLDS = [*(f"t_{m}" for m in MEASURES), *(f"t_{m}_low" for m in LOW)]
+QUANTILES = {"q10": (1, 10), "q50": (1, 2), "q90": (9, 10), "q99": (99, 100)}
 
 
 def base_measures(docs: DataFrame) -> DataFrame:
@@ -97,27 +104,35 @@ def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return sketches.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, measure, n, q25, q75): the lowest bins at which a quarter and three quarters of the rows are reached."""
+def quantiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, measure, n, q10, q50, q90, q99, p10): the lowest bins at which these shares of the rows are reached, and at which a tenth of the rows over 0 is."""
     by = Window.partitionBy(*keys, "measure")
-    c = sketches.select("*", F.sum("n").over(by.orderBy("bin")).alias("c"), F.sum("n").over(by).alias("t"))
-    q = lambda k: F.min(F.when(4 * F.col("c") >= k * F.col("t"), F.col("bin")))
-    return c.groupBy(*keys, "measure").agg(F.first("t").alias("n"), q(1).alias("q25"), q(3).alias("q75"))
+    zeros = F.coalesce(F.sum(F.when(F.col("bin") == 0, F.col("n"))).over(by), F.lit(0))
+    c = sketches.select("*", F.sum("n").over(by.orderBy("bin")).alias("c"), F.sum("n").over(by).alias("t"), zeros.alias("z"))
+    q = lambda k, of: F.min(F.when(of * F.col("c") >= k * F.col("t"), F.col("bin")))
+    p10 = F.min(F.when((F.col("bin") > 0) & (10 * (F.col("c") - F.col("z")) >= F.col("t") - F.col("z")), F.col("bin")))
+    return c.groupBy(*keys, "measure").agg(F.first("t").alias("n"), *(q(*share).alias(name) for name, share in QUANTILES.items()), F.coalesce(p10, F.lit(0)).alias("p10"))
+
+
+def limits(q: DataFrame, name: str) -> DataFrame:
+    """Adds <name>, the greatest value that isn't an outlier, and <name>_low, the least, by the quantiles of each row."""
+    pick = lambda i: reduce(lambda c, m: c.when(F.col("measure") == m[0], F.expr(str(m[1][i]))), MEASURES.items(), F)
+    spread = F.greatest(F.col("q90") - F.col("q50"), pick(0), pick(1))
+    return q.withColumns({name: F.col("q90") + SPREADS * spread, f"{name}_low": F.col("q10") - SPREADS * F.greatest(F.col("q50") - F.col("q10"), pick(0))})
 
 
 def thresholds(rows: DataFrame) -> DataFrame:
-    """(_lang, _source, n_group, t_<measure>...): the least value that each measure mustn't pass."""
-    fine = sketch(rows, ["_lang", "_source"], list(MEASURES))
-    own, wide = quartiles(fine, ["_lang", "_source"]), quartiles(merge(fine, ["_lang"]), ["_lang"])
-    wide = wide.select("_lang", "measure", F.col("q25").alias("w25"), F.col("q75").alias("w75"))
-    both = own.join(wide, ["_lang", "measure"])
+    """(_lang, _source, n_group, t_<measure>..., t_<measure>_low...): the values that each measure mustn't pass."""
+    fine = sketch(rows.where("not base_failed"), ["_lang", "_source"], list(MEASURES))
+    own, wide = limits(quantiles(fine, ["_lang", "_source"]), "own"), limits(quantiles(merge(fine, ["_lang"]), ["_lang"]), "wide")
+    both = own.join(wide.select("_lang", "measure", "wide", "wide_low"), ["_lang", "measure"])
     small = F.col("n") < MIN_GROUP
-    low, high = F.when(small, F.col("w25")).otherwise(F.col("q25")), F.when(small, F.col("w75")).otherwise(F.col("q75"))
-    floor = reduce(lambda c, m: c.when(F.col("measure") == m[0], m[1]), MEASURES.items(), F).otherwise(0)
-    limit = high + SPREADS * F.greatest(high - low, floor)
-    return both.groupBy("_lang", "_source").agg(
-        F.max("n").alias("n_group"), *(F.max(F.when(F.col("measure") == m, limit)).alias(f"t_{m}") for m in MEASURES)
-    )
+    limit = F.when(small, F.col("wide")).otherwise(F.least("own", F.expr(f"{LIFT} * wide div 2")))
+    low = F.when(small, F.col("wide_low")).otherwise(F.greatest("own_low", F.expr(f"2 * wide_low div {LIFT}")))
+    at = lambda m, c: F.max(F.when(F.col("measure") == m, c))
+    found = both.groupBy("_lang", "_source").agg(*(at(m, limit).alias(f"t_{m}") for m in MEASURES), *(at(m, low).alias(f"t_{m}_low") for m in LOW))
+    # a group of which the base rule leaves nothing has no thresholds
+    return rows.groupBy("_lang", "_source").agg(F.count("*").alias("n_group")).join(found, ["_lang", "_source"], "left")
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -127,13 +142,13 @@ def judge(docs: DataFrame) -> DataFrame:
     limits = materialize(thresholds(rows), "thresholds")
     total = rows.count()
     judged = hot_join(rows, limits, ["_lang", "_source"], "n_group", total)
-    outlier = reduce(lambda a, b: a | b, (F.col(m) > F.col(f"t_{m}") for m in MEASURES))
+    outlier = reduce(lambda a, b: a | b, [*(F.col(m) > F.col(f"t_{m}") for m in MEASURES), *(F.col(m) < F.col(f"t_{m}_low") for m in LOW)])
     return judged.withColumn("kept", ~F.col("base_failed") & ~outlier)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return judge(read(spark, sf_dir, "documents")).select(*names, *(f"t_{m}" for m in MEASURES))
+    return judge(read(spark, sf_dir, "documents")).select(*names, *THRESHOLDS)
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
@@ -152,18 +167,25 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _limits_sql() -> str:
-    floors = " ".join(f"when '{m}' then {v}" for m, v in MEASURES.items())
-    picks = ", ".join(f"max(case when measure = '{m}' then lim end) as t_{m}" for m in MEASURES)
-    rows = " union all ".join(f"select _lang, _source, '{m}' as measure, {m} as v from r" for m in MEASURES)
-    quart = lambda k, by: f"min(case when 4 * c >= {k} * t then bin end)"
-    sums = lambda by: f"sum(n) over (partition by {by}, measure order by bin) as c, sum(n) over (partition by {by}, measure) as t"
+    rows = " union all ".join(f"select _lang, _source, '{m}' as measure, {m} as v from r where not base_failed" for m in MEASURES)
+    picks = ", ".join([*(f"max(hi) filter (measure = '{m}') as t_{m}" for m in MEASURES), *(f"max(lo) filter (measure = '{m}') as t_{m}_low" for m in LOW)])
+    floor = "case measure " + " ".join(f"when '{m}' then {v[0]}" for m, v in MEASURES.items()) + " end"
+    least = "case measure " + " ".join(f"when '{m}' then {v[1].replace('div', '//')}" for m, v in MEASURES.items()) + " end"
+
+    def level(name: str, by: str, source: str) -> str:
+        c = f"select {by}, measure, bin, sum(n) over (partition by {by}, measure order by bin) as c, sum(n) over (partition by {by}, measure) as t, coalesce(sum(n) filter (bin = 0) over (partition by {by}, measure), 0) as z from {source}"
+        q = ", ".join(f"min(bin) filter ({of} * c >= {k} * t) as {n}" for n, (k, of) in QUANTILES.items())
+        q = f"select {by}, measure, max(t) as n, {q}, coalesce(min(bin) filter (bin > 0 and 10 * (c - z) >= t - z), 0) as p10 from ({c}) group by all"
+        return f"{name} as (select {by}, measure, n, q90 + {SPREADS} * greatest(q90 - q50, {floor}, {least}) as {name}, q10 - {SPREADS} * greatest(q50 - q10, {floor}) as {name}_low from ({q}))"
+
     return f"""
 v as ({rows}),
 s as (select _lang, _source, measure, ((v >> greatest(0, length(bin(v)) - {SKETCH_BITS})) << greatest(0, length(bin(v)) - {SKETCH_BITS})) as bin, count(*) as n from v group by all),
-o as (select _lang, _source, measure, max(t) as n, {quart(1, "")} as q25, {quart(3, "")} as q75 from (select *, {sums("_lang, _source")} from s) group by all),
-wide as (select _lang, measure, {quart(1, "")} as w25, {quart(3, "")} as w75 from (select *, {sums("_lang")} from (select _lang, measure, bin, sum(n) as n from s group by all)) group by all),
-q as (select _lang, _source, measure, case when n < {MIN_GROUP} then w25 else q25 end as lo, case when n < {MIN_GROUP} then w75 else q75 end as hi from o join wide using (_lang, measure)),
-lim as (select _lang, _source, {picks} from (select *, hi + {SPREADS} * greatest(hi - lo, case measure {floors} end) as lim from q) group by all)"""
+{level("own", "_lang, _source", "s")},
+{level("wide", "_lang", "(select _lang, measure, bin, sum(n) as n from s group by all)")},
+lim as (select _lang, _source, {picks} from (
+  select _lang, _source, measure, case when own.n < {MIN_GROUP} then wide else least(own, {LIFT} * wide // 2) end as hi, case when own.n < {MIN_GROUP} then wide_low else greatest(own_low, trunc(2 * wide_low / {LIFT})::bigint) end as lo
+  from own join wide using (_lang, measure)) group by all)"""
 
 
 OP1_SQL = f"""
@@ -180,6 +202,6 @@ r as (
     (1000 * n_symbols) // greatest(word_chars, 1) as m_symbols, (1000 * n_dup_lines) // greatest(n_lines, 1) as m_dup_lines,
     (100 * word_chars) // greatest(n_words, 1) as m_word_length, (1000 * n_repeat_words) // greatest(n_words, 1) as m_repeats from m),{_limits_sql()}
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and {" and ".join(f"{m} <= t_{m}" for m in MEASURES)} as kept, {", ".join(f"t_{m}" for m in MEASURES)}
-from r join lim using (_lang, _source)
+  not base_failed and {" and ".join([*(f"{m} <= t_{m}" for m in MEASURES), *(f"{m} >= t_{m}_low" for m in LOW)])} as kept, {", ".join(f"{t}::bigint as {t}" for t in THRESHOLDS)}
+from r left join lim using (_lang, _source)
 """

@@ -44,9 +44,10 @@ def test_quality_sketch_merges(spark):
     whole = quality_rules.sketch(r, ["k"], ["m"])
     parts = quality_rules.merge(quality_rules.sketch(r.where("m % 3 = 0"), ["k"], ["m"]).unionByName(quality_rules.sketch(r.where("m % 3 <> 0"), ["k"], ["m"])), ["k"])
     assert sorted(whole.collect()) == sorted(parts.collect())
-    q = quality_rules.quartiles(whole, ["k"]).first()
+    q = quality_rules.quantiles(whole, ["k"]).first()
     exact = sorted(x.m for x in r.collect())
-    assert abs(q.q25 - exact[1249]) <= exact[1249] / 64 + 1 and abs(q.q75 - exact[3749]) <= exact[3749] / 64 + 1
+    for got, at in ((q.q10, 499), (q.q50, 2499), (q.q90, 4499), (q.q99, 4949)):
+        assert abs(got - exact[at]) <= exact[at] / 64 + 1
 
 
 def test_quality_thresholds_follow_the_group(spark):
@@ -59,6 +60,39 @@ def test_quality_thresholds_follow_the_group(spark):
     assert kept == {*range(150), *range(1000, 1150)}  # what is usual in code is an outlier in prose
 
 
+def test_quality_each_measure_acts_below_the_base_rule(spark):
+    """Two sources of one language, one with more of everything: its limits are higher, and each measure rejects a planted document that the base rule passes."""
+    import random
+
+    rng = random.Random(5)
+
+    def doc(words, mark=0.0, again=0, size=6):
+        out = ["".join(rng.choice("abcdefghijklmnop") for _ in range(max(1, round(rng.gauss(size, 0.3)))) ) + ("#" if rng.random() < mark else "") for _ in range(words)]
+        lines = [" ".join(out[i : i + 10]) for i in range(0, words, 10)]
+        return "\n".join(lines + lines[:again])
+
+    rows = [(i, doc(200, 0.05 * (i % 10 == 0), i % 50 == 0), "en", "plain") for i in range(300)]
+    rows += [(1000 + i, doc(200, 0.3 if i % 2 else 0.25, (i % 10 == 0) * 3, 8), "en", "noisy") for i in range(300)]
+    planted = {1: doc(200, 0.9), 2: doc(200, 0, 5), 3: doc(200, 0, 0, 14), 4: doc(200, 0, 0, 2)}
+    rows += [(5000 + i, t, "en", "plain") for i, t in planted.items()]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality_rules.judge(d).collect()}
+    assert not any(r.base_failed for r in got.values())
+    a, b = got[0], got[1000]
+    assert a.t_m_symbols < b.t_m_symbols and a.t_m_dup_lines < b.t_m_dup_lines and a.t_m_repeats < b.t_m_repeats and a.t_m_word_length < b.t_m_word_length and a.t_m_word_length_low < b.t_m_word_length_low
+    assert got[5001].m_symbols > a.t_m_symbols and got[5002].m_dup_lines > a.t_m_dup_lines and got[5002].m_repeats > a.t_m_repeats and got[5003].m_word_length > a.t_m_word_length and got[5004].m_word_length < a.t_m_word_length_low
+    assert {i for i, r in got.items() if not r.kept} == {5001, 5002, 5003, 5004}
+
+
+def test_quality_junk_cant_raise_its_own_limit(spark):
+    """A source in which a third of the documents are junk is held by its language's sketch."""
+    words = " ".join(f"w{i}" for i in range(80))
+    rows = [(i, words + f" x{i}", "en", f"s{i % 5}") for i in range(1000)] + [(5000 + i, (words + f" x{i} ") + "#" * (200 + i), "en", "bad") for i in range(60)] + [(6000 + i, words + f" y{i}", "en", "bad") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = quality_rules.judge(d).where("not kept").collect()
+    assert {r.doc_id for r in got} == {5000 + i for i in range(60)}
+
+
 # --- 2 -------------------------------------------------------------------------------------------------------------------
 def benchmark(spark, *texts):
     return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "item_id long, text string")
