@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -335,21 +336,51 @@ def test_warc_round_trip(spark, tmp_path):
     assert Counter(bytes(x.payload) for x in full) == Counter((p or "").encode() for _, _, p in recs)
     stored = spark.read.parquet(str(tmp_path / "a" / "payloads"))
     assert stored.count() == stored.distinct().count() == 4
-    for header, body in warc.parse_warc(b"".join(bytes(x.record) for x in full)):
-        assert header.startswith(b"WARC/1.1\r\n") and (b"revisit" in header) == (b"Content-Length: 0" in header and body == b"" and b"Refers-To" in header)
+    for header, block in warc.parse_warc(b"".join(bytes(x.record) for x in full)):
+        head, _, body = block.partition(b"\r\n\r\n")
+        assert header.startswith(b"WARC/1.1\r\n") and re.search(rb"\r\nWARC-Date: \d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ\r\n", header) and head.startswith(b"HTTP/1.1 200 OK\r\n")
+        assert (b"revisit" in header) == (b"Refers-To" in header) and (b"revisit" not in header or body == b"")
     with pytest.raises(ValueError):
         list(warc.parse_warc(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nx"))
 
 
+def test_warc_null_ids_dont_multiply(spark, tmp_path):
+    """Pages without an id, with one payload and with several; and a payload in blocks."""
+    recs = [(None, "a", f"p{i % 3}") for i in range(12)] + [(7, "b", "p0")]
+    r = spark.createDataFrame(recs, "record_id long, target string, payload string").withColumn("date", F.lit("2020-02-03 04:05:06").cast("timestamp_ntz"))
+    warc.write_archive(r, str(tmp_path / "a"))
+    got = Counter((x.record_id, x.payload_digest, x.record_type, x.refers_to) for x in warc.read_index(spark, str(tmp_path / "a")).collect())
+    sha = [warc.base32_sha1(f"p{i}".encode()) for i in range(3)]
+    assert got == {(None, sha[0], "revisit", 7): 4, (7, sha[0], "response", None): 1, (None, sha[1], "response", None): 4, (None, sha[2], "response", None): 4}
+    assert spark.read.parquet(str(tmp_path / "a" / "payloads")).count() == 3
+    assert all(b"WARC-Date: 2020-02-03T04:05:06Z" in bytes(x.record) for x in warc.reconstruct(spark, str(tmp_path / "a")).collect())
+
+
+def test_warc_of_hot_payloads_in_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK", 10)
+    r = spark.range(200).select(F.col("id").alias("record_id"), F.col("id").cast("string").alias("target"), F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("payload"), F.lit("x").alias("key"), F.lit("y").alias("part"))
+    warc.write_archive(r, str(tmp_path / "a"))
+    assert spark.read.parquet(str(tmp_path / "a" / "headers")).select("part").distinct().count() > 5
+    got = {x.record_id: (x.record_type, x.refers_to, x.payload_bytes) for x in warc.read_index(spark, str(tmp_path / "a")).collect()}
+    assert got == {i: ("response", None, 3 if i == 198 else len(str(i))) if i % 2 or i == 198 else ("revisit", 198, 3) for i in range(200)}
+
+
 def test_warc_damage_is_found(spark, tmp_path):
     r = spark.createDataFrame([(1, "u", "x")], "record_id long, target string, payload string")
     warc.write_archive(r, str(tmp_path / "a"))
-    bad = spark.read.parquet(str(tmp_path / "a" / "payloads")).withColumn("payload", F.lit(b"y"))
-    bad.write.parquet(str(tmp_path / "b"))
-    with pytest.raises(Exception, match="damaged"):
-        spark.read.parquet(str(tmp_path / "b")).mapInArrow(warc.verified, "key string, n_bytes long, sha1 string").collect()
-    warc.write_archive(r.limit(0), str(tmp_path / "c"))
-    assert warc.read_index(spark, str(tmp_path / "c")).count() == 0
+    good = spark.read.parquet(str(tmp_path / "a" / "payloads"))
+    for name, other in (("b", good.withColumn("payload", F.lit(b"y"))), ("d", good.withColumns({"payload": F.lit(b"y"), "key": F.lit(hashlib.sha256(b"y").hexdigest() + "-1")}))):
+        other.write.parquet(str(tmp_path / name / "payloads"))
+        headers = spark.read.parquet(str(tmp_path / "a" / "headers"))
+        (headers if name == "b" else headers.withColumn("key", F.lit(hashlib.sha256(b"y").hexdigest() + "-1"))).write.parquet(str(tmp_path / name / "headers"))
+        with pytest.raises(Exception, match="damaged|differs from its payload"):
+            warc.read_index(spark, str(tmp_path / name)).collect()
+
+
+def test_warc_of_no_pages(spark, sf, tmp_path):
+    for name in ("pages",):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert warc.op6_warc(spark, str(tmp_path)).count() == 0 and url_filters.op8_url_filters(spark, str(tmp_path)).count() == 0
 
 
 # --- 7 -------------------------------------------------------------------------------------------------------------------
@@ -398,7 +429,7 @@ def test_longest_previous_factor():
 
 # --- 8 -------------------------------------------------------------------------------------------------------------------
 def test_url_rules_and_list(spark):
-    urls = [None, "nonsense", "http://EXAMPLE.org/es/x?y#z", "http://a.example.org/en/1", "http://notexample.org/en/12", "http://x.com/de/", "http://x.com/fr", "ftp://x.com/fr/1", "http://org", "http://org/", "http://www.site.net:80/p/", "https://site.net/p.html?q", "http://other.net/://org/"]
+    urls = [None, "nonsense", "http://EXAMPLE.org/es/x?y#z", "http://a.example.org/en/1", "http://notexample.org/en/12", "http://x.com/de/", "http://x.com/fr", "ftp://x.com/fr/1", "http://org", "http://org/", "http://www.site.net:80/p/", "https://site.net/p.html?ref=q", "http://other.net/://org/"]
     p = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     listed = spark.createDataFrame([("site.net/p",), (None,)], "canon string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judge(p, url_filters.RULES, listed).collect()}
@@ -411,6 +442,19 @@ def test_url_rules_and_list(spark):
     assert url_filters.judge(p, url_filters.RULES, listed.limit(0)).where("listed").count() == 0
 
 
+def test_url_canonical_keeps_queries_and_traps_need_forms(spark):
+    urls = {
+        0: "http://a.net/x?page=2", 1: "https://www.a.net/x?utm_source=f&page=2#top", 2: "http://a.net/x", 3: "http://a.net/x?b=1&a=2", 4: "http://a.net/x/?a=2&b=1", 5: "http://a.net/y#f?q=1", 6: "https://a.net/y?ref=z",
+        7: "http://m.b.net/z", 8: "http://b.net/z.html", 9: "http://c.net/#http://d.net/?q=1", 10: "http://long.net/" + "a/" * 500_000 + "?x=1",
+    }
+    found = url_filters.parsed(spark.createDataFrame(list(urls.items()), "page_id long, url string").withColumns({c: F.lit("v") for c in ("host", "canon", "rule")}), url_filters.RULES)
+    canon = {r.page_id: r.canon for r in found.collect()}
+    assert [canon[i] for i in (0, 1, 2, 3, 4, 5, 6, 7, 8, 9)] == ["a.net/x?page=2"] * 2 + ["a.net/x"] + ["a.net/x?a=2&b=1"] * 2 + ["a.net/y"] * 2 + ["b.net/z"] * 2 + ["c.net"] and len(canon[10]) > 10**6
+    assert {r.canon for r in url_filters.traps(found).collect()} == {"a.net/x?a=2&b=1", "b.net/z"}
+    got = {r.page_id for r in url_filters.judge_parsed(found, url_filters.traps(found)).where("verdict = 'block'").collect()}
+    assert got == {3, 4, 7, 8}
+
+
 def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
     a, b = (spark.range(n, n + 4000).select(F.concat(F.lit("h/"), F.col("id").cast("string")).alias("canon")) for n in (0, 10**6))
     f = url_filters.bloom(a, 1000)
