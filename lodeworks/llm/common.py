@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,10 +9,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import folder
+
 #: Groups that hold more than one row in HOT_SHARE are hot. There are fewer than HOT_SHARE of them, whatever the input.
 HOT_SHARE = 1000
-#: One row over this many bytes of text is handed to Python alone.
-_OWN: list[str] = []
+#: So many rows meet one copy of their group in spread_join().
+SPREAD_BLOCK = 20_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,22 +22,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", "")
-    if not base:
-        base = tempfile.mkdtemp(prefix="lodeworks-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        _OWN.append(base)
-    path = f"{base.rstrip('/')}/lodeworks/{uuid.uuid4().hex}/{name}"
-    if path.startswith("file:/") or path.startswith("/"):
-        _OWN.append(re.sub(r"^file:/+", "/", path).rpartition("/")[0])
-    return path
-
-
-@atexit.register
-def _clean() -> None:
-    for path in _OWN:
-        shutil.rmtree(path, ignore_errors=True)
+    """A new path in the folder that all executors share (see plans.lineage). Tables stay until the folder is cleared, for later reads of lazy results."""
+    return folder(spark, name)
 
 
 def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -60,6 +43,16 @@ def hot_join(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, to
     return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
 
 
+def spread_join(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows (a written table: it is read three times) with any number of groups rows a key. A key of many rows is split into blocks of SPREAD_BLOCK
+    rows, each of which meets a copy of the key's groups, so that no key is one task on the side of rows. Keys mustn't be null."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n")).withColumn("_parts", F.expr(f"cast(_n div {SPREAD_BLOCK} as int) + 1"))
+    counts = materialize(counts, "counts")
+    split = hot_join(rows, counts, [key], "_n", rows.count()).withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.col("_parts")).cast("int")).drop("_n", "_parts")
+    copies = groups.join(counts, key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_n", "_parts")
+    return split.join(copies, [key, "_part"]).drop("_part")
+
+
 def neutral(docs: DataFrame, *keep: str) -> tuple[DataFrame, list[str]]:
     """docs with columns c0, c1, ... in place of all but those to keep, so that no name can clash with a working column; and the names to restore()."""
     return docs.toDF(*(c if c in keep else f"c{i}" for i, c in enumerate(docs.columns))), docs.columns

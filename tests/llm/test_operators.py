@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodeworks.llm import decontamination, exchange, license_scan, line_dedup, lm_scoring, minhash_dedup, piece_sampling, quality_rules, suffix_dedup, url_filters, warc
+from lodeworks.llm import common, decontamination, exchange, license_scan, line_dedup, lm_scoring, minhash_dedup, piece_sampling, quality_rules, suffix_dedup, url_filters, warc
 from lodeworks.llm.queries import ORACLE, QUERIES
 
 from ..compare import rows
@@ -120,11 +120,26 @@ def test_decontamination_spans_and_documents(spark):
     assert decontamination.drop_documents(H.empty(spark), b).count() == 0
 
 
-def test_decontamination_without_broadcast(spark, monkeypatch):
-    d, b = frame(spark, [(0, H.BASE), (1, "clean")]), benchmark(spark, H.BASE)
-    want = sorted(decontamination.contamination(d, b).collect())
+@pytest.mark.parametrize("blocks", [2_000_000, 0])
+def test_decontamination_without_broadcast(spark, monkeypatch, blocks):
+    """Joined by shuffle, with and without the Bloom filter, in blocks of few rows: the same, for every awkward document and a window that half of them hold."""
+    pairs = [(0, H.BASE), (1, "clean"), (2, "Short, ITEM -- here short item here"), (5, "ΑΣ'B ok"), (5, "other text of 5"), *((10 + i, f"x{i} {H.BASE} short item here") for i in range(30))]
+    d = frame(spark, pairs).unionByName(H.awkward(spark).select("doc_id", "text"))
+    b = benchmark(spark, H.BASE, H.BASE, "short item here", "αΣ'b nothing", "Σ b ok", None, "").unionByName(spark.createDataFrame([(None, "two words")], "item_id long, text string"))
+    want = sorted(map(str, decontamination.contamination(d, b).collect()))
     monkeypatch.setattr(decontamination, "MAX_BROADCAST", 0)
-    assert sorted(decontamination.contamination(d, b).collect()) == want
+    monkeypatch.setattr(decontamination, "MAX_BLOCKS", blocks)
+    monkeypatch.setattr(common, "SPREAD_BLOCK", 7)
+    assert sorted(map(str, decontamination.contamination(d, b).collect())) == want
+
+
+def test_decontamination_of_items_without_an_id(spark):
+    """Their windows count, though they have no name."""
+    d = frame(spark, [(0, H.BASE), (1, "short item here"), (2, "clean"), (None, "short item here")])
+    b = spark.createDataFrame([(None, H.BASE), (None, "short item here"), (4, "Short item here")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontamination.contamination(d, b).collect()}
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    assert got == {0: (20, 0, sha(b""), True), 1: (3, 1, sha(b"4"), True), 2: (0, 0, sha(b""), False), None: (3, 1, sha(b"4"), True)}
 
 
 # --- 3 -------------------------------------------------------------------------------------------------------------------
