@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WordHashes, materialize, read, rows_of, utf8
-from .exchange import CHUNK_BYTES, REQUEST, REQUEST_FIELDS, by_chunk, estimated_bytes, expand, expand_sorted, joined, ranges_for, replies, requests, small_batches, squeeze, squeeze_sorted
+from .exchange import ASKED, ASKED_SCHEMA, CHUNK_BYTES, Exchange, adding, batch_of, expand, expand_sorted, joined, ranges_for, small_batches, squeeze, squeeze_sorted
 from .minhash_dedup import mix
 
 FOLDS, HELD_OUT, EM_FOLD = 10, 0, 1
@@ -92,14 +92,21 @@ def weights_of(em: bool, held: list[bool], lengths: list[int]) -> tuple[np.ndarr
     return (np.zeros_like(trained), trained) if em else (trained, np.zeros_like(trained))
 
 
-def asker(ranges: int, bigrams: bool):
+WIRE, ANSWER, REPLIES, COMBINE = adding(2)
+
+
+def counting(ranges: int) -> Exchange:
+    """Keys are hashes, so they are their own routes; sorted keys are in the order of ranges, and so are the replies."""
+    return Exchange(WIRE, lambda columns: columns[0], ANSWER, REPLIES, ranges, COMBINE)
+
+
+def asker(exchange: Exchange, bigrams: bool):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, em, lengths, held, tokens, vocabulary in rows_of(batches, "chunk", "em", "lengths", "held", "tokens", "vocabulary", at_once=1):
             words, t, context, _ = opened(lengths, tokens, vocabulary)
             keys, where = np.unique(bigram_keys(words, t, context), return_inverse=True) if bigrams else (words, t)
-            numbers = np.stack([np.bincount(where[w], minlength=len(keys)) for w in weights_of(em, held, lengths)]).astype(np.uint32)
-            rows = requests(chunk, keys, numbers, ranges)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), REQUEST_FIELDS, strict=True)], schema=pa.schema(REQUEST_FIELDS))
+            numbers = [np.bincount(where[w], minlength=len(keys)).astype(np.uint64) for w in weights_of(em, held, lengths)]
+            yield batch_of(exchange.ask(chunk, [keys, *numbers])[0], ASKED_SCHEMA)
 
     return ask
 
@@ -116,13 +123,13 @@ def bucket(count: np.ndarray) -> np.ndarray:
 _JOINED = ["chunk", "docs", "lengths", "held", "tokens", "vocabulary", "u", "b"]
 
 
-def estimates(lengths: list[int], tokens: bytes, vocabulary: bytes, u: list[bytes], b: list[bytes], all_: bool, begins: int) -> tuple:
+def estimates(lengths: list[int], tokens: bytes, vocabulary: bytes, u: list[list[bytes]], b: list[list[bytes]], all_: bool, begins: int) -> tuple:
     """Per token: c(u, v), c(u), c(v); and the documents' first tokens. all_: with the EM fold's counts."""
     words, t, context, first = opened(lengths, tokens, vocabulary)
     add = lambda x: (x[0] + x[1] if all_ else x[0]).astype(np.float64)
-    single = np.append(add(joined(u, 2)), begins)
+    single = np.append(add(joined(u, REPLIES)), begins)
     _, where = np.unique(bigram_keys(words, t, context), return_inverse=True)
-    return add(joined(b, 2))[where], single[context], single[t], first
+    return add(joined(b, REPLIES))[where], single[context], single[t], first
 
 
 def em_events(n: int, v: int, begins: int):
@@ -150,7 +157,7 @@ def learn(events: np.ndarray) -> np.ndarray:
             share *= (e[:, 3] / share.sum(axis=1))[:, None]
             w = share.sum(axis=0) / share.sum()
         # no weight but that of an unseen context's bigram vanishes, so that any text has a probability
-        weights[int(b)] = (w + 1e-6 * (np.arange(3) > (0 if b else 0))) / (1 + 2e-6)
+        weights[int(b)] = (w + 1e-6 * (np.arange(3) > 0)) / (1 + 2e-6)
     seen = np.unique(events[:, 0]).astype(int) if len(events) else np.array([], int)
     for b in range(64):  # a bucket without events takes the nearest one's weights; without context the bigram has none
         if len(seen) and b not in seen:
@@ -185,23 +192,29 @@ def scorer(weights: np.ndarray, n: int, v: int, begins: int):
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs."""
-    small_batches(docs)
+    with small_batches(docs):
+        return _scored(docs)
+
+
+def _scored(docs: DataFrame) -> DataFrame:
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS, F.lit(HELD_OUT)).cast("int")
     folds = set(docs.agg(F.collect_set(fold)).first()[0])
     if EM_FOLD not in folds and len(training := sorted(folds - {HELD_OUT})) > 1:
         fold = F.when(fold == training[0], EM_FOLD).otherwise(fold)
     chunks = materialize(docs.select("doc_id", fold.alias("fold"), "text").mapInArrow(pack, _CHUNKS), "chunks")
-    ranges = ranges_for(estimated_bytes(docs) / 4)  # about a distinct bigram and chunk for four bytes of a compressed table
-    singles = materialize(replies(chunks.mapInArrow(asker(ranges, False), REQUEST), 2), "word_counts")
-    pairs = materialize(replies(chunks.mapInArrow(asker(ranges, True), REQUEST), 2), "bigram_counts")
+    askers, tokens = chunks.agg(F.count("*"), F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, n: a + n)), F.lit(0))).first()
+    exchange = counting(ranges_for(tokens / 2))  # a chunk has about a distinct bigram for two tokens
+    singles, v = exchange.run(chunks.mapInArrow(asker(exchange, False), ASKED), askers, "word_counts")
+    pairs, _ = exchange.run(chunks.mapInArrow(asker(exchange, True), ASKED), askers, "bigram_counts")
     trained = chunks.select("em", F.explode(F.arrays_zip("lengths", "held")).alias("d")).where("not d.held")
     sums = trained.agg(*(F.coalesce(x, F.lit(0)) for e in ("not em", "em") for x in (F.sum(F.when(F.expr(e), F.col("d.lengths"))), F.count_if(F.expr(e))))).first()
-    v = singles.agg(F.coalesce(F.sum("found"), F.lit(0))).first()[0]
-    ready = lambda part: part.join(by_chunk(singles, "u"), "chunk", "left").join(by_chunk(pairs, "b"), "chunk", "left")
+    told = lambda df, name: df.select(F.col("asker").alias("chunk"), F.col("replies").alias(name))
+    ready = lambda part: part.join(told(singles, "u"), "chunk", "left").join(told(pairs, "b"), "chunk", "left")
     events = ready(chunks.where("em")).mapInArrow(em_events(sums[0], v, sums[1]), "bucket int, r2 int, r1 int, n long")
     kinds = events.groupBy("bucket", "r2", "r1").agg(F.sum("n").alias("n")).toPandas().to_numpy(np.float64)  # bounded by the grid
     scored = scorer(learn(kinds), sums[0] + sums[2], v, sums[1] + sums[3])
-    return ready(chunks).mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    done = ready(chunks).mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return materialize(done, "scores")
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

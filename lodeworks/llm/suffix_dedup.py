@@ -6,15 +6,16 @@ an anchor, the leftmost of its GRAM-byte substrings with the least hash; equal w
 suffixes that share the anchor:
 
 1. Each document is cut into runs: consecutive windows with one anchor. Chunks of documents ask, in a packed exchange by anchor (see exchange.py), about
-   the class of each run, a hash of its bytes. A run whose class occurs earlier is removed whole. If an anchor has runs of one class only, nothing
-   else can match.
+   the class of each run, a 128-bit BLAKE2b digest of its bytes. A run whose class occurs earlier is removed whole. If an anchor has runs of one class only,
+   nothing else can match.
 2. The earliest runs of anchors with several classes, where passages begin and end, are brought together with their bytes. A task sorts their
-   suffixes to depth LENGTH by prefix doubling. In that order, a suffix has a previous or next smaller text position with a common prefix
-   of LENGTH exactly if it isn't the least position of its block of equal prefixes; those are the removed ones.
+   suffixes to depth LENGTH by prefix doubling, takes the common prefixes of neighbours in that order, finds each suffix's previous and next smaller text
+   position, and the longer of the common prefixes with these two is its longest previous factor; windows of LENGTH or more are removed.
 3. Removed windows become spans, spans meet their documents by id and text.
 
-Hot anchors: copies of a run combine within a chunk, so a passage that a third of all documents hold is one entry a chunk. An anchor with more than HOT_CLASSES classes in
-one chunk (a short phrase in ever other surroundings) is keyed by the bytes of the single windows in step 2, which spreads it.
+Hot anchors: copies of a run combine within a chunk, so a passage that a third of all documents hold is one entry a chunk. An anchor with more than HOT_CLASSES classes,
+in one chunk or in all (a short phrase in ever other surroundings), is keyed by the bytes of the single windows in step 2, which spreads it. Equal bytes of one
+anchor are one row a task there, and one in the memory of the task that compares, so that task holds HOT_CLASSES runs of an anchor at most.
 
 Defined results: a null text is empty; empty texts and texts under LENGTH bytes lose nothing; documents with one id aren't earlier than each other,
 so repeated rows keep the same; null ids come last; an empty table gives an empty result; other columns stay where spans are removed.
@@ -25,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +35,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, neutral, read, restore, rows_of, utf8
-from .exchange import CHUNK_BYTES, estimated_bytes, expand, ranges_for, small_batches, squeeze
+from .exchange import ASKED, ASKED_SCHEMA, CHUNK_BYTES, Exchange, Wire, batch_of, expand, joined, ranges_for, small_batches, squeeze
 from .minhash_dedup import mix
 
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
 HOT_CLASSES = 64
+#: Bytes of runs that one task compares.
+TASK_BYTES = 48 << 20
 LAST = 2**63 - 1
 #: Texts are searched in pieces of so many windows; positions in a piece fit into the low bits of the hashes.
 PIECE_BITS = 20
@@ -47,42 +51,66 @@ NOTHING, REMOVED, COMPARE, SPREAD = range(4)
 KEY = ["_id", "_t"]
 
 
+def smaller_before(p: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """For each element of a suffix order the common prefix with the nearest one before it that has a smaller text position p; 0 where it is under `least`. common[i]: that
+    of i - 1 and i. Each element follows the pointers of those that it passes, all at once, so rounds are few."""
+    before, low = np.arange(-1, len(p) - 1), common.copy()
+    low[:1] = 0
+    todo = np.flatnonzero((low >= least) & (p[before] >= p))
+    while len(todo):
+        j = before[todo]
+        low[todo] = np.minimum(low[todo], low[j])
+        before[todo] = before[j]
+        low[todo[before[todo] < 0]] = 0
+        todo = todo[(low[todo] >= max(least, 1)) & (p[before[todo]] >= p[todo])]
+    low[low < least] = 0
+    return low
+
+
+def previous_factors(p: np.ndarray, common: np.ndarray, least: int = 1) -> np.ndarray:
+    """Longest previous factors in suffix order, from the previous and the next smaller position; 0 where they are under `least`."""
+    back = np.append(0, common[:0:-1]) if len(p) else common
+    return np.maximum(smaller_before(p, common, least), smaller_before(p[::-1], back, least)[::-1])
+
+
+class Suffixes:
+    """Suffix order and common prefixes to a depth of LENGTH bytes, of windows that start at the given places of data (which has LENGTH bytes and more after each)."""
+
+    def __init__(self, data: bytes, start: np.ndarray) -> None:
+        n = len(data) - 7
+        word = np.ndarray((n,), ">u8", data, 0, (1,)).astype(np.uint64)
+        self.word, self.levels, rank = word, [], ranked(word)
+        for step in (8, 16, 32):
+            self.levels.append((step, rank.astype(np.uint32)))
+            rank = ranked((rank[:-step] << np.uint64(32)) | rank[step:])
+        self.levels.append((64, rank.astype(np.uint32)))
+        depth = ranked((rank[start] << np.uint64(32)) | rank[start + LENGTH - 64])  # bytes 0-63 and 36-99
+        self.order = np.argsort(depth, kind="stable")
+        self.same = np.append(False, np.diff(depth[self.order]) == 0)
+        self.start = start
+
+    def common(self) -> np.ndarray:
+        """Of each suffix and the one before it in the order, LENGTH at most."""
+        out = np.where(self.same, LENGTH, 0)
+        odd = np.flatnonzero(~self.same)[1:]
+        a, b = self.start[self.order[odd - 1]], self.start[self.order[odd]]
+        upto = np.zeros(len(odd), np.int64)
+        for step, rank in reversed(self.levels):
+            upto += step * (rank[a + upto] == rank[b + upto])
+        differ = self.word[a + upto] ^ self.word[b + upto]
+        out[odd] = upto + sum((differ < np.uint64(1 << 8 * k)).astype(np.int64) for k in range(1, 8))
+        return out
+
+
 def longest_previous_factor(data: bytes) -> np.ndarray:
-    """LPF of one text: the length of the longest prefix of each suffix that also starts earlier. Suffix array by prefix doubling, common prefixes of
-    neighbours, and for each suffix its previous and next smaller position in suffix order."""
+    """LPF of one text, LENGTH at most, by the same steps: the length of the longest prefix of each suffix that also starts earlier."""
     n = len(data)
-    rank = np.unique(np.frombuffer(data, np.uint8), return_inverse=True)[1].astype(np.int64) + 1
-    step = 1
-    while n and rank.max() < n:
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:]
-        code = rank * (n + 1) + after
-        rank = np.unique(code, return_inverse=True)[1].astype(np.int64) + 1
-        step *= 2
-    order = np.argsort(rank, kind="stable").tolist()
-    place = [0] * n
-    for i, p in enumerate(order):
-        place[p] = i
-    common, k = [0] * (n + 1), 0
-    for p in range(n):
-        if place[p]:
-            q = order[place[p] - 1]
-            while p + k < n and q + k < n and data[p + k] == data[q + k]:
-                k += 1
-            common[place[p]] = k
-            k = max(0, k - 1)
-        else:
-            k = 0
-    lpf = np.zeros(n, np.int64)
-    stack: list[tuple[int, int]] = []  # positions that rise, with the common prefix with the one below
-    for i, p in enumerate([*order, -1]):
-        least = common[i] if i < n else 0
-        while stack and stack[-1][0] > p:
-            q, with_below = stack.pop()
-            lpf[q] = max(with_below, least)  # previous smaller, next smaller
-            least = min(least, with_below)
-        stack.append((p, least))
-    return lpf
+    # an end that is smaller than any byte, each suffix's own, keeps matches within the text
+    suffixes = Suffixes(data + bytes(2 * LENGTH), np.arange(n))
+    common = np.minimum(suffixes.common(), n - np.maximum(suffixes.order, np.append(0, suffixes.order[:-1]))) if n else np.empty(0, np.int64)
+    out = np.zeros(n, np.int64)
+    out[suffixes.order] = previous_factors(suffixes.order, common)
+    return out
 
 
 def runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -111,18 +139,27 @@ def _runs(data: bytes, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 
 def classes(data: bytes, anchor: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A hash of each run's bytes and of the anchor's place in them, never 0."""
-    seeds, starts, ends = (anchor - first).tolist(), first.tolist(), (last + LENGTH).tolist()
-    return np.fromiter((xxhash.xxh3_64_intdigest(data[a:b], s) or 1 for a, b, s in zip(starts, ends, seeds, strict=True)), np.uint64, len(starts))
+    """A 128-bit digest of each run's bytes and of the anchor's place in them, as two numbers."""
+    salts = [i.to_bytes(16, "little") for i in range(WINDOW)]
+    offsets, starts, ends = (anchor - first).tolist(), first.tolist(), (last + LENGTH).tolist()
+    digests = b"".join(blake2b(data[a:b], digest_size=16, salt=salts[o]).digest() for a, b, o in zip(starts, ends, offsets, strict=True))
+    return np.frombuffer(digests, np.uint64).reshape(-1, 2)
+
 
+#: Entries: anchor, class (two numbers, both 0 in a marker), document id. Replies: what is to be done.
+WIRE, REPLIES = Wire((np.uint64, np.uint64, np.uint64, np.int64), (False, False, False, True)), Wire((np.uint8,), (False,))
+_META = pa.schema([("ids", pa.binary()), ("runs", pa.list_(pa.int32())), ("texts", pa.list_(pa.int64())), ("local", pa.binary()), ("asked", pa.binary())])
+_REQUEST = pa.schema([*ASKED_SCHEMA, *_META])
+_REQUESTS = f"{ASKED}, ids binary, runs array<int>, texts array<long>, local binary, asked binary"
 
-_REQUEST = pa.schema([("chunk", pa.string()), ("range", pa.int32()), ("keys", pa.binary()), ("classes", pa.binary()), ("doc", pa.binary()), ("ids", pa.binary())])
-_META = pa.schema([("runs", pa.list_(pa.int32())), ("texts", pa.list_(pa.int64())), ("local", pa.binary()), ("asked", pa.binary())])
-_REQUESTS = "chunk string, range int, keys binary, classes binary, doc binary, ids binary, runs array<int>, texts array<long>, local binary, asked binary"
+
+def asking(ranges: int) -> Exchange:
+    """Anchors are minima, so their hashes are small: mixed again they are even routes."""
+    return Exchange(WIRE, lambda columns: mix(columns[0]), answer, REPLIES, ranges)
 
 
 class _Chunk:
-    """Runs of some documents. asked[i]: the range in which run i is asked about, +1, or 0."""
+    """Runs of some documents."""
 
     def __init__(self) -> None:
         self.ids, self.texts, self.keys, self.classes, self.bytes = [], [], [], [], 0
@@ -135,13 +172,13 @@ class _Chunk:
         self.classes.append(classes(data, anchor, first, last))
         self.bytes += len(data) + 100
 
-    def rows(self, ranges: int) -> Iterator[tuple]:
+    def rows(self, exchange: Exchange) -> Iterator[tuple]:
         ids, counts = np.array(self.ids, np.int64), [len(k) for k in self.keys]
         key, kind, doc = np.concatenate(self.keys), np.concatenate(self.classes), np.repeat(np.arange(len(ids)), counts)
-        order = np.lexsort((ids[doc], kind, key))  # stable: places in a document stay in order
+        order = np.lexsort((ids[doc], kind[:, 1], kind[:, 0], key))  # stable: places in a document stay in order
         k, c, d = key[order], kind[order], doc[order]
         new_key = np.append(True, k[1:] != k[:-1])
-        new_class = new_key | np.append(True, c[1:] != c[:-1])
+        new_class = new_key | np.append(True, (c[1:] != c[:-1]).any(axis=1))
         head = np.maximum.accumulate(np.where(new_class, np.arange(len(k)), 0))
         again = ~new_class & ((ids[d] > ids[d[head]]) | np.append(False, d[1:] == d[:-1]))
         local = np.zeros(len(key), np.uint8)
@@ -151,26 +188,17 @@ class _Chunk:
         kinds = np.add.reduceat(new_class.astype(np.int64), starts)
         hot = np.repeat(kinds > HOT_CLASSES, np.diff(np.append(starts, len(k))))
         local[order[hot & ~again]] = SPREAD
-        c = np.where(hot, np.uint64(0), c)
         ask = np.zeros(len(key), bool)
         ask[order[(new_class & ~hot) | (~new_class & ~again & ~hot) | (new_key & hot)]] = True
-        kind[order] = c
-        where = ((mix(key) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)  # anchors are minima, so their hashes are small: mixed again
-        asked = np.where(ask, where + 1, 0).astype(np.uint32)
-        chunk = uuid.uuid4().hex
-        for r in np.unique(where[ask]).tolist():
-            m = ask & (where == r)
-            held, index = np.unique(doc[m], return_inverse=True)
-            yield chunk, r, squeeze(key[m]), squeeze(kind[m]), squeeze(np.diff(index, prepend=0).astype(np.uint32)), squeeze(ids[held]), None, None, None, None
-        yield chunk, -1, None, None, None, squeeze(ids), counts, self.texts, squeeze(local), squeeze(asked)
-
+        kind = kind.copy()
+        kind[order[hot]] = 0
+        chunk, run = uuid.uuid4().hex, np.flatnonzero(ask)
+        asked, sent = exchange.ask(chunk, [key[run], kind[run, 0], kind[run, 1], ids[doc[run]]])
+        yield from ((*r, None, None, None, None, None) for r in asked)
+        yield chunk, -1, None, squeeze(ids), counts, self.texts, squeeze(local), squeeze(np.diff(run[sent], prepend=0).astype(np.int32))
 
-def ask(ranges: int):
-    fields = [*_REQUEST, *_META]
-
-    def packed(rows: Iterator[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=pa.schema(fields))
 
+def ask(exchange: Exchange):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = _Chunk()
         for doc, t, text in rows_of(batches, "_id", "_t", "text"):
@@ -178,47 +206,41 @@ def ask(ranges: int):
             if len(data) >= LENGTH:
                 chunk.add(doc, t, data)
             if chunk.bytes >= CHUNK_BYTES:
-                yield packed(chunk.rows(ranges))
+                yield batch_of(list(chunk.rows(exchange)), _REQUEST)
                 chunk = _Chunk()
         if chunk.ids:
-            yield packed(chunk.rows(ranges))
+            yield batch_of(list(chunk.rows(exchange)), _REQUEST)
 
     return each
 
 
-def answer(table: pa.Table) -> pa.Table:
-    """What is to be done with each run of one range of anchors."""
-    keys = [expand(x, np.uint64) for x in table.column("keys").to_pylist()]
-    kinds = [expand(x, np.uint64) for x in table.column("classes").to_pylist()]
-    ids = [expand(i, np.int64)[np.cumsum(expand(d, np.uint32))] for d, i in zip(table.column("doc").to_pylist(), table.column("ids").to_pylist(), strict=True)]
-    k, c, d = np.concatenate(keys), np.concatenate(kinds), np.concatenate(ids)
-    order = np.lexsort((d, c, k))
-    k, c, d = k[order], c[order], d[order]
+def answer(columns: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """What is to be done with each run of one range of anchors; as evidence, how many anchors are hot."""
+    k, a, b, d = columns
+    order = np.lexsort((d, b, a, k))
+    k, a, b, d = k[order], a[order], b[order], d[order]
     new_key = np.append(True, k[1:] != k[:-1])
-    new_class = new_key | np.append(True, c[1:] != c[:-1])
+    new_class = new_key | np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
     starts = np.flatnonzero(new_key)
     sizes = np.diff(np.append(starts, len(k)))
-    mixed = np.repeat(np.add.reduceat(new_class.astype(np.int64), starts) > 1, sizes)
-    marked = np.repeat(c[starts] == 0, sizes)
+    kinds = np.add.reduceat(new_class.astype(np.int64), starts)
+    marker = (a == 0) & (b == 0)
+    hot = marker[starts] | (kinds > HOT_CLASSES)  # a marker sorts first
     head = np.maximum.accumulate(np.where(new_class, np.arange(len(k)), 0))
-    status = np.where(marked, SPREAD, np.where(mixed, COMPARE, NOTHING)).astype(np.uint8)
-    status[(d > d[head]) & (c > 0)] = REMOVED
+    status = np.where(np.repeat(hot, sizes), SPREAD, np.where(np.repeat(kinds > 1, sizes), COMPARE, NOTHING)).astype(np.uint8)
+    status[(d > d[head]) & ~marker] = REMOVED
     back = np.empty(len(k), np.uint8)
     back[order] = status
-    ends = np.cumsum([len(x) for x in keys])
-    packed = [squeeze(back[e - len(x) : e]) for x, e in zip(keys, ends, strict=True)]
-    return pa.table({"chunk": table.column("chunk"), "range": table.column("range"), "status": pa.array(packed, pa.binary())})
+    return [back], int(hot.sum())
 
 
 def statuses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is to be done with each run of a document, for documents where anything is."""
     for packed_ids, counts, texts, packed_local, packed_asked, replies in rows_of(batches, "ids", "runs", "texts", "local", "asked", "replies", at_once=1):
-        ids, status, asked = expand(packed_ids, np.int64), expand(packed_local, np.uint8).copy(), expand(packed_asked, np.uint32)
-        for r in replies or []:
-            # a run that was removed or marked within its chunk keeps that; a marker only speaks for its anchor
-            m = np.flatnonzero(asked == r["range"] + 1)
-            told = expand(r["status"], np.uint8)
-            status[m] = np.where(status[m] == SPREAD, SPREAD, told)
+        ids, status = expand(packed_ids, np.int64), expand(packed_local, np.uint8).copy()
+        run, told = np.cumsum(expand(packed_asked, np.int32), dtype=np.int64), joined(replies, REPLIES)[0]
+        # a run that was marked within its chunk keeps that; a marker only speaks for its anchor
+        status[run] = np.where(status[run] == SPREAD, SPREAD, told)
         ends = np.cumsum(counts)
         each = [status[e - n : e] for e, n in zip(ends.tolist(), counts, strict=True)]
         some = [i for i, s in enumerate(each) if s.any()]
@@ -295,79 +317,102 @@ def ranked(code: np.ndarray) -> np.ndarray:
     return rank
 
 
-def compare(group: np.ndarray, ids: np.ndarray, texts: np.ndarray, at: np.ndarray, bodies: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
-    """(id, t, start, end) of what removed windows cover. group: the anchor of each row."""
+def compare(ids: np.ndarray, texts: np.ndarray, at: np.ndarray, bodies: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
+    """(id, t, start, end) of what removed windows cover. Rows of one anchor follow one another, sorted by id, text and place; so the number of a window is its text
+    position among those that it can equal."""
     sizes = np.array([len(b) for b in bodies])
-    data = b"".join(bodies) + bytes(2 * LENGTH)
-    n = len(data) - 2 * LENGTH
-    rank = ranked(np.ndarray((n + LENGTH,), ">u8", data, 0, (1,)).astype(np.uint64))
-    for step in (8, 16, 32):  # then of depth 64; suffixes near a row's end reach into the next, but no window does
-        rank = ranked((rank[:-step] << np.uint64(32)) | rank[step:])
-    begins = np.cumsum(sizes) - sizes
-    many = sizes - LENGTH + 1
+    begins, many = np.cumsum(sizes) - sizes, sizes - LENGTH + 1
     row = np.repeat(np.arange(len(bodies)), many)
     offset = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    start = begins[row] + offset
-    # bytes 0-63 and 36-99: depth LENGTH
-    depth = ranked((rank[start] << np.uint64(32)) | rank[start + LENGTH - 64])
-    place = at[row] + offset
-    order = np.lexsort((place, texts[row], ids[row], depth))
-    d, r, p = depth[order], row[order], place[order]
-    head = np.maximum.accumulate(np.where(np.append(True, d[1:] != d[:-1]), np.arange(len(d)), 0))
-    same = np.append(False, (d[1:] == d[:-1]) & (ids[r[1:]] == ids[r[:-1]]) & (texts[r[1:]] == texts[r[:-1]]) & (p[1:] != p[:-1]))
-    # within the block of one depth-LENGTH prefix, all but the least text position have a smaller neighbour
-    gone = (ids[r] > ids[r[head]]) | same
-    r, p = r[gone], p[gone]
-    order = np.lexsort((p, r))
-    r, p = r[order], p[order]
-    if len(r):
-        cut = np.append(True, (r[1:] != r[:-1]) | (p[1:] != p[:-1] + 1))
-        first = np.flatnonzero(cut)
+    suffixes = Suffixes(b"".join(bodies) + bytes(2 * LENGTH), begins[row] + offset)
+    order, common = suffixes.order, suffixes.common()
+    gone = np.zeros(len(row), bool)
+    if _one_text_each(ids, texts):
+        gone[order] = previous_factors(order, common, LENGTH) >= LENGTH
+    else:  # documents with one id aren't earlier than each other: smaller ids first, then earlier places in the same document
+        document = np.cumsum(np.append(0, (np.diff(ids) != 0) | (np.diff(texts) != 0)))
+        block = np.cumsum(~suffixes.same)
+        gone[order] = previous_factors(ids[row[order]], common, LENGTH) >= LENGTH
+        within = order[np.lexsort((order, document[row[order]], block))]
+        of_block = np.empty(len(row), np.int64)
+        of_block[order] = block
+        gone[within[1:]] |= (of_block[within[1:]] == of_block[within[:-1]]) & (document[row[within[1:]]] == document[row[within[:-1]]])
+    found = np.flatnonzero(gone)
+    if len(found):
+        r, p = row[found], at[row[found]] + offset[found]
+        first = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (p[1:] != p[:-1] + 1)))
         last = np.append(first[1:], len(r)) - 1
         yield from zip(ids[r[first]].tolist(), texts[r[first]].tolist(), p[first].tolist(), (p[last] + LENGTH).tolist(), strict=True)
 
 
+def _one_text_each(ids: np.ndarray, texts: np.ndarray) -> bool:
+    pairs = np.unique(np.stack([ids, texts]), axis=1)
+    return len(np.unique(ids)) == pairs.shape[1]
+
+
 _SPANS = "_id long, _t long, spans array<int>"
 
 
 def compare_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, id, t and place; whole groups are compared, many small ones at once."""
+    """Rows sorted by key, id, t and place; whole groups are compared, many small ones at once. A row whose bytes the group has from an earlier document, or from an
+    earlier place in the same one, is removed as it comes, so that the group holds its different bytes only."""
     rows: list[tuple] = []
+    spans: list[tuple] = []
+    firsts: dict[bytes, tuple] = {}
     size = 0
 
-    def done(part: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if len(part) < 2:
-            return
-        key, ids, texts, at, bodies = zip(*part, strict=True)
-        found = list(compare(np.array(key), np.array(ids), np.array(texts), np.array(at), list(bodies)))
+    def emit(found: list[tuple]) -> Iterator[pa.RecordBatch]:
         if found:
             i, t, a, b = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(t, pa.int64()), pa.array(list(zip(a, b, strict=True)), pa.list_(pa.int32()))], names=[*KEY, "spans"])
 
+    def done(part: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if len(part) > 1 or any(len(x[4]) > LENGTH for x in part):
+            _, ids, texts, at, bodies = zip(*part, strict=True)
+            yield from emit(list(compare(np.array(ids), np.array(texts), np.array(at), list(bodies))))
+
+    before: tuple | None = None
     for x in rows_of(batches, "key", *KEY, "at", "bytes"):
-        if size > 2_000_000 and x[0] != rows[-1][0]:
-            yield from done(rows)
-            rows, size = [], 0
-        if not rows or x[:4] != rows[-1][:4]:  # repeated rows of a document
+        if before is None or x[0] != before[0]:
+            firsts.clear()
+            if size > 1_000_000:
+                yield from done(rows)
+                rows, size = [], 0
+        elif x[:4] == before[:4]:  # repeated rows of a document
+            continue
+        before = x[:4]
+        first = firsts.setdefault(x[4], x)
+        if first is x or (x[1] == first[1] and x[2] != first[2]):
             rows.append(x)
             size += len(x[4])
+        else:
+            spans.append((x[1], x[2], x[3], x[3] + len(x[4])))
+            if len(spans) == 50_000:
+                yield from emit(spans)
+                spans = []
+    yield from emit(spans)
     yield from done(rows)
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
     """(_id, _t, spans): flat starts and ends in bytes, in no order; they may overlap."""
-    small_batches(docs)
+    with small_batches(docs):
+        return materialize(_removed_spans(docs), "spans")
+
+
+def _removed_spans(docs: DataFrame) -> DataFrame:
     keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.xxhash64("text").alias("_t"), "text")
-    ranges = ranges_for(estimated_bytes(docs) / 18)  # about a run for 35 bytes of text
-    asked = materialize(keyed.mapInArrow(ask(ranges), _REQUESTS), "runs")
-    told = asked.where("range >= 0").select("chunk", "range", "keys", "classes", "doc", "ids").groupBy("range").applyInArrow(answer, "chunk string, range int, status binary")
-    told = told.groupBy("chunk").agg(F.collect_list(F.struct("range", "status")).alias("replies"))
-    meta = asked.where("range = -1").select("chunk", "ids", "runs", "texts", "local", "asked")
-    status = materialize(meta.join(told, "chunk", "left").mapInArrow(statuses, "_id long, _t long, status binary"), "status")
+    size, many = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    exchange = asking(ranges_for(size / 40))  # about a run for 35 bytes of text
+    asked = materialize(keyed.mapInArrow(ask(exchange), _REQUESTS), "runs")
+    told, _ = exchange.run(asked.where("range >= 0").select("asker", "range", "columns"), -(-size // CHUNK_BYTES), "replies")
+    meta = asked.where("range = -1").select("asker", "ids", "runs", "texts", "local", "asked")
+    status = materialize(meta.join(told, "asker", "left").mapInArrow(statuses, "_id long, _t long, status binary"), "status")
     found = keyed.join(status.dropDuplicates(KEY), KEY).mapInArrow(gather, "key long, _id long, _t long, at int, bytes binary, spans array<int>")
     found = materialize(found, "compared")
     rows = found.where("bytes is not null").select("key", *KEY, "at", "bytes")
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    weight = rows.agg(F.coalesce(F.sum(F.length("bytes") + 50), F.lit(0))).first()[0]
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(weight // TASK_BYTES) + 1)
     late = rows.repartition(parts, "key").sortWithinPartitions("key", *KEY, "at").mapInArrow(compare_groups, _SPANS)
     every = found.where("spans is not null").select(*KEY, "spans").unionByName(late)
     return every.groupBy(*KEY).agg(F.flatten(F.collect_list("spans")).alias("spans"))
@@ -408,7 +453,7 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    spans = materialize(removed_spans(docs), "spans")
+    spans = removed_spans(docs)
     return docs.withColumns({"_id": F.coalesce("doc_id", F.lit(LAST)), "_t": F.xxhash64("text")}).join(spans, KEY, "left").drop(*KEY)
 
 

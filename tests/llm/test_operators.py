@@ -197,11 +197,26 @@ def test_lm_learns_where_the_em_fold_is_empty(spark):
     assert all(r.score > r.base_score > r.n_tokens * math.log10(1 / 7) for r in got)  # five words, the end and an unknown one
 
 
-def test_lm_totals_beyond_32_bits(spark):
-    keys, most = np.array([3, 9], np.uint64), np.array([[2**32 - 1, 1], [7, 2]], np.uint32)
-    asked = [row for chunk in "abc" for row in exchange.requests(chunk, keys, most, 1)]
-    back = exchange.by_chunk(exchange.replies(spark.createDataFrame(asked, exchange.REQUEST), 2), "u").collect()
-    assert len(back) == 3 and all(exchange.joined(r.u, 2).tolist() == [[3 * (2**32 - 1), 3], [21, 6]] for r in back)
+@pytest.mark.parametrize("ranges", [1, 3, 300])
+def test_lm_totals_beyond_32_bits(spark, ranges):
+    """Direct and in two hops."""
+    keys, most = np.array([3, 9, 2**63, 2**64 - 1], np.uint64), [np.array([3 * 10**9, 1, 2**40, 5], np.uint64), np.array([7, 2, 0, 0], np.uint64)]
+    e = lm_scoring.counting(ranges)
+    asked = [row for chunk in "abc" for row in e.ask(chunk, [keys, *most])[0]]
+    back, found = e.run(spark.createDataFrame(asked, exchange.ASKED), 3, "x")
+    got = [[c.tolist() for c in exchange.joined(r.replies, lm_scoring.REPLIES)] for r in back.collect()]
+    assert found == 4 and got == [[[9 * 10**9, 3, 3 * 2**40, 15], [21, 6, 0, 0]]] * 3
+
+
+def test_lm_in_two_hops(spark, monkeypatch):
+    """Many ranges, pools of chunks: the same scores, and rows in proportion to the root of the ranges."""
+    d = frame(spark, [(i, " ".join(f"w{(i * 31 + k * k) % 257}" for k in range(60))) for i in range(300)]).repartition(4)
+    want = {r.doc_id: r for r in lm_scoring.score_documents(d).collect()}
+    monkeypatch.setattr(exchange, "DIRECT", 2)
+    monkeypatch.setattr(lm_scoring, "ranges_for", lambda keys: 40)
+    assert lm_scoring.counting(40).slices == 7 and lm_scoring.counting(40).per == 6
+    got = {r.doc_id: r for r in lm_scoring.score_documents(d).collect()}
+    assert all(got[i].n_known == want[i].n_known and math.isclose(got[i].score, want[i].score, rel_tol=1e-12) and math.isclose(got[i].base_score, want[i].base_score, rel_tol=1e-12) for i in want)
 
 
 def test_em_prefers_the_better_estimate():
@@ -429,17 +444,68 @@ def test_suffix_awkward(spark):
     assert suffix_dedup.remove_repeats(H.empty(spark)).count() == 0
 
 
+def brute_lpf(s):
+    out = []
+    for i in range(len(s)):
+        k = 0
+        while i + k < len(s) and k < 100 and s.find(s[i : i + k + 1]) < i:
+            k += 1
+        out.append(k)
+    return out
+
+
 def test_longest_previous_factor():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 50, 300):
         s = bytes(rng.integers(97, 99, n, np.uint8))
+        assert suffix_dedup.longest_previous_factor(s).tolist() == brute_lpf(s)
+    for s in (b"a" * 250, bytes(130), (b"ab" * 40 + b"c") * 4, bytes(range(200)) * 2):
+        assert suffix_dedup.longest_previous_factor(s).tolist() == brute_lpf(s)
+
+
+def test_smaller_positions():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 7, 200):
+        p, common = rng.permutation(n), rng.integers(0, 5, n)
         want = []
         for i in range(n):
-            k = 0
-            while i + k < n and s.find(s[i : i + k + 1], 0, i + k) >= 0 and s.find(s[i : i + k + 1]) < i:
-                k += 1
-            want.append(k)
-        assert suffix_dedup.longest_previous_factor(s).tolist() == want
+            j, low = i - 1, 9
+            while j >= 0 and p[j] > p[i]:
+                j -= 1
+            back = min(common[j + 1 : i + 1], default=0) if j >= 0 else 0
+            j = i + 1
+            while j < n and p[j] > p[i]:
+                j += 1
+            want.append(max(back, min(common[i + 1 : j + 1]) if j < n else 0))
+        assert suffix_dedup.previous_factors(p, common).tolist() == want
+        assert suffix_dedup.previous_factors(p, common, 3).tolist() == [w if w >= 3 else 0 for w in want]
+
+
+def test_suffix_anchors_are_hot_over_all_chunks():
+    """Classes are counted over all chunks, each of which has one; copies of a class from a later document go, from the same one they stay to be compared."""
+    n = suffix_dedup.HOT_CLASSES
+    for classes, want in ((n, suffix_dedup.COMPARE), (n + 1, suffix_dedup.SPREAD), (1, suffix_dedup.NOTHING)):
+        c = np.append(np.arange(1, classes + 1), [1, 1]).astype(np.uint64)
+        ids = np.append(np.arange(classes), [0, 500])
+        (status,), hot = suffix_dedup.answer([np.full(len(c), 7, np.uint64), c, c, ids])
+        assert status.tolist() == [want] * (classes + 1) + [suffix_dedup.REMOVED] and hot == (want == suffix_dedup.SPREAD)
+    (status,), _ = suffix_dedup.answer([np.array([7, 7, 8], np.uint64), np.array([0, 3, 3], np.uint64), np.array([0, 3, 3], np.uint64), np.array([5, 6, 6])])
+    assert status.tolist() == [suffix_dedup.SPREAD, suffix_dedup.SPREAD, suffix_dedup.NOTHING]
+
+
+def test_suffix_hot_anchor_over_many_chunks(spark, monkeypatch):
+    """A phrase in ever other surroundings; in two hops, with documents of one id and different texts among them."""
+    from lodeworks.llm import exchange
+
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    phrase = "a phrase of more than thirty-two bytes that stands everywhere"
+    tails = [" ".join(word() for _ in range(8)) for _ in range(20)]
+    pairs = [(i // 2 if i < 8 else i, " ".join(word() for _ in range(8)) + phrase + tails[i % 20]) for i in range(120)]
+    want = check_spans(spark, pairs)
+    monkeypatch.setattr(exchange, "DIRECT", 2)
+    monkeypatch.setattr(suffix_dedup, "ranges_for", lambda keys: 10)
+    assert check_spans(spark, pairs) == want > 0
 
 
 # --- 8 -------------------------------------------------------------------------------------------------------------------
