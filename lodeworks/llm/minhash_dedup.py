@@ -6,13 +6,15 @@ candidate with probability (1 - (1 - s ** ROWS) ** BANDS) ** 2: for s = 0.85, RO
 
 1. Documents with equal shingle sets form a class; only classes take part from here on.
 2. Table keys that two classes share are buckets. No pairs of a bucket's members are made. First each class is compared with the least of its candidates'
-   bucket heads, then with its other buckets' heads unless they are joined already; then, in buckets whose members are still in
-   different components, members of different components, in blocks.
-3. A comparison is exact: sizes of intersection and union of the full shingle sets (64-bit hashes of shingles).
+   bucket heads, then with its other buckets' heads unless they are joined already. What is left are buckets whose members are still in
+   different components. Their classes are joined by rare shingles: two sets of at least `percent` similarity share one of the first n - ceil(percent * n) + 1
+   of either in any common order, and the order is by how many of these classes have the shingle. So classes that only share a template, which all of
+   them have, meet nowhere; and none is lost.
+3. A comparison is exact: sizes of intersection and union of the full shingle sets (64-bit hashes of shingles), which are written once for all classes in buckets.
 4. Components of the confirmed links come from written edge tables; nothing is collected.
 
-Hot groups: classes and buckets are found by partial aggregation; rows meet hot classes, buckets and nodes through broadcasts of fewer than
-HOT_SHARE rows; big mixed buckets are compared block by block, each block pair its own key.
+Hot groups: classes and buckets are found by partial aggregation; rows meet hot classes, buckets, shingles and nodes through broadcasts of fewer than
+HOT_SHARE rows; a rare shingle of many classes is met block by block, each block pair its own key.
 
 Defined results: null, empty and white-space texts have an empty set and are linked with nothing; repeated rows have one component; rows
 with one id and different texts are different documents; a null id is named only by a component without any other id; an empty
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, hot_join, materialize, neutral, read, restore, rows_of, utf8
+from .common import WordHashes, hot_join, materialize, neutral, read, restore, rows_of, spread_join, utf8
 from .components import components
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -148,16 +150,38 @@ def buckets(classes: DataFrame, p: Params) -> DataFrame:
     return materialize(hot_join(rows, shared, ["key"], "n", classes.count() * p.bands**2), "buckets")
 
 
+def exploder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, shingle) of sets."""
+    for nodes, sets in (([n for n, _ in part], [np.frombuffer(x, np.int64) for _, x in part]) for part in _parts(rows_of(batches, "node", "shingles"))):
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(nodes, np.int64), [len(x) for x in sets])), pa.array(np.concatenate(sets))], names=["node", "shingle"])
+
+
+def _parts(rows: Iterator[tuple], most: int = 2_000_000) -> Iterator[list[tuple]]:
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[1])
+        if size > most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 class Linker:
     """Compares candidate pairs and keeps what was compared."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, p: Params) -> None:
-        self.docs, self.classes, self.p = docs, classes, p
-        self.spark = docs.sparkSession
-        self.tested = self.spark.createDataFrame([], "u long, v long, linked boolean")
-        self.labels = self.spark.createDataFrame([], "node long, component long")
+    def __init__(self, docs: DataFrame, classes: DataFrame, rows: DataFrame, p: Params) -> None:
+        self.classes, self.p = classes, p
+        self.tested: DataFrame | None = None
+        self.labels: DataFrame | None = None
+        wanted = rows.select("node").distinct().join(classes.select("node", F.col("rep").alias("doc_id")), "node")
+        texts = docs.select("doc_id", "text").join(wanted, "doc_id")
+        self.sets = materialize(texts.mapInArrow(set_maker(p), "node long, shingles binary").dropDuplicates(["node"]), "sets")
 
     def components_of(self, rows: DataFrame, column: str, name: str) -> DataFrame:
+        if self.labels is None:
+            return rows.withColumn(name, F.col(column))
         labels = self.labels.select(F.col("node").alias(column), F.col("component").alias(name))
         return rows.join(labels, column, "left").withColumn(name, F.coalesce(name, column))
 
@@ -170,40 +194,48 @@ class Linker:
         pairs = materialize(pairs, f"pairs_{name}")
         if not pairs.take(1):
             return 0
-        nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-        wanted = nodes.join(self.classes.select("node", F.col("rep").alias("doc_id")), "node")
-        texts = self.docs.select("doc_id", "text").join(wanted, "doc_id")
-        sets = materialize(texts.mapInArrow(set_maker(self.p), "node long, shingles binary").dropDuplicates(["node"]), f"sets_{name}")
-        # a node that is in many pairs as v is copied once for each BLOCK of them
-        counts = pairs.groupBy("v").agg(F.count("*").alias("_n")).withColumn("_parts", (F.col("_n") / BLOCK).cast("int") + 1)
-        heads = sets.join(counts, F.col("node") == F.col("v")).select("v", F.col("shingles").alias("y"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
-        split = hot_join(pairs, counts, ["v"], "_n", pairs.count()).withColumn("_part", F.pmod(F.xxhash64("u"), F.col("_parts")).cast("int")).select("u", "v", "_part")
-        full = split.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(heads, ["v", "_part"]).select("u", "v", "x", "y")
-        done = materialize(full.mapInArrow(confirmer(self.p), "u long, v long, linked boolean"), f"tested_{name}")
-        self.tested = self.tested.unionByName(done)
-        new = done.where("linked").count()
-        if new:
-            self.labels = materialize(components(self.tested.where("linked")), f"labels_{name}")
-        return new
+        # a node that is in many pairs as v is copied once for each block of them
+        full = spread_join(pairs, self.sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v").join(self.sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u")
+        done = materialize(full.select("u", "v", "x", "y").mapInArrow(confirmer(self.p), "u long, v long, linked boolean"), f"tested_{name}")
+        new = done.where("linked").select("u", "v")
+        many = new.count()
+        if many:
+            known = new if self.labels is None else new.unionByName(self.labels.select(F.col("node").alias("u"), F.col("component").alias("v")))
+            self.labels = materialize(components(known), f"labels_{name}")
+        self.tested = done.select("u", "v") if self.tested is None else materialize(self.tested.unionByName(done.select("u", "v")), f"all_{name}")
+        return many
 
     def open(self, pairs: DataFrame) -> DataFrame:
         """The pairs not compared yet, of nodes in different components."""
-        pairs = pairs.join(self.tested.select("u", "v"), ["u", "v"], "left_anti")
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["u", "v"], "left_anti")
         return self.components_of(self.components_of(pairs, "u", "_cu"), "v", "_cv").where("_cu <> _cv").select("u", "v")
 
 
-def mixed_pairs(linker: Linker, rows: DataFrame) -> DataFrame:
-    """Pairs of one bucket but different components, from buckets that have them. A bucket of n members has ceil(n / BLOCK) blocks, and a pair
-    of blocks is a join key of its own."""
-    c = linker.components_of(rows.select("key", "node"), "node", "c")
+def mixed_pairs(linker: Linker, rows: DataFrame) -> DataFrame | None:
+    """Candidates among the classes of buckets that have several components: pairs of different components that share a rare shingle and whose sizes allow a link."""
+    c = materialize(linker.components_of(rows.select("key", "node"), "node", "c"), "bucket_components")
     mixed = c.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
     mixed = materialize(mixed, "mixed")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    r = hot_join(c, mixed, ["key"], "n", mixed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    r = materialize(r.withColumns({"own": F.pmod(F.xxhash64("node"), blocks).cast("int"), "other": F.sequence(F.lit(0), blocks - 1)}), "mixed_rows")
-    a = r.select("key", F.col("node").alias("u"), F.col("c").alias("cu"), F.col("own").alias("bu"), F.explode("other").alias("bv"))
-    b = r.select("key", F.col("node").alias("v"), F.col("c").alias("cv"), F.col("own").alias("bv"), F.explode("other").alias("bu"))
-    return a.join(b, ["key", "bu", "bv"]).where("u > v and cu <> cv").select("u", "v").distinct()
+    total = mixed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not total:
+        return None
+    nodes = materialize(hot_join(c, mixed, ["key"], "n", total).select("node", "c").distinct(), "mixed_nodes")
+    has = materialize(linker.sets.join(nodes.select("node"), "node", "left_semi").mapInArrow(exploder, "node long, shingle long"), "shingles")
+    shared = materialize(has.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "shared_shingles")
+    # a shingle of one class only comes first in the order and finds no other, so it only takes up room
+    known = hot_join(has, shared, ["shingle"], "df", has.count()).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    known = known.join(linker.classes.select("node", F.col("n_shingles").alias("n")), "node").join(nodes, "node")
+    room = F.col("n") - F.expr(f"({linker.p.percent} * n + 99) div 100") + 1 - (F.col("n") - F.size("s"))
+    first = known.where(room > 0).select("node", "c", "n", F.explode(F.slice("s", F.lit(1), room.cast("int"))).alias("x")).select("node", "c", "n", F.col("x.shingle").alias("key"))
+    first = materialize(first, "rare")
+    many = materialize(first.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key", "m"), "rare_keys")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    r = hot_join(first, many, ["key"], "m", first.count())
+    r = materialize(r.withColumns({"own": F.pmod(F.xxhash64("node"), blocks).cast("int"), "other": F.sequence(F.lit(0), blocks - 1)}).drop("m"), "rare_rows")
+    side = lambda x, y: r.select("key", F.col("node").alias(x), F.col("c").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("own").alias(f"b{x}"), F.explode("other").alias(f"b{y}"))
+    fits = F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * linker.p.percent
+    return side("u", "v").join(side("v", "u"), ["key", "bu", "bv"]).where((F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & fits).select("u", "v").distinct()
 
 
 def groups(docs: DataFrame, p: Params) -> DataFrame:
@@ -213,12 +245,14 @@ def groups(docs: DataFrame, p: Params) -> DataFrame:
     classes = materialize(classes, "classes")
     # the representative's id may be null: such a class takes no part in comparisons by id, but keeps its members
     rows = buckets(classes.where("rep is not null"), p)
-    linker = Linker(docs, classes, p)
+    linker = Linker(docs, classes, rows, p)
     heads = rows.where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
     heads = materialize(heads.distinct(), "heads")
     linker.test(heads.groupBy("u").agg(F.min("v").alias("v")), "first")
     linker.test(linker.open(heads), "heads")
-    linker.test(linker.open(mixed_pairs(linker, rows)), "mixed")
+    left = mixed_pairs(linker, rows)
+    if left is not None:
+        linker.test(linker.open(left), "mixed")
     labelled = linker.components_of(classes.drop("keys"), "node", "c")
     named = labelled.groupBy("c").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
     named = hot_join(labelled.select("node", "c", "n_docs"), named, ["c"], "n", classes.count()).select("node", "component_id", "n_docs")

@@ -328,6 +328,23 @@ def test_minhash_chains_and_blocks(spark, monkeypatch):
     assert len({got[d] for d, _ in chain}) == 1 and len({got[d] for d, _ in copies}) == 1
 
 
+def test_minhash_templates_make_no_pairs(spark, monkeypatch):
+    """Documents that share most of a template but lie under the threshold are candidates of one another; none is compared but those with a rare shingle in common."""
+    rng = np.random.default_rng(3)
+    template = [f"t{i}" for i in range(100)]
+    own = lambda i, n: [f"o{i}x{k}" for k in range(n)]
+    pairs = [(i, " ".join([*template, *own(i, 24)])) for i in range(60)]  # 0.68 to one another
+    pairs += [(1000 + i, " ".join([*template, *own(i, 20), *own(500 + i, 4)])) for i in range(0, 60, 7)]  # links
+    rng.shuffle(pairs)
+    pairs = [(int(d), str(t)) for d, t in pairs]
+    seen = []
+    test = minhash_dedup.Linker.test
+    monkeypatch.setattr(minhash_dedup.Linker, "test", lambda self, pairs_, name: (seen.append((name, pairs_.count())), test(self, pairs_, name))[1])
+    got = {r.doc_id: r.component_id for r in minhash_dedup.groups(frame(spark, pairs), minhash_dedup.Params(3, 85, 1, 10)).collect()}
+    assert got == {d: c for (d, _), (_, c) in zip(pairs, H.groups(pairs, 3, 85), strict=True)}
+    assert len(set(got.values())) == 60 and dict(seen)["mixed"] <= 9
+
+
 def test_minhash_awkward(spark):
     d = H.awkward(spark)
     rows_ = [(r.doc_id, r.text) for r in d.collect()]
