@@ -724,6 +724,80 @@ def test_license_whole_texts():
     assert affero != gpl and "gpl-3.0" not in {f["label"] for f in s.scan(affero.encode())[7]}
 
 
+def brute_license(text, templates):
+    """Labels and score by substring search: for each template the longest match that ends at each word of the file, seeds where it stops growing, and the best chain of them."""
+    L = license_scan
+    words = H.plain_words(text)
+    known = {w for _, t in templates for w in H.plain_words(t)}
+    has = lambda seq, part: any(seq[i : i + len(part)] == part for i in range(len(seq) - len(part) + 1))
+    base = {label for phrase, label in L.PHRASES.items() if has(words, phrase.split())}
+    best, found = 0.0, []
+    least = min([L.MIN_MATCH, *(len(H.plain_words(t)) for _, t in templates)])
+    for label, template in templates:
+        t = H.plain_words(template)
+        joined_ = " " + " ".join(t) + " "
+        lengths = []
+        for i in range(len(words)):
+            n = 0
+            while n <= i and words[i - n] in known and f" {' '.join(words[i - n : i + 1])} " in joined_:
+                n += 1
+            lengths.append(n if n >= least else 0)
+        seeds = []
+        for i, n in enumerate(lengths):
+            after = lengths[i + 1] if i + 1 < len(words) else 0
+            if n and n >= after and n >= min(L.MIN_MATCH, len(t)):
+                part = words[i + 1 - n : i + 1]
+                at = next(k for k in range(len(t)) if t[k : k + n] == part)
+                seeds.append((at, i + 1 - n, n))
+        seeds = sorted(set(seeds), key=lambda s: (s[1], s[0]))
+        chains = []
+        for at, place, n in seeds:
+            before = [(c + n, f) for (a, p, m), (c, f) in zip(seeds, chains, strict=False) if a + m <= at and p + m <= place and place - (p + m) <= len(t)]
+            chains.append(max([(n, place), *before], key=lambda x: x[0]))
+        if not chains:
+            continue
+        covered, first, end = max(((c, f, p + n) for (c, f), (_, p, n) in zip(chains, seeds, strict=True)), key=lambda x: (x[0], -x[1], x[2]))
+        inside = words[first:end]
+        needs = [has(inside, H.plain_words(p)) for p in L.NEEDS.get(label, [])]
+        if needs and not (any if label in L.ANY_OF else all)(needs) or any(has(words, H.plain_words(p)) for p in L.UNLESS.get(label, [])):
+            continue
+        share = covered / len(t)
+        best = max(best, share)
+        if share >= next(x for n, x in L.COVERAGES if len(t) >= n):
+            found.append((label, first, end, len(t)))
+    whole = [(f, e) for _, f, e, n in found if n >= L.COVERAGES[0][0]]
+    labels = base | {label for label, f, e, n in found if n >= L.COVERAGES[0][0] or not any(a <= f and e <= b for a, b in whole)}
+    return ",".join(sorted(labels)), max(best, L.PHRASE_SCORE if base else 0.0)
+
+
+def test_license_brute_force(spark, docs):
+    """Whole wordings, cut, mixed and broken ones, in other texts, and the sample documents."""
+    import random
+
+    rng = random.Random(7)
+    texts = dict(license_scan.whole_texts())
+    templates = [*license_scan.TEMPLATES, *((k, texts[k]) for k in ("mit", "bsd-2-clause", "bsd-3-clause", "zlib", "bsl-1.0"))]
+    made = []
+    for i in range(120):
+        out = ["intro", "words"]
+        for _ in range(rng.randint(1, 3)):
+            w = rng.choice(templates)[1].split()
+            a = rng.choice([0, 0, 0, rng.randrange(len(w))])
+            w = w[a : rng.choice([len(w), len(w), rng.randrange(a, len(w)) + 1])]
+            for _ in range(rng.choice([0, 0, 1, 3])):
+                w.insert(rng.randrange(len(w) + 1), rng.choice(["broken", "the", "License"]))
+            out += [*w, *["other"] * rng.choice([0, 2, 50])]
+        made.append((10**6 + i, " ".join(out)))
+    s = license_scan.Scanner(templates)
+    labels = set()
+    for _, text in [*made, *((d, t) for d, t in docs if t and ("licen" in t.lower() or d < 20))]:
+        got = s.scan(text.encode())
+        want = brute_license(text, templates)
+        assert got[5] == want[0] and math.isclose(got[6], want[1]), text
+        labels |= {got[5]}
+    assert len(labels) > 20
+
+
 def test_license_matches_are_of_each_template():
     """A longer match in one template doesn't hide a whole other one."""
     s = license_scan.Scanner([("long", "zero one two three four five six seven eight"), ("short", "one two three four five six seven eight")])
