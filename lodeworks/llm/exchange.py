@@ -80,7 +80,7 @@ def range_of(route: np.ndarray, ranges: int) -> np.ndarray:
 
 def sums(keys: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, the sums of each, and where each key is among them."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     first = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
     total = np.add.reduceat(numbers[:, order], first, axis=1) if len(keys) else numbers
     where = np.empty(len(keys), np.int64)

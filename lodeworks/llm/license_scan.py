@@ -13,8 +13,9 @@ Only runs of words that templates use are walked, because a match can't leave th
 
 The base labels are phrases, found wherever their words stand consecutively. score is the best coverage of a template whose NEEDS and UNLESS hold, at least PHRASE_SCORE with a base label.
 
-Defined results: a null or empty text has no words and no label; repeated rows are scanned alike, one row each; an empty table gives an
-empty result. One row is one file, held whole by its task; nothing else is held.
+Defined results: a null or empty text has no words and no label; repeated rows are scanned alike, one row each; of chains that cover as much, the one that begins first
+counts, and of those the one that ends last; an empty table gives an empty result; other columns aren't returned, so that their names can't clash; very long texts are
+scanned whole. One row is one file, held whole by its task; nothing else is held.
 """
 
 from __future__ import annotations

@@ -193,7 +193,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which nothing is left but blank lines go, if they lost something."""
-    done = dedup(docs).where((F.col("_n_lost") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+    done = dedup_runs(docs).where((F.col("_n_lost") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
     if "n_chars" in docs.columns:
         done = done.withColumn(f"c{docs.columns.index('n_chars')}", F.length("text").cast("long"))
     return restore(done, docs.columns)

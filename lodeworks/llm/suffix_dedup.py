@@ -13,9 +13,9 @@ suffixes that share the anchor:
    position, and the longer of the common prefixes with these two is its longest previous factor; windows of LENGTH or more are removed.
 3. Removed windows become spans, spans meet their documents by id and text.
 
-Hot anchors: copies of a run combine within a chunk, so a passage that a third of all documents hold is one entry a chunk. An anchor with more than HOT_CLASSES classes,
-in one chunk or in all (a short phrase in ever other surroundings), is keyed by the bytes of the single windows in step 2, which spreads it. Equal bytes of one
-anchor are one row a task there, and one in the memory of the task that compares, so that task holds HOT_CLASSES runs of an anchor at most.
+Hot anchors: copies of a run combine within a chunk, so a passage that a third of all documents hold is one entry a chunk. An anchor with more than HOT_CLASSES classes
+in one chunk, or HOT_TOTAL in all (a short phrase in ever other surroundings), is keyed by the bytes of the single windows in step 2, which spreads it. Equal bytes of one
+anchor are one row a task there, and one in the memory of the task that compares, so that task holds HOT_TOTAL runs of an anchor at most (some 3 MB).
 
 Defined results: a null text is empty; empty texts and texts under LENGTH bytes lose nothing; documents with one id aren't earlier than each other,
 so repeated rows keep the same; null ids come last; an empty table gives an empty result; other columns stay where spans are removed.
@@ -40,7 +40,7 @@ from .minhash_dedup import mix
 
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
-HOT_CLASSES = 64
+HOT_CLASSES, HOT_TOTAL = 64, 20_000
 #: Bytes of runs that one task compares.
 TASK_BYTES = 48 << 20
 LAST = 2**63 - 1
@@ -84,9 +84,9 @@ class Suffixes:
             self.levels.append((step, rank.astype(np.uint32)))
             rank = ranked((rank[:-step] << np.uint64(32)) | rank[step:])
         self.levels.append((64, rank.astype(np.uint32)))
-        depth = ranked((rank[start] << np.uint64(32)) | rank[start + LENGTH - 64])  # bytes 0-63 and 36-99
-        self.order = np.argsort(depth, kind="stable")
-        self.same = np.append(False, np.diff(depth[self.order]) == 0)
+        depth = (rank[start] << np.uint64(32)) | rank[start + LENGTH - 64]  # bytes 0-63 and 36-99
+        self.order = np.argsort(depth)
+        self.same = np.append(False, np.diff(depth[self.order]) == 0)[: len(start)]
         self.start = start
 
     def common(self) -> np.ndarray:
@@ -225,7 +225,7 @@ def answer(columns: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
     sizes = np.diff(np.append(starts, len(k)))
     kinds = np.add.reduceat(new_class.astype(np.int64), starts)
     marker = (a == 0) & (b == 0)
-    hot = marker[starts] | (kinds > HOT_CLASSES)  # a marker sorts first
+    hot = marker[starts] | (kinds > HOT_TOTAL)  # a marker sorts first
     head = np.maximum.accumulate(np.where(new_class, np.arange(len(k)), 0))
     status = np.where(np.repeat(hot, sizes), SPREAD, np.where(np.repeat(kinds > 1, sizes), COMPARE, NOTHING)).astype(np.uint8)
     status[(d > d[head]) & ~marker] = REMOVED
@@ -310,7 +310,7 @@ def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def ranked(code: np.ndarray) -> np.ndarray:
     """Ranks of the values, equal ones alike."""
-    order = np.argsort(code, kind="stable")
+    order = np.argsort(code)
     sorted_ = code[order]
     rank = np.empty(len(code), np.uint64)
     rank[order] = np.cumsum(np.append(False, sorted_[1:] != sorted_[:-1])).astype(np.uint64)

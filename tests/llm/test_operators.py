@@ -500,7 +500,7 @@ def test_smaller_positions():
 
 def test_suffix_anchors_are_hot_over_all_chunks():
     """Classes are counted over all chunks, each of which has one; copies of a class from a later document go, from the same one they stay to be compared."""
-    n = suffix_dedup.HOT_CLASSES
+    n = suffix_dedup.HOT_TOTAL
     for classes, want in ((n, suffix_dedup.COMPARE), (n + 1, suffix_dedup.SPREAD), (1, suffix_dedup.NOTHING)):
         c = np.append(np.arange(1, classes + 1), [1, 1]).astype(np.uint64)
         ids = np.append(np.arange(classes), [0, 500])

@@ -4,7 +4,7 @@ import corpus_pipeline
 from lodeworks.llm import decontamination, line_dedup, minhash_dedup, quality_rules
 
 from . import helpers as H
-from .test_operators import brute_lines
+from .test_operators import brute_runs
 
 
 def test_stages(spark, sf, duck):
@@ -22,7 +22,7 @@ def test_stages(spark, sf, duck):
     assert {r.doc_id for r in results[0][1].collect()} == kept
     # lines: the brute-force texts, without documents that lost all
     pairs = [(r.doc_id, r.text) for r in results[1][0].collect()]
-    want = {d: t for d, t in brute_lines(pairs) if t == dict(pairs)[d] or t.split()}
+    want = {d: t for d, t in brute_runs(pairs).items() if t == dict(pairs)[d] or t.split()}
     got = {r.doc_id: r for r in results[1][1].collect()}
     assert {d: r.text for d, r in got.items()} == want and all(r.n_chars == len(r.text) for r in got.values())
     # near copies: the least id of each group
