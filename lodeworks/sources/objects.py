@@ -12,7 +12,6 @@ from itertools import chain, groupby
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.scalar import below, reserved
 from ..functions.streams import batched, tuples
@@ -91,10 +90,10 @@ def snapshot_scan(journal: DataFrame, prefix: str, barrier: int) -> DataFrame:
 
 
 def retained_scan(versions: DataFrame) -> DataFrame:
-    """Every version with its path's head beside it, sorted by path and version within partitions by path."""
-    w = Window.partitionBy("path")
-    every = versions.withColumns({"head_version": F.max("version").over(w), "head_deleted": F.max_by("deleted", "version").over(w)})
-    return every.sortWithinPartitions("path", "version")
+    """Every version with its path's head beside it, sorted by path and version within partitions. The heads are an aggregation with partial results, and a join, which
+    AQE splits where a path has very many versions."""
+    h = heads(versions.select("path", "version", "deleted")).select("path", F.col("version").alias("head_version"), F.col("deleted").alias("head_deleted"))
+    return versions.join(h, "path").sortWithinPartitions("path", "version")
 
 
 # --- mutations -----------------------------------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeworks.functions import scalar as X
-from lodeworks.operators import authz, compute, grouplog, programs, projection, search
+from lodeworks.operators import authz, compute, grouplog, programs, projection, search, textindex
 from lodeworks.operators import predicate as Q
 from lodeworks.plans import lineage
 from lodeworks.plans.catalog import Document
@@ -334,3 +334,25 @@ def test_bulk_write_streams_the_paths_of_a_task(spark):
     v = spark.range(60).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("path"), F.lit(1).cast("long").alias("version"), F.lit(False).alias("deleted"), F.lit(1).cast("long").alias("length"), F.lit("h").alias("hash"))
     out = objects.bulk_write(ops, v).collect()
     assert len(out) == 400 and {r.outcome for r in out} == {"ok"}
+
+
+def test_block_max_reads_less_and_finds_the_same(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"p{i}", [rng.choice(["a", "a", "b", "c", "d", "e", "f"]) for _ in range(rng.randint(2, 60))] + (["rare"] * (i % 50 == 0)), ["a"] if i % 3 == 0 else None) for i in range(1500)]
+    d = spark.createDataFrame(rows, "p string, text array<string>, title array<string>")
+    zero = F.lit(0).cast("long")
+    r = d.select(F.col("p").alias("source_path"), zero.alias("source_version"), zero.alias("source_record"), F.col("p").alias("result_path"), zero.alias("result_version"), "text", "title")
+    textindex.write(r, ["text", "title"], str(tmp_path / "ix"))
+    ix = textindex.TextIndex(spark, str(tmp_path / "ix"))
+    for fields, text in ((["text"], "a b"), (["text", "title"], "a rare"), (["text"], "a a f"), (["text"], "nowhere"), (["title"], "a")):
+        want = [(x.result_path, round(x.score, 4)) for x in search.search_text(r, fields, text, 10).collect()]
+        for prune in (True, False):
+            assert [(x.result_path, round(x.score, 4)) for x in ix.search(fields, text, 10, prune).collect()] == want
+    blocks = ix._blocks(["text"], ["b"])
+    w = {("text", "b"): 1.0}
+    assert ix.needed(blocks, w, {("text", "b"): max(t for _, t in blocks["text", "b"].values())}, ["b"], 5)["text", "b"] > min(blocks["text", "b"])
+    assert {x.result_path for x in ix.phrase("text", "b a c").collect()} == {p for p, t, _ in rows if " b a c " in f" {' '.join(t)} "}
+    with pytest.raises(Invalid):
+        ix.search(["other"], "a")
