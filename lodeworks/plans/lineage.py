@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_MADE: list = []
 
 
 def shared(spark: SparkSession) -> str:
@@ -26,15 +28,24 @@ def shared(spark: SparkSession) -> str:
     return _OWN["base"]
 
 
+def folder(spark: SparkSession, name: str = "table") -> str:
+    """A new path below shared(); nothing is there yet. What is written there stays as long as this process, for later reads of lazy results, or until clear()."""
+    own = f"{shared(spark)}/lodeworks/{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    _MADE.append((path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path))
+    return f"{own}/{name}"
+
+
 @atexit.register
-def _clean() -> None:
+def clear() -> None:
+    """Deletes all that folder() gave out in this process. A long-lived session calls it between jobs."""
+    for fs, path in _MADE:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            fs.delete(path, True)
+    _MADE.clear()
     for path in _OWN.values():
         shutil.rmtree(path, ignore_errors=True)
-
-
-def folder(spark: SparkSession, name: str = "table") -> str:
-    """A new path below shared(); nothing is there yet."""
-    return f"{shared(spark)}/lodeworks/{uuid.uuid4().hex}/{name}"
+    _OWN.clear()
 
 
 def cut(df: DataFrame) -> DataFrame:
