@@ -1,12 +1,13 @@
 """License scans: a generalised suffix automaton over the tokens of licence templates, streamed over files.
 
-Templates are short wordings and notices (TEMPLATES) and whole licence texts (licenses/*.txt, one file a label).
+Templates are short wordings (each of LEADS with each of NAMES), notices and operative parts (TEMPLATES) and whole licence texts (licenses/*.txt, one file a label).
 
 The automaton is built once a worker for all templates (some 40,000 tokens, configuration) and walked with a file's words; at each word it gives the length
 of the longest suffix of what was read that occurs in some template: the matching statistics. Matches of at least MIN_MATCH words
 (or a whole shorter template) that can't be extended are seeds; seeds of one template are chained in increasing order of place in file and
 template, and the words they cover in the template over its length is its coverage. A template adds its label if its coverage is that of its
-length in COVERAGES, if its NEEDS stand word by word in what it matched, and if none of its UNLESS stands in the file. A notice that lies within a whole
+length in COVERAGES and, from LONG words on (a shorter one must be complete, its name included), if its NEEDS stand word by word in what it matched, and if none of its
+UNLESS stands in the file. A notice that lies within a whole
 text that is found (the texts end with their own notices) adds none.
 
 Only runs of words that templates use are walked, because a match can't leave them; the rest of a file costs one lookup a word.
@@ -36,13 +37,40 @@ WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 MIN_MATCH, PHRASE_SCORE = 6, 0.25
 #: (words of a template from which, coverage): short wordings must be complete, whole texts may lack their appendix.
 COVERAGES = [(100, 0.75), (20, 0.9), (0, 1.0)]
+LONG = 20
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: (label, words): short wordings by which the licences are named, and the operative parts of permissive ones.
+#: Short wordings are these words and a name.
+LEADS = [
+    "licensed under", "licensed under the", "licensed under the terms of the", "released under", "released under the", "released under the terms of the", "distributed under", "distributed under the",
+    "distributed under the terms of the", "available under", "available under the", "available under the terms of the", "published under the", "provided under the", "SPDX License Identifier",
+]
+#: label: names, and what the licence is called in package metadata. A name goes with every lead.
+NAMES = {
+    "mit": ["MIT License", "MIT Licence"],
+    "apache-2.0": ["Apache License Version 2 0", "Apache License 2 0", "Apache 2 0 License", "Apache 2 0"],
+    "gpl-2.0": ["GNU General Public License version 2", "GNU General Public License v2 0", "GNU GPL v2", "GPL v2", "GPL 2 0 only"],
+    "gpl-3.0": ["GNU General Public License version 3", "GNU General Public License v3 0", "GNU GPL v3", "GPL v3", "GPL 3 0 only"],
+    "lgpl-2.1": ["GNU Lesser General Public License version 2 1", "GNU Lesser General Public License v2 1", "LGPL v2 1", "LGPL 2 1 only"],
+    "lgpl-3.0": ["GNU Lesser General Public License version 3", "GNU Lesser General Public License v3 0", "LGPL v3", "LGPL 3 0 only"],
+    "agpl-3.0": ["GNU Affero General Public License version 3", "GNU Affero General Public License v3 0", "AGPL v3", "AGPL 3 0 only"],
+    "mpl-2.0": ["Mozilla Public License version 2 0", "Mozilla Public License 2 0", "MPL 2 0"],
+    "bsd-2-clause": ["BSD 2 Clause License", "BSD 2 Clause", "Simplified BSD License"],
+    "bsd-3-clause": ["BSD 3 Clause License", "BSD 3 Clause", "New BSD License"],
+    "epl-1.0": ["Eclipse Public License version 1 0", "Eclipse Public License 1 0", "EPL 1 0"],
+    "epl-2.0": ["Eclipse Public License version 2 0", "Eclipse Public License 2 0", "EPL 2 0"],
+    "isc": ["ISC License"],
+    "zlib": ["zlib License"],
+    "bsl-1.0": ["Boost Software License Version 1 0", "Boost Software License 1 0", "BSL 1 0"],
+    "cc0-1.0": ["CC0 1 0", "Creative Commons Zero 1 0"],
+    "cc-by-4.0": ["CC BY 4 0", "Creative Commons Attribution 4 0"],
+    "cc-by-sa-4.0": ["CC BY SA 4 0", "Creative Commons Attribution ShareAlike 4 0"],
+    "cc-by-nd-4.0": ["CC BY ND 4 0", "Creative Commons Attribution NoDerivatives 4 0"],
+    "cc-by-nc-4.0": ["CC BY NC 4 0", "Creative Commons Attribution NonCommercial 4 0"],
+    "cc-by-nc-sa-4.0": ["CC BY NC SA 4 0", "Creative Commons Attribution NonCommercial ShareAlike 4 0"],
+    "cc-by-nc-nd-4.0": ["CC BY NC ND 4 0", "Creative Commons Attribution NonCommercial NoDerivatives 4 0"],
+}
+#: (label, words): notices, and the operative parts of permissive licences.
 TEMPLATES = [
-    ("mit", "Released under the MIT License"),
-    ("apache", "Licensed under the Apache License Version 2 0"),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License version 3"),
-    ("cc-by-nc-4.0", "Licensed under CC BY NC 4 0"),
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4 0 International License"),
     ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution ShareAlike 4 0 International License"),
     ("gpl-2.0-or-later", "you can redistribute it and or modify it under the terms of the GNU General Public License as published by the Free Software Foundation either version 2 of the License or at your option any later version"),
@@ -85,6 +113,10 @@ UNLESS: dict[str, list[str]] = {
 }
 
 
+def short_wordings() -> list[tuple[str, str]]:
+    return [(label, f"{lead} {name}") for label, names in NAMES.items() for name in names for lead in LEADS]
+
+
 def whole_texts() -> list[tuple[str, str]]:
     return [(p.stem, p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))]
 
@@ -168,7 +200,7 @@ class Automaton:
 
 class Scanner:
     def __init__(self, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] = PHRASES) -> None:
-        templates = [*TEMPLATES, *whole_texts()] if templates is None else templates
+        templates = [*short_wordings(), *TEMPLATES, *whole_texts()] if templates is None else templates
         self.labels = [label for label, _ in templates]
         sequences = [words_of(utf8(text)) for _, text in templates]
         self.ids = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for s in sequences for w in s))}
@@ -242,7 +274,7 @@ class Scanner:
         score, labels, found = 0.0, set(base), []
         for which, seeds in spans.items():
             share, first, end = self.coverage(seeds, self.lengths[which])
-            if not self.fits(self.labels[which], words, first, end):
+            if self.lengths[which] >= LONG and not self.fits(self.labels[which], words, first, end):
                 continue
             score = max(score, share)
             if share >= self.shares[which]:
