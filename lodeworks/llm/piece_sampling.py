@@ -42,6 +42,7 @@ PARTS = re.compile(f"\n|{MARK}[^{MARK}\n]*|[^{MARK}\n]+")
 U64 = np.uint64
 GOLD, MUL = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9)
 TABLE_BITS = 20
+LEAST = float(np.finfo(np.float32).tiny)
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -138,7 +139,8 @@ class Pieces:
 
 class Lattice:
     """Lattices of distinct words, one node per character. For a node, step[node, l - 1] is the probability that a random path goes on with l characters, given that it
-    gets there, and piece[node, l - 1] the piece's id, or -1 for a character in bytes.
+    gets there, and piece[node, l - 1] the piece's id, or -1 for a character in bytes. rest[node] is the probability of all steps but the likeliest, which may be far
+    under the rounding of that one's; no step that there is rounds to 0.
 
     Nodes stand by the number of characters left, the longest words first, so that the nodes of one backward step are a slice, and so are those
     with l characters left or more."""
@@ -179,14 +181,17 @@ class Lattice:
         # backward, all words at once: ratio[w, j] is the mass of paths from j characters on over that from here
         ratio = np.zeros((len(words), top + 1))
         ratio[:, 0] = 1
-        self.reach = np.ones((n, top), np.float32)
+        self.reach, self.rest = np.ones((n, top), np.float32), np.zeros(n, np.float32)
         for d in range(1, longest + 1):
             a, b, m, wide = int(self.start[d]), int(self.start[d + 1]), int(live[d]), min(d, top)
             share = weight[a:b, :wide] * ratio[:m, :wide]
             total = share.sum(axis=1, keepdims=True)
             share /= total
+            np.maximum(share, LEAST, out=share, where=share > 0)
             weight[a:b, :wide] = share
             np.cumsum(share, axis=1, out=self.reach[a:b, :wide])
+            share[np.arange(m), share.argmax(axis=1)] = 0
+            self.rest[a:b] = share.sum(axis=1)
             ratio[:m, 1 : wide + 1] = ratio[:m, :wide] / total
             ratio[:m, 0] = 1
         self.step = weight
@@ -208,7 +213,7 @@ class Lattice:
                 rooms[name][:n] = mine
             rooms[name][n : n + m] = more
             setattr(both, name, rooms[name][: n + m])
-        for name in ("code", "left", "word", "size", "length"):
+        for name in ("code", "left", "word", "size", "length", "rest"):
             setattr(both, name, np.concatenate([getattr(self, name), getattr(other, name)]))
         both.start = np.concatenate([self.start, other.start + n])
         both.row = np.concatenate([self.row, other.row + len(self.start)])
@@ -364,8 +369,10 @@ class Search:
         """Values of the sets of paths that leave p at each step, from step number `since` of each text on."""
         number = np.arange(len(p.node)) - p.first[p.text]
         value = np.full(len(p.node), -np.inf)
-        m = np.flatnonzero((p.before >= self.floor) & (number >= since[p.text]) & (p.chance < 1))
-        mass = p.before[m] + np.log1p(-p.chance[m])
+        others = self.lattice.rest[p.node].astype(np.float64)
+        m = np.flatnonzero((p.before >= self.floor) & (number >= since[p.text]) & (others > 0))
+        chance = p.chance[m]
+        mass = p.before[m] + np.log(np.where(chance > 0.5, others[m], 1 - chance))
         value[m] = self.gumbel_under(mass, top[p.text[m]], uniform(self.seed, p.text[m], path, p.place[m], 1))
         return value
 
@@ -424,10 +431,11 @@ class Search:
             odd = chances[np.arange(len(todo)), size] <= 0
             size[odd] = chances[odd].argmax(axis=1)
             chance = chances[np.arange(len(todo)), size]
+            chances[np.arange(len(todo)), size] = 0
             size = size + 1
-            left_mass = mass - chance
+            left_mass = chances.sum(axis=1)
             for t, m, s in zip(todo.tolist(), left_mass.tolist(), size.tolist(), strict=True):
-                if m > 1e-12:
+                if m > 0:
                     v = self.gumbel_under(np.array([before[t] + np.log(m)]), best[t : t + 1], uniform(self.seed[t : t + 1], slice(None), k, place[t : t + 1], 2))[0]
                     rest[t].append((float(v), int(source[t]), int(where[t]), int(taken[t]) | 1 << (s - 1)))
             paths.append(self.follow(k, paths, source, upto, todo, node, place, size, chance))
@@ -548,7 +556,7 @@ def sample_documents(docs: DataFrame, samples: int = SAMPLES, with_ids: bool = T
 
 
 def op9_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_documents(read(spark, sf_dir, "documents"), with_ids=False)
+    return sample_documents(read(spark, sf_dir, "documents"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -615,6 +615,25 @@ def test_pieces_are_sampled_without_replacement(words, pieces):
     assert abs(np.mean([sum(len(x[0]) * math.exp(x[1]) / x[3] for x in r) for r in got]) - mean) < 0.01  # inclusion scores make sums unbiased
 
 
+def test_pieces_of_tiny_probability_are_samples_too(words, pieces):
+    """A text with as many segmentations as are asked for, or fewer, has all of them, however improbable."""
+    texts = ["t", "é", "an", "x y"]
+    for k in (2, 4, 9):
+        for t, r in zip(texts, piece_sampling.sample(texts, list(range(len(texts))), words, k), strict=True):
+            every = segmentations(pieces, t)
+            ids = [tuple(x[0].tolist()) for x in r]
+            assert len(set(ids)) == len(ids) == min(k, len(every)) and set(ids) <= set(every)
+            assert all(math.isclose(x[1], math.log(every[i]), abs_tol=1e-5) for i, x in zip(ids, r, strict=True))
+
+
+def test_pieces_query_has_the_segmentations(spark, sf, pieces):
+    got = {r.doc_id: r for r in QUERIES["op9_piece_sampling"](spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        for x in got[r.doc_id].samples or ():
+            assert len(x.ids) == x.n_tokens and pieces.decode(np.array(x.ids, np.int32)) == r.text.encode()
+            assert hashlib.sha256(np.array(x.ids, "<i4").tobytes()).hexdigest() == x.ids_sha256
+
+
 def test_pieces_round_trip_and_seed(words, pieces):
     texts = ["", "a", " a  b ", "x\n\ty▁z", "퟿日本語 😀 ñ\x00", H.BASE * 30, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa" * 40]
     got = piece_sampling.sample(texts, [3] * len(texts), words)
