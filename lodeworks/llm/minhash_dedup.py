@@ -5,11 +5,14 @@ BANDS ** 2 tables of 2 * ROWS minhashes each cost 2 * BANDS * ROWS minhashes a d
 candidate with probability (1 - (1 - s ** ROWS) ** BANDS) ** 2: for s = 0.85, ROWS = 3 and BANDS = 10 all but 0.00015.
 
 1. Documents with equal shingle sets form a class; only classes take part from here on.
-2. Table keys that two classes share are buckets. No pairs of a bucket's members are made. First each class is compared with the least of its candidates'
-   bucket heads, then with its other buckets' heads unless they are joined already. What is left are buckets whose members are still in
-   different components. Their classes are joined by rare shingles: two sets of at least `percent` similarity share one of the first n - ceil(percent * n) + 1
-   of either in any common order, and the order is by how many of these classes have the shingle. So classes that only share a template, which all of
-   them have, meet nowhere; and none is lost.
+2. Table keys that two classes share are buckets. No pairs of a bucket's members are made. First each class is compared with its buckets'
+   heads. What is left are buckets whose members are still in different components. What such buckets hold together, through their heads, is a family; its centre is the shingles that more than half of its classes have, and
+   a class is described by its differences from the centre (shingles it lacks or has besides). Sets of `percent` similarity differ in
+   (100 - percent) / (100 + percent) * (their sizes) shingles at most, and their differences from any one set differ in as many. So either
+   they share a difference, or their differences together are no more than that. In the latter case both link with the class nearest to the centre (it
+   stands for either of them in that sum), so each near class is compared with that one only. In the former the first shared difference in a common
+   order (by how many of the family have it) has few others before it in both. So copies of a template, each with its own changes, make no pairs; and
+   no link within a family is lost.
 3. A comparison is exact: sizes of intersection and union of the full shingle sets (64-bit hashes of shingles), which are written once for all classes in buckets.
 4. Components of the confirmed links come from written edge tables; nothing is collected.
 
@@ -202,7 +205,7 @@ class Linker:
         if many:
             known = new if self.labels is None else new.unionByName(self.labels.select(F.col("node").alias("u"), F.col("component").alias("v")))
             self.labels = materialize(components(known), f"labels_{name}")
-        self.tested = done.select("u", "v") if self.tested is None else materialize(self.tested.unionByName(done.select("u", "v")), f"all_{name}")
+        self.tested = done.select("u", "v") if self.tested is None else self.tested.unionByName(done.select("u", "v"))
         return many
 
     def open(self, pairs: DataFrame) -> DataFrame:
@@ -212,30 +215,76 @@ class Linker:
         return self.components_of(self.components_of(pairs, "u", "_cu"), "v", "_cv").where("_cu <> _cv").select("u", "v")
 
 
-def mixed_pairs(linker: Linker, rows: DataFrame) -> DataFrame | None:
-    """Candidates among the classes of buckets that have several components: pairs of different components that share a rare shingle and whose sizes allow a link."""
-    c = materialize(linker.components_of(rows.select("key", "node"), "node", "c"), "bucket_components")
+def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(family, node, c, n, d, shingle): what a set and its family's centre don't share, d shingles in all; and a row of every node with a null shingle."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            sets = (np.frombuffer(x, np.int64) for x in part.column("shingles").to_pylist())
+            centres = (np.empty(0, np.int64) if x.values is None else x.values.to_numpy(zero_copy_only=False) for x in part.column("centre"))
+            odd = [np.setxor1d(x, y, assume_unique=True) for x, y in zip(sets, centres, strict=True)]
+            sizes = np.array([len(x) for x in odd])
+            row = np.repeat(np.arange(part.num_rows), sizes + 1)
+            last = np.cumsum(sizes + 1) - 1
+            shingle, none = np.zeros(len(row), np.int64), np.zeros(len(row), bool)
+            none[last] = True
+            shingle[~none] = np.concatenate(odd)
+            columns = [part.column(c).take(pa.array(row)) for c in ("family", "node", "c", "n")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes[row], pa.int64()), pa.array(shingle, mask=none)], names=["family", "node", "c", "n", "d", "shingle"])
+
+
+def families(linker: Linker, rows: DataFrame) -> DataFrame | None:
+    """(family, node, c, n, d, shingle), see differ(), of the classes of buckets that have several components. A family is what such buckets hold together, its centre the shingles
+    that more than half of its classes have."""
+    c = materialize(linker.components_of(rows.select("key", "head", "node"), "node", "c"), "bucket_components")
     mixed = c.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
     mixed = materialize(mixed, "mixed")
     total = mixed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if not total:
         return None
-    nodes = materialize(hot_join(c, mixed, ["key"], "n", total).select("node", "c").distinct(), "mixed_nodes")
-    has = materialize(linker.sets.join(nodes.select("node"), "node", "left_semi").mapInArrow(exploder, "node long, shingle long"), "shingles")
-    shared = materialize(has.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "shared_shingles")
-    # a shingle of one class only comes first in the order and finds no other, so it only takes up room
-    known = hot_join(has, shared, ["shingle"], "df", has.count()).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
-    known = known.join(linker.classes.select("node", F.col("n_shingles").alias("n")), "node").join(nodes, "node")
-    room = F.col("n") - F.expr(f"({linker.p.percent} * n + 99) div 100") + 1 - (F.col("n") - F.size("s"))
-    first = known.where(room > 0).select("node", "c", "n", F.explode(F.slice("s", F.lit(1), room.cast("int"))).alias("x")).select("node", "c", "n", F.col("x.shingle").alias("key"))
-    first = materialize(first, "rare")
-    many = materialize(first.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key", "m"), "rare_keys")
+    held = materialize(hot_join(c, mixed, ["key"], "n", total).select("node", "head", "c").distinct(), "mixed_rows")
+    family = components(held.where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")))
+    nodes = held.select("node", "c").distinct().join(family.withColumnRenamed("component", "family"), "node")
+    nodes = materialize(nodes.join(linker.classes.select("node", F.col("n_shingles").alias("n")), "node"), "mixed_nodes")
+    members, many = nodes.groupBy("family").agg(F.count("*").alias("m")), nodes.count()
+    has = nodes.select("family", "node").join(linker.sets, "node").select(F.col("family").alias("node"), "shingles").mapInArrow(exploder, "node long, shingle long")
+    counts = materialize(has.groupBy(F.col("node").alias("family"), "shingle").agg(F.count("*").alias("df")).where("df > 1"), "shingle_counts")
+    centre = hot_join(counts, members, ["family"], "m", many).where("2 * df > m").groupBy("family").agg(F.collect_list("shingle").alias("centre"))
+    centre = materialize(members.join(centre, "family", "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<long>"))), "centres")
+    told = hot_join(nodes, centre, ["family"], "m", many).join(linker.sets, "node").select("family", "node", "c", "n", "shingles", "centre")
+    return materialize(told.mapInArrow(differ, "family long, node long, c long, n long, d long, shingle long"), "differences")
+
+
+def near_pairs(odd: DataFrame, p: Params) -> DataFrame:
+    """Classes so near the centre that they link with the class nearest to it, and that class."""
+    far = odd.where("shingle is null").withColumn("far", F.expr(f"{100 + p.percent} * d - {100 - p.percent} * n"))
+    nearest = far.groupBy("family").agg(F.min(F.struct("far", "node")).alias("m"), F.count("*").alias("rows"))
+    near = hot_join(far, nearest, ["family"], "rows", far.count()).where("far + m.far <= 0 and node <> m.node")
+    return near.select(F.greatest("node", "m.node").alias("u"), F.least("node", "m.node").alias("v"))
+
+
+def mixed_pairs(odd: DataFrame, p: Params) -> DataFrame:
+    """Candidates among the classes of a family: pairs of different components, of which one is too far from the centre for near_pairs(), that share a rare difference from it."""
+    known = odd.where("shingle is not null")
+    shared = materialize(known.groupBy("family", "shingle").agg(F.count("*").alias("df")).where("df > 1"), "shared_shingles")
+    # a difference of one class only comes first in the order and finds no other, so it only takes up room
+    known = hot_join(known, shared, ["family", "shingle"], "df", known.count())
+    known = known.groupBy("family", "node", "c", "n", "d").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s")).withColumn("lone", F.col("d") - F.size("s"))
+    # the other set has 100 * n div percent shingles at most
+    room = F.expr(f"{100 - p.percent} * (n + 100 * n div {p.percent}) div {100 + p.percent} + 1 - lone")
+    first = known.where(room > 0).select("family", "node", "c", "n", "d", "lone", F.posexplode(F.slice("s", F.lit(1), room.cast("int"))).alias("at", "x"))
+    first = materialize(first.select("node", "c", "n", "d", (F.col("lone") + F.col("at")).alias("at"), "family", F.col("x.shingle").alias("shingle")), "rare")
+    many = materialize(first.groupBy("family", "shingle").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("family", "shingle", "m"), "rare_keys")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    r = hot_join(first, many, ["key"], "m", first.count())
+    r = hot_join(first, many, ["family", "shingle"], "m", first.count())
     r = materialize(r.withColumns({"own": F.pmod(F.xxhash64("node"), blocks).cast("int"), "other": F.sequence(F.lit(0), blocks - 1)}).drop("m"), "rare_rows")
-    side = lambda x, y: r.select("key", F.col("node").alias(x), F.col("c").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("own").alias(f"b{x}"), F.explode("other").alias(f"b{y}"))
-    fits = F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * linker.p.percent
-    return side("u", "v").join(side("v", "u"), ["key", "bu", "bv"]).where((F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & fits).select("u", "v").distinct()
+    side = lambda x, y: r.select("family", "shingle", *(F.col(k).alias(f"{k}{x}") for k in ("node", "c", "n", "d", "at")), F.col("own").alias(f"b{x}"), F.explode("other").alias(f"b{y}"))
+    met = side("u", "v").join(side("v", "u"), ["family", "shingle", "bu", "bv"]).where("nodeu > nodev and cu <> cv")
+    met = met.where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * p.percent)
+    # what comes before the first shared difference tells the sets apart, and so does what one has more of after it
+    most = f"{100 - p.percent} * (nu + nv)"
+    met = met.where(f"{100 + p.percent} * (atu + atv + abs((du - atu) - (dv - atv))) <= {most} and {100 + p.percent} * (du + dv) > {most}")
+    return met.select(F.col("nodeu").alias("u"), F.col("nodev").alias("v")).distinct()
 
 
 def groups(docs: DataFrame, p: Params) -> DataFrame:
@@ -248,11 +297,10 @@ def groups(docs: DataFrame, p: Params) -> DataFrame:
     linker = Linker(docs, classes, rows, p)
     heads = rows.where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
     heads = materialize(heads.distinct(), "heads")
-    linker.test(heads.groupBy("u").agg(F.min("v").alias("v")), "first")
-    linker.test(linker.open(heads), "heads")
-    left = mixed_pairs(linker, rows)
-    if left is not None:
-        linker.test(linker.open(left), "mixed")
+    linker.test(heads, "heads")
+    odd = families(linker, rows)
+    if odd is not None:
+        linker.test(linker.open(near_pairs(odd, p).unionByName(mixed_pairs(odd, p)).distinct()), "mixed")
     labelled = linker.components_of(classes.drop("keys"), "node", "c")
     named = labelled.groupBy("c").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
     named = hot_join(labelled.select("node", "c", "n_docs"), named, ["c"], "n", classes.count()).select("node", "component_id", "n_docs")

@@ -345,6 +345,32 @@ def test_minhash_templates_make_no_pairs(spark, monkeypatch):
     assert len(set(got.values())) == 60 and dict(seen)["mixed"] <= 9
 
 
+def test_minhash_changed_copies_make_no_pairs(spark, monkeypatch):
+    """Copies of one text, each with its own changed words, all share rare shingles of that text. Pairs are few, and all links are found: those of copies near the text, and those
+    of copies far from it that have changes in common."""
+    rng = np.random.default_rng(4)
+
+    def changed(words, n, name):
+        out = list(words)
+        for at in rng.choice(len(words), n, replace=False):
+            out[at] = f"{name}x{at}"
+        return out
+
+    text = [f"t{i}" for i in range(200)]
+    copies = [changed(text, 1 + i % 10, f"a{i}") for i in range(80)]
+    for i in range(6):
+        far = changed(text, 12, f"b{i}")
+        copies += [changed(far, 1 + j, f"b{i}c{j}") for j in range(3)]
+    pairs = [(int(d), " ".join(c)) for d, c in zip(rng.permutation(len(copies)), copies, strict=True)]
+    seen = []
+    test = minhash_dedup.Linker.test
+    monkeypatch.setattr(minhash_dedup.Linker, "test", lambda self, pairs_, name: (seen.append((name, pairs_.count())), test(self, pairs_, name))[1])
+    got = {r.doc_id: r.component_id for r in minhash_dedup.groups(frame(spark, pairs), minhash_dedup.Params(3, 85, 1, 10)).collect()}
+    want = {d: c for (d, _), (_, c) in zip(pairs, H.groups(pairs, 3, 85), strict=True)}
+    assert got == want and 10 < len(set(want.values())) < 90
+    assert sum(n for name, n in seen if name not in ("first", "heads")) <= 2 * len(pairs), seen
+
+
 def test_minhash_awkward(spark):
     d = H.awkward(spark)
     rows_ = [(r.doc_id, r.text) for r in d.collect()]
