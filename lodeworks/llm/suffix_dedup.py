@@ -14,8 +14,10 @@ suffixes that share the anchor:
 3. Removed windows become spans, spans meet their documents by id and text.
 
 Hot anchors: copies of a run combine within a chunk, so a passage that a third of all documents hold is one entry a chunk. An anchor with more than HOT_CLASSES classes
-in one chunk, or HOT_TOTAL in all (a short phrase in ever other surroundings), is keyed by the bytes of the single windows in step 2, which spreads it. Equal bytes of one
-anchor are one row a task there, and one in the memory of the task that compares, so that task holds HOT_TOTAL runs of an anchor at most (some 3 MB).
+in one chunk, or HOT_TOTAL in all (a short phrase in ever other surroundings), is spread in step 2: its runs are cut where the anchor's offset in the window passes a
+multiple of OFFSETS, and each part is keyed by the bytes that all windows of such offsets have in common (LENGTH - OFFSETS + 1 around the anchor). Only keys that still have more than
+HOT_TOTAL rows are keyed by the bytes of their single windows. Equal bytes of one key are one row a task there, and one in the memory of the task that compares, so that task
+holds HOT_TOTAL runs of a key at most (some 3 MB).
 
 Defined results: a null text is empty; empty texts and texts under LENGTH bytes lose nothing; documents with one id aren't earlier than each other,
 so repeated rows keep the same; null ids come last; an empty table gives an empty result; other columns stay where spans are removed.
@@ -41,6 +43,8 @@ from .minhash_dedup import mix
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
 HOT_CLASSES, HOT_TOTAL = 64, 20_000
+#: Windows of so many neighbouring offsets of a hot anchor stay together; a third of all.
+OFFSETS = 23
 #: Bytes of runs that one task compares.
 TASK_BYTES = 48 << 20
 LAST = 2**63 - 1
@@ -261,6 +265,23 @@ def spans_of(first: np.ndarray, last: np.ndarray) -> list[int]:
     return np.stack([first[np.append(0, cut + 1)], ends[np.append(cut, len(ends) - 1)]], axis=1).reshape(-1).tolist()
 
 
+def parts_of(data: bytes, anchor: int, first: int, last: int) -> Iterator[tuple[int, int, int]]:
+    """(key, first, last) of the parts of a run of a hot anchor. Equal windows have the anchor at equal offsets, so they are in parts of one key."""
+    for low in range((anchor - last) // OFFSETS * OFFSETS, anchor - first + 1, OFFSETS):
+        high = low + OFFSETS - 1
+        common = data[anchor - low : anchor - high + LENGTH]
+        yield xxhash.xxh3_64_intdigest(common, low) - 2**63, max(first, anchor - high), min(last, anchor - low)
+
+
+def single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of hot keys window by window, keyed by its bytes."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 4096):
+            rows = rows_of(iter([batch.slice(start, 4096)]), *KEY, "at", "bytes")
+            each = [(xxhash.xxh3_64_intdigest(x[j : j + LENGTH]) - 2**63, i, t, at + j, x[j : j + LENGTH]) for i, t, at, x in rows for j in range(len(x) - LENGTH + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*each, strict=True), _FOUND, strict=False)], schema=pa.schema(list(_FOUND)[:5]))
+
+
 def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The spans of runs that are removed whole, and the bytes of those to be compared. Of equal bytes in one task the earliest go on; the others are
     removed at once."""
@@ -298,9 +319,8 @@ def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if s == COMPARE:
                 size += keep(k, o, data[a : b + LENGTH], (doc, t, a))
             else:
-                for w in range(a, b + 1):
-                    body = data[w : w + LENGTH]
-                    size += keep(xxhash.xxh3_64_intdigest(body) - 2**63, 0, body, (doc, t, w))
+                for part, v, w in parts_of(data, a + o, a, b):
+                    size += keep(part, a + o - v, data[v : w + LENGTH], (doc, t, v))
         if size > 12_000_000 or len(spans) > 50_000:
             yield flush()
             size = 0
@@ -411,6 +431,10 @@ def _removed_spans(docs: DataFrame) -> DataFrame:
     found = keyed.join(status.dropDuplicates(KEY), KEY).mapInArrow(gather, "key long, _id long, _t long, at int, bytes binary, spans array<int>")
     found = materialize(found, "compared")
     rows = found.where("bytes is not null").select("key", *KEY, "at", "bytes")
+    hot = materialize(rows.groupBy("key").count().where(F.col("count") > HOT_TOTAL).select("key"), "hot_keys")
+    if hot.take(1):  # one key for HOT_TOTAL rows at most
+        single = rows.join(F.broadcast(hot), "key", "left_semi").mapInArrow(single_windows, "key long, _id long, _t long, at int, bytes binary")
+        rows = materialize(rows.join(F.broadcast(hot), "key", "left_anti").unionByName(single), "spread")
     weight = rows.agg(F.coalesce(F.sum(F.length("bytes") + 50), F.lit(0))).first()[0]
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(weight // TASK_BYTES) + 1)
     late = rows.repartition(parts, "key").sortWithinPartitions("key", *KEY, "at").mapInArrow(compare_groups, _SPANS)

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -479,6 +480,26 @@ def test_suffix_overlaps_periods_and_hot_phrases(spark, monkeypatch):
     assert suffix_dedup.HOT_CLASSES < 90
 
 
+def test_suffix_hot_anchors_make_few_rows(spark, monkeypatch):
+    """Runs of a hot anchor go on in a few parts, not window by window; of keys that are hot even so, single windows are compared."""
+    rng = np.random.default_rng(5)
+    noise = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
+    phrase, tails = noise(40), [noise(70) for _ in range(5)]
+    data = (noise(100) + phrase + noise(100)).encode()
+    runs = suffix_dedup.runs(data)
+    status = suffix_dedup.squeeze(np.full(len(runs[0]), suffix_dedup.SPREAD, np.uint8))
+    batch = pa.RecordBatch.from_pylist([{"_id": 1, "_t": 2, "text": data.decode(), "status": status}])
+    rows = [r for b in suffix_dedup.gather(iter([batch])) for r in b.to_pylist()]
+    assert len(rows) <= 4 * len(runs[0]) < len(data) // 4
+    assert sorted(w for r in rows for w in range(r["at"], r["at"] + len(r["bytes"]) - suffix_dedup.LENGTH + 1)) == list(range(len(data) - suffix_dedup.LENGTH + 1))
+    # every other phrase has one of a few surroundings on its right, of a length that leaves some windows equal
+    pairs = [(i, noise(90) + phrase + (tails[i % 5][: 55 + i % 15] if i % 2 else "") + noise(90)) for i in range(160)]
+    monkeypatch.setattr(suffix_dedup, "HOT_TOTAL", 10)
+    plain = frame
+    monkeypatch.setitem(globals(), "frame", lambda *x: plain(*x).coalesce(1))  # one chunk, where the anchor is hot
+    assert len(pairs) > 2 * suffix_dedup.HOT_CLASSES and check_spans(spark, pairs) > 0
+
+
 def test_suffix_awkward(spark):
     d = H.awkward(spark)
     check_spans(spark, [(r.doc_id, r.text) for r in d.collect() if r.doc_id != 7 and len(r.text or "") < 10_000])
