@@ -1,5 +1,7 @@
 """Each stage on what its predecessor kept, against brute force."""
 
+import numpy as np
+
 import corpus_pipeline
 from lodeworks.llm import decontamination, line_dedup, minhash_dedup, quality_rules
 
@@ -53,3 +55,21 @@ def test_pipeline_of_awkward_documents(spark, sf, tmp_path):
             out = stage(spark, out, sf)
         assert out.count() <= part.count()
     assert decontamination.stage and line_dedup.stage and minhash_dedup.stage
+
+
+def test_changed_copies_make_no_pairs(spark, sf, monkeypatch):
+    """Copies of one text, each with its own changed words: near-dedup keeps what brute force keeps, and the pairs beside those with heads grow with the copies, not with their square."""
+    rng = np.random.default_rng(6)
+    pairs = []
+    for i in range(90):
+        words = [f"t{k}" for k in range(200)]
+        for at in rng.choice(200, 1 + i % 9, replace=False):
+            words[at] = f"a{i}x{at}"
+        pairs.append((i, " ".join(words)))
+    seen = []
+    test = minhash_dedup.Linker.test
+    monkeypatch.setattr(minhash_dedup.Linker, "test", lambda self, pairs_, name: (seen.append((name, pairs_.count())), test(self, pairs_, name))[1])
+    stage = dict(corpus_pipeline.STAGES)["minhash_dedup"]
+    got = {r.doc_id for r in stage(spark, spark.createDataFrame(pairs, "doc_id long, text string"), sf).collect()}
+    assert got == {d for (d, _), (_, c) in zip(pairs, H.groups(pairs, 5, 80), strict=True) if c == d} and 10 < len(got) < 80
+    assert sum(n for name, n in seen if name not in ("first", "heads")) <= 2 * len(pairs), seen
