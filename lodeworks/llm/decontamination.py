@@ -93,7 +93,9 @@ def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
         return docs.select("doc_id", F.lit(0).cast("long").alias("_t"), F.lit(0).alias("at"), F.lit(0).alias("len"), F.lit("").alias("wid")).where("false")
     if many <= MAX_BROADCAST and sum(r.bytes for r in of_length) <= MAX_BYTES:
         found = _positions(docs, lengths, False).join(F.broadcast(_with_key(windows, False)), "key").where(F.col("len") == F.col("_len"))
-        return found.where(_same(F.col("_orig"), F.col("at"), F.col("len"), F.col("words"))).select(*KEY, "at", "len", "wid")
+        # each begins with the other: an equality would become a key of the join, and all words of the window be put together at every position
+        own = ascii_lower(F.array_join(F.slice("_orig", F.col("at") + 1, F.col("len")), " "))
+        return found.where(own.startswith(F.col("words")) & F.col("words").startswith(own)).select(*KEY, "at", "len", "wid")
     lookup = materialize(_with_key(windows, True), "lookup")
     places = _positions(docs, lengths, True).drop("_orig").distinct()  # distinct: repeated rows of a document
     blocks = max(1, -(-many // url_filters.URLS_PER_BLOCK))

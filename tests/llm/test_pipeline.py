@@ -1,5 +1,7 @@
 """Each stage on what its predecessor kept, against brute force."""
 
+import re
+
 import numpy as np
 
 import corpus_pipeline
@@ -73,3 +75,16 @@ def test_changed_copies_make_no_pairs(spark, sf, monkeypatch):
     got = {r.doc_id for r in stage(spark, spark.createDataFrame(pairs, "doc_id long, text string"), sf).collect()}
     assert got == {d for (d, _), (_, c) in zip(pairs, H.groups(pairs, 5, 80), strict=True) if c == d} and 10 < len(got) < 80
     assert sum(n for name, n in seen if name not in ("first", "heads")) <= 2 * len(pairs), seen
+
+
+def test_words_are_compared_where_the_key_fits(spark, sf, tmp_path):
+    """Decontamination puts the words of a window together at the few places where its hash is found, not at every position as a key of the join; and compares them exactly."""
+    item = "a0 a1 a2 a3 a4 Éa5 a6 a7 a8 a9"
+    texts = [item, item.upper().replace("É", "é"), "x " + item.replace(" ", ", ").upper(), item.replace("a3", "a33"), item.replace("a3", "a"), item.replace("a3 ", ""), item.replace("a1 a2", "a2 a1"), item.replace("É", "È")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    windows, _, _ = decontamination.benchmark_windows(spark.createDataFrame([("i", item)], "item_id string, text string"))
+    windows.write.parquet(f"{tmp_path}/windows")
+    found = decontamination.hits(docs, spark.read.parquet(f"{tmp_path}/windows"))
+    joins = re.findall(r"BroadcastHashJoin (.*?), Inner", found._jdf.queryExecution().executedPlan().toString())
+    assert joins and not any("_orig" in keys for keys in joins), joins
+    assert sorted((r.doc_id, r.at) for r in found.collect()) == [(0, 0), (2, 1)]
