@@ -22,13 +22,14 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import hashlib
-import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,11 +39,12 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, ALPHA, SHIFT, SEED = 2, 1.0, 10.0, 9
 BATCH_CHARS = 250_000
 MARK, LITERAL = "▁", "\ud801"
-PARTS = re.compile(f"\n|{MARK}[^{MARK}\n]*|[^{MARK}\n]+")
 U64 = np.uint64
 GOLD, MUL = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9)
 TABLE_BITS = 20
 LEAST = float(np.finfo(np.float32).tiny)
+#: Steps of more characters are rare; only nodes that have one are worked out to a lattice's full width.
+NEAR = 8
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -79,23 +81,25 @@ class Pieces:
         self.ids = np.array([i for _, i, _ in found], np.int32)
         self.weights = (1 / (np.array([r for _, _, r in found]) + SHIFT)) ** alpha
         self.byte_weight = float((1 / (n + SHIFT)) ** alpha)
-        self.keys = np.array([self._hash(p) for p, _, _ in found], np.uint64)
-        assert len(set(self.keys.tolist())) == len(found)
-        # two tables of places; the second takes what collides in the first
-        self.tables = [np.zeros(1 << TABLE_BITS, np.int32) for _ in range(2)]
-        self.shifts = [U64(64 - TABLE_BITS), U64(24)]
-        self.rest: dict[int, int] = {}
-        for j, key in enumerate(self.keys):
-            for table, slot in zip(self.tables, self._slots(self.keys[j : j + 1]), strict=True):
-                if not table[slot[0]]:
-                    table[slot[0]] = j + 1
-                    break
-            else:
-                self.rest[int(key)] = j
+        # what pieces begin with has a place too, behind the pieces', so that a search can end where no piece goes on
+        begun = {p[:l] for p, _, _ in found for l in range(1, len(p))}
+        strings = [p for p, _, _ in found]
+        strings += sorted(begun.difference(strings))
+        self.goes_on = np.array([p in begun for p in strings])
+        self.keys = np.array([self._hash(p) for p in strings], np.uint64)
+        assert len(set(self.keys.tolist())) == len(strings)
+        # tables of places; each takes what collides in those before
+        self.tables = [np.zeros(1 << TABLE_BITS, np.int32) for _ in range(3)]
+        self.shifts = [U64(64 - TABLE_BITS), U64(24), U64(4)]
+        over = np.arange(len(self.keys))
+        for table, shift in zip(self.tables, self.shifts, strict=True):
+            slots = (self.keys[over] * MUL >> shift & U64((1 << TABLE_BITS) - 1)).astype(np.int64)
+            firsts = np.unique(slots, return_index=True)[1]
+            table[slots[firsts]] = over[firsts] + 1
+            over = np.delete(over, firsts)
+        self.rest = dict(zip(self.keys[over].tolist(), over.tolist(), strict=True))
         self.rest_keys = np.array(sorted(self.rest), np.uint64)
-        self.blob = np.frombuffer(b"".join(self.bytes), np.uint8)
-        self.sizes = np.array([len(b) for b in self.bytes], np.int32)
-        self.starts = np.cumsum(self.sizes, dtype=np.int32) - self.sizes
+        self.texts = np.array(self.bytes, object)
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -105,15 +109,11 @@ class Pieces:
             h ^= h >> 29
         return h
 
-    def _slots(self, keys: np.ndarray) -> list[np.ndarray]:
-        mixed = keys * MUL
-        return [(mixed >> s & U64((1 << TABLE_BITS) - 1)).astype(np.int64) for s in self.shifts]
-
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys are pieces, and their places among ids and weights."""
+        """Which keys are pieces or what pieces begin with, and their places. Those among ids and weights are pieces."""
         hits, places, ask = [], [], None
         for table, shift in zip(self.tables, self.shifts, strict=True):
-            # the second table has only pieces whose slot in the first is another's
+            # the next table has only what has another's slot in this one
             mixed = (keys if ask is None else keys[ask]) * MUL
             mixed >>= shift
             mixed &= U64((1 << TABLE_BITS) - 1)
@@ -132,9 +132,7 @@ class Pieces:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The UTF-8 text of piece ids, without the space in front."""
-        sizes = self.sizes[ids]
-        ends = np.cumsum(sizes)
-        return self.blob[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()[1:]
+        return b"".join(self.texts.take(ids).tolist())[1:]
 
 
 class Lattice:
@@ -145,6 +143,8 @@ class Lattice:
     Nodes stand by the number of characters left, the longest words first, so that the nodes of one backward step are a slice, and so are those
     with l characters left or more."""
 
+    AT_ONCE = 8192
+
     def __init__(self, words: list[str], pieces: Pieces) -> None:
         self.length = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(-self.length, kind="stable")
@@ -160,63 +160,103 @@ class Lattice:
         spot = self.start[left] + np.repeat(self.rank, self.length)
         self.code, self.left, self.word = np.empty(n, np.uint32), np.empty(n, np.int64), np.empty(n, np.int64)
         self.code[spot], self.left[spot], self.word[spot] = text, left, np.repeat(self.rank, self.length)
-        self.piece = np.full((n, top), -2, pieces.id_type)
-        weight = np.zeros((n, top), np.float32)
+        piece, weight = np.full((top, n), -2, pieces.id_type), np.zeros((top, n), np.float32)  # by length while they are made
         following = self.start[self.left - 1] + self.word
-        at, h = np.arange(n), np.zeros(n, np.uint64)
+        far = np.zeros(n, bool)
+        node = at = np.arange(n)
+        h = np.zeros(n, np.uint64)
         for l in range(1, min(top, longest) + 1):
-            skip = int(self.start[l]) - (n - len(at))  # those with fewer than l characters left
-            at, h = at[skip:], h[skip:]
             h = (h + self.code[at] + U64(1)) * GOLD
             h ^= h >> U64(29)
             hit, j = pieces.find(h)
-            hit += n - len(at)
-            self.piece[hit, l - 1] = pieces.ids[j]
-            weight[hit, l - 1] = pieces.weights[j]
-            at = following[at]
-        spelled = np.flatnonzero(self.piece[:, 0] == -2)
+            whole = j < len(pieces.ids)
+            ends, j_ = node[hit[whole]], j[whole]
+            piece[l - 1, ends] = pieces.ids[j_]
+            weight[l - 1, ends] = pieces.weights[j_]
+            if l > NEAR:
+                far[ends] = True
+            hit = hit[pieces.goes_on[j]]
+            hit = hit[self.left[at[hit]] > 1]
+            node, at, h = node[hit], following[at[hit]], h[hit]
+        spelled = np.flatnonzero(piece[0] == -2)
         self.size = 1 + (self.code >= 0x80).astype(np.int64) + (self.code >= 0x800) + (self.code >= 0x10000)
-        self.piece[spelled, 0] = -1
-        weight[spelled, 0] = pieces.byte_weight ** self.size[spelled].astype(np.float64)
-        # backward, all words at once: ratio[w, j] is the mass of paths from j characters on over that from here
-        ratio = np.zeros((len(words), top + 1))
-        ratio[:, 0] = 1
-        self.reach, self.rest = np.ones((n, top), np.float32), np.zeros(n, np.float32)
+        piece[0, spelled] = -1
+        weight[0, spelled] = pieces.byte_weight ** self.size[spelled].astype(np.float64)
+        self.piece = np.ascontiguousarray(piece.T)
+        # backward, all words at once: ratio[j, w] is the mass of paths from j characters on over that from here
+        ratio = np.zeros((top + 1, len(words)))
+        ratio[0] = 1
+        share, wider = np.zeros((min(NEAR, top), n)), []
         for d in range(1, longest + 1):
             a, b, m, wide = int(self.start[d]), int(self.start[d + 1]), int(live[d]), min(d, top)
-            share = weight[a:b, :wide] * ratio[:m, :wide]
-            total = share.sum(axis=1, keepdims=True)
-            share /= total
-            np.maximum(share, LEAST, out=share, where=share > 0)
-            weight[a:b, :wide] = share
-            np.cumsum(share, axis=1, out=self.reach[a:b, :wide])
-            share[np.arange(m), share.argmax(axis=1)] = 0
-            self.rest[a:b] = share.sum(axis=1)
-            ratio[:m, 1 : wide + 1] = ratio[:m, :wide] / total
-            ratio[:m, 0] = 1
-        self.step = weight
+            near = min(wide, NEAR)
+            some = np.multiply(weight[:near, a:b], ratio[:near, :m], out=share[:near, a:b])
+            total = self._sum(some)
+            if wide > near and len(more := np.flatnonzero(far[a:b])):
+                whole = np.zeros((top, len(more)))
+                whole[:wide] = weight[:wide, a + more] * ratio[:wide, more]
+                total[more] = self._sum(whole)
+                wider.append((a + more, whole / total[more]))
+            some /= total
+            ratio[1 : wide + 1, :m] = ratio[:wide, :m] / total
+            ratio[0, :m] = 1
+        self.step, self.reach, self.rest = np.zeros((n, top), np.float32), np.empty((n, top), np.float32), np.empty(n, np.float32)
+        for a in range(0, n, self.AT_ONCE):
+            self._settle(slice(a, a + self.AT_ONCE), share[:, a : a + self.AT_ONCE])
+        for rows, whole in wider:
+            self._settle(rows, whole)
+        self.reach[: self.start[min(longest + 1, top)], -1] = 1  # beyond a word's end, where a rounded number may lead
         self.row = self.left  # where start has the nodes with as many characters left
         self.firsts = self.start[self.length] + self.rank
 
+    @staticmethod
+    def _sum(x: np.ndarray) -> np.ndarray:
+        """The sum of rows."""
+        if len(x) < 8:
+            return x.sum(axis=0)
+        x = [x[i] + x[i + 8] for i in range(8)] if len(x) == 16 else [*x[:8], *x[8:]]
+        total = ((x[0] + x[1]) + (x[2] + x[3])) + ((x[4] + x[5]) + (x[6] + x[7]))
+        for more in x[8:]:
+            total += more
+        return total
+
+    def _settle(self, nodes: slice | np.ndarray, share: np.ndarray) -> None:
+        """Fills in step, reach and rest of nodes from the probabilities of their first steps; all others are 0."""
+        low = share < LEAST
+        low &= share > 0
+        if low.any():
+            share[low] = LEAST
+        reach = np.empty((share.shape[1], self.reach.shape[1]), np.float32)
+        self.step[nodes, : len(share)] = share.T
+        total, top, greatest = np.zeros(share.shape[1], np.float32), share.max(axis=0), np.zeros(share.shape[1], np.int8)
+        for i, column in enumerate(share):
+            total += column.astype(np.float32)
+            reach[:, i] = total
+        reach[:, len(share) :] = total[:, None]
+        self.reach[nodes] = reach
+        for i in range(len(share) - 1, -1, -1):
+            np.putmask(greatest, share[i] == top, i)
+        share[greatest, np.arange(share.shape[1])] = 0
+        self.rest[nodes] = self._sum(share)
+
     def on(self, node: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The node size characters on; only where some are left."""
         return self.start[self.row[node] - size] + self.word[node]
 
     def joined(self, other: Lattice, rooms: dict[str, np.ndarray]) -> Lattice:
-        """This lattice's words and then other's, in rooms where this one's large tables stand in front already."""
+        """This lattice's words and then other's, in rooms where this one's tables stand in front already."""
         both = object.__new__(Lattice)
         n, m = len(self.code), len(other.code)
-        for name in ("step", "reach", "piece"):
+        for name in ("step", "reach", "piece", "code", "left", "word", "size", "rest", "row"):
             mine, more = getattr(self, name), getattr(other, name)
             if name not in rooms or len(rooms[name]) < n + m:
-                rooms[name] = np.empty((n + m + m // 2, mine.shape[1]), mine.dtype)
+                rooms[name] = np.empty((n + m + m // 2, *mine.shape[1:]), mine.dtype)
                 rooms[name][:n] = mine
             rooms[name][n : n + m] = more
             setattr(both, name, rooms[name][: n + m])
-        for name in ("code", "left", "word", "size", "length", "rest"):
-            setattr(both, name, np.concatenate([getattr(self, name), getattr(other, name)]))
+        both.row[n:] += len(self.start)
         both.start = np.concatenate([self.start, other.start + n])
-        both.row = np.concatenate([self.row, other.row + len(self.start)])
+        both.length = np.concatenate([self.length, other.length])
         both.firsts = np.concatenate([self.firsts, other.firsts + n])
         return both
 
@@ -224,7 +264,7 @@ class Lattice:
 class Words:
     """Lattices of a batch's words. Those that came up again and again in the first batches are kept, which saves time and changes nothing else."""
 
-    LEARN, MOST = 16, 20_000
+    LEARN, MOST = 16, 40_000
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces, self.batches = pieces, 0
@@ -233,21 +273,39 @@ class Words:
         self.kept: Lattice | None = None
         self.rooms: dict[str, np.ndarray] = {}
 
-    def lattice(self, parts: list[str]) -> tuple[Lattice, dict[str, int]]:
-        distinct = dict.fromkeys(parts)
+    def lattice(self, words: list[str], counts: np.ndarray) -> tuple[Lattice, np.ndarray]:
+        """The lattice of distinct words, which came up so many times, and their places in it."""
         if self.batches < self.LEARN:
             self.batches += 1
-            self.counts.update(parts)
+            self.counts.update(dict(zip(words, counts.tolist(), strict=True)))
         elif self.kept is None:
-            often = [w for w, n in self.counts.most_common(self.MOST) if n > 1 and len(w) < 64]
+            often = sorted((w for w, n in self.counts.items() if n > 1 and len(w) < 64), key=self.counts.__getitem__, reverse=True)[: self.MOST]
             self.counts.clear()
             self.ids, self.kept = dict(zip(often, range(len(often)), strict=True)), Lattice(often, self.pieces)
         if self.kept is None:
-            return Lattice(list(distinct), self.pieces), dict(zip(distinct, range(len(distinct)), strict=True))
-        new = [w for w in distinct if w not in self.ids]
-        known = dict(self.ids)
-        known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-        return self.kept.joined(Lattice(new, self.pieces), self.rooms), known
+            return Lattice(words, self.pieces), np.arange(len(words))
+        places = np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(places < 0)
+        places[new] = np.arange(len(self.ids), len(self.ids) + len(new))
+        return self.kept.joined(Lattice([words[i] for i in new.tolist()], self.pieces), self.rooms), places
+
+
+def parts_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct parts of texts, the place of each part among these, and how many parts each text has. A part is a line's end, or what goes from a word mark or a
+    line's start to the next one."""
+    raw = pa.array([b" " + t.encode("utf-8", "surrogatepass") if t else b"" for t in texts], pa.large_binary())
+    cut = pc.replace_substring(pc.replace_substring(raw, b" ", b"\xff "), b"\n", b"\xff\n\xff")  # a byte that UTF-8 doesn't have
+    found = pc.split_pattern(cut, b"\xff")
+    parts, sizes = found.flatten(), pc.list_value_length(found).to_numpy(zero_copy_only=False)
+    full = pc.greater(pc.binary_length(parts), 0)
+    text = np.repeat(np.arange(len(texts)), sizes)[full.to_numpy(zero_copy_only=False)]
+    coded = parts.filter(full).dictionary_encode()
+    # all as one string, line by line; the line's end itself is the empty line
+    lines = pc.if_else(pc.equal(coded.dictionary, b"\n"), b"", coded.dictionary)
+    joined = pc.binary_join(pa.ListArray.from_arrays([0, len(lines)], lines), pa.scalar(b"\n", lines.type))[0].as_py()
+    distinct = joined.decode("utf-8", "surrogatepass").replace(MARK, LITERAL).replace(" ", MARK).split("\n") if len(lines) else []
+    distinct = [w or "\n" for w in distinct]
+    return distinct, coded.indices.to_numpy().astype(np.int64), np.bincount(text, minlength=len(texts))
 
 
 @lru_cache(maxsize=1)
@@ -308,15 +366,9 @@ class Search:
 
     def __init__(self, texts: list[str], keys: list[int | None], words: Words, samples: int = SAMPLES, seed: int = SEED) -> None:
         self.pieces, self.samples, self.floor = words.pieces, samples, self.FLOOR
-        parts: list[str] = []
-        counts: list[int] = []
-        for text in texts:
-            found = PARTS.findall(MARK + text.replace(MARK, LITERAL).replace(" ", MARK)) if text else []
-            parts += found
-            counts.append(len(found))
-        self.lattice, known = words.lattice(parts)
-        self.word = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
-        self.counts = np.array(counts, np.int64)
+        distinct, part, self.counts = parts_of(texts)
+        self.lattice, places = words.lattice(distinct, np.bincount(part, minlength=len(distinct)))
+        self.word = places[part]
         self.text = np.repeat(np.arange(len(texts)), self.counts)
         length = self.lattice.length[self.word]
         place = np.cumsum(length) - length
@@ -332,7 +384,7 @@ class Search:
             size = (self.lattice.reach.take(node, axis=0) > u[:, None]).argmax(axis=1) + 1
             left = self.lattice.left[node]
             np.minimum(size, left, out=size)
-            chance = self.lattice.step[node, size - 1]
+            chance = self.lattice.step.reshape(-1).take(node * self.lattice.step.shape[1] + size - 1)
             odd = np.flatnonzero(chance <= 0)  # rounding at a row's end
             if len(odd):
                 size[odd] = self.lattice.step[node[odd]].argmax(axis=1) + 1
@@ -367,12 +419,12 @@ class Search:
 
     def leave(self, path: int, p: Path, top: np.ndarray, since: np.ndarray) -> np.ndarray:
         """Values of the sets of paths that leave p at each step, from step number `since` of each text on."""
-        number = np.arange(len(p.node)) - p.first[p.text]
         value = np.full(len(p.node), -np.inf)
-        others = self.lattice.rest[p.node].astype(np.float64)
-        m = np.flatnonzero((p.before >= self.floor) & (number >= since[p.text]) & (others > 0))
-        chance = p.chance[m]
-        mass = p.before[m] + np.log(np.where(chance > 0.5, others[m], 1 - chance))
+        m = np.flatnonzero(p.before >= self.floor)
+        m = m[m - p.first[p.text[m]] >= since[p.text[m]]]
+        m = m[self.lattice.rest[p.node[m]] > 0]
+        chance, others = p.chance[m], self.lattice.rest[p.node[m]].astype(np.float64)
+        mass = p.before[m] + np.log(np.where(chance > 0.5, others, 1 - chance))
         value[m] = self.gumbel_under(mass, top[p.text[m]], uniform(self.seed, p.text[m], path, p.place[m], 1))
         return value
 
@@ -394,7 +446,8 @@ class Search:
                 top = np.full(n, -np.inf)
                 if some.any():
                     top[some] = np.maximum.reduceat(v, p.first[some])
-                at_top = np.flatnonzero((v == top[p.text]) & np.isfinite(v))
+                at_top = np.flatnonzero(np.isfinite(v))
+                at_top = at_top[v[at_top] == top[p.text[at_top]]]
                 spot = np.zeros(n, np.int64)
                 spot[p.text[at_top[::-1]]] = at_top[::-1]
                 better = top > best
@@ -468,16 +521,22 @@ class Search:
         t = self.text[inside]
         own = (inside, np.zeros(len(inside), np.int64), node[t], start[t], edge_end[t], chances[t])
         steps = tuple(np.concatenate([a, b]) for a, b in zip(own, (token, number + split[token], *rest), strict=True))
-        heads = [(p, np.flatnonzero((source[p.text] == j) & (np.arange(len(p.node)) - p.first[p.text] < upto[p.text]))) for j, p in enumerate(paths)]
+        heads = []
+        for j, p in enumerate(paths):
+            many = np.where(source == j, upto, 0)
+            heads.append((p, np.arange(many.sum()) + np.repeat(p.first - (np.cumsum(many) - many), many)))
         return self.assemble(steps, heads, upto)
 
     def ids(self, p: Path) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts, and how many each has."""
-        piece = self.lattice.piece[p.node, p.size - 1].astype(np.int32)
-        many = np.where(piece < 0, self.lattice.size[p.node], 1)
-        out = np.repeat(piece, many)
+        out = self.lattice.piece.reshape(-1).take(p.node.astype(np.int64) * self.lattice.piece.shape[1] + p.size - 1).astype(np.int32)
+        spelled = np.flatnonzero(out < 0)
+        if not len(spelled):
+            return out, p.counts
+        many = np.ones(len(out), np.int64)
+        many[spelled] = self.lattice.size[p.node[spelled]]
         spots = np.cumsum(many) - many
-        spelled = np.flatnonzero(piece < 0)
+        out = np.repeat(out, many)
         code = self.lattice.code[p.node[spelled]].astype(np.int64)
         code[code == ord(LITERAL)] = ord(MARK)
         spots, many_ = spots[spelled], many[spelled]
@@ -486,7 +545,7 @@ class Search:
             for k in range(size):
                 part = code[m] >> (6 * (size - 1 - k))
                 out[spots[m] + k] = self.pieces.byte[lead | part if k == 0 else 0x80 | (part & 0x3F)]
-        return out, np.bincount(p.text, weights=many, minlength=len(self.counts)).astype(np.int64)
+        return out, p.counts + np.bincount(p.text[spelled], weights=many_ - 1, minlength=len(self.counts)).astype(np.int64)
 
 
 def sample(texts: list[str], keys: list[int | None], words: Words, samples: int = SAMPLES, seed: int = SEED) -> list[list[tuple[np.ndarray, float, float, float]]]:

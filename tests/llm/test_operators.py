@@ -712,6 +712,32 @@ def test_pieces_of_kept_words(pieces):
     assert words.kept is not None and "▁the" in words.ids and "▁other" in words.ids
 
 
+def test_pieces_lattice_asks_only_where_a_piece_goes_on(pieces, monkeypatch):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=piece_sampling.MODEL)
+    known = {model.id_to_piece(int(i)): int(i) for i in pieces.ids}
+    begun = {p[:n] for p in known for n in range(1, len(p))}
+    words = ["▁international", "▁qxzjvkwpqxzjvkwpq", "日本語x", "\n", "a" * 300, "▁the", "▁Wissenschaft"]
+    asked, find = [], piece_sampling.Pieces.find
+    monkeypatch.setattr(piece_sampling.Pieces, "find", lambda self, keys: asked.append(len(keys)) or find(self, keys))
+    lattice = piece_sampling.Lattice(words, pieces)
+    assert sum(asked) == sum(n == 1 or w[i : i + n - 1] in begun for w in words for i in range(len(w)) for n in range(1, min(pieces.longest, len(w) - i) + 1))
+    for w, node in zip(words, lattice.firsts, strict=True):
+        for i in range(len(w)):
+            want = [known.get(w[i : i + n], -1 if n == 1 else -2) if i + n <= len(w) else -2 for n in range(1, pieces.longest + 1)]
+            assert lattice.piece[node].tolist() == want and ((lattice.step[node] > 0) == (lattice.piece[node] > -2)).all() and math.isclose(lattice.step[node].sum(), 1, abs_tol=1e-5)
+            node = lattice.on(node, 1) if i + 1 < len(w) else node
+
+
+def test_pieces_parts_of_texts():
+    texts = ["", "a", " a  b ", "x\n\ty▁z", "\n\n", " ", "퟿日本語 😀 ñ\x00\n a", "ÿ \n ÿ", "a"]
+    distinct, part, counts = piece_sampling.parts_of(texts)
+    want = [re.findall("\n|▁[^▁\n]*|[^▁\n]+", "▁" + t.replace("▁", piece_sampling.LITERAL).replace(" ", "▁")) if t else [] for t in texts]
+    assert [distinct[i] for i in part] == [w for x in want for w in x] and counts.tolist() == list(map(len, want)) and len(set(distinct)) == len(distinct)
+    assert all(len(x) == 0 for x in piece_sampling.parts_of([])) and piece_sampling.parts_of(["", ""])[2].tolist() == [0, 0]
+
+
 def test_pieces_awkward(spark):
     got = piece_sampling.sample_documents(H.awkward(spark)).collect()
     assert len(got) == 13 and [r.samples for r in got if r.doc_id == 2] == [None]
