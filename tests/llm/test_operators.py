@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -451,6 +452,21 @@ def test_warc_damage_is_found(spark, tmp_path):
             warc.read_index(spark, str(tmp_path / name)).collect()
 
 
+def test_warc_writing_leaves_no_shuffle_files(spark, tmp_path):
+    def files():
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {n for i in range(blocks.length()) if re.fullmatch(r"shuffle_\d+_.*\.data", n := blocks.apply(i).name())}
+
+    before, setting = files(), spark.conf.get(warc.CLEANUP, None)
+    r = spark.range(300).select(F.col("id").alias("record_id"), F.lit("u").alias("target"), (F.col("id") % 200).cast("string").alias("payload"))
+    warc.write_archive(r, str(tmp_path / "a"))
+    end = time.time() + 10
+    while files() - before and time.time() < end:  # Spark deletes them a moment later
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(warc.CLEANUP, None) == setting
+    assert warc.read_index(spark, str(tmp_path / "a")).where("record_type = 'revisit'").count() == 100
+
+
 def test_warc_of_no_pages(spark, sf, tmp_path):
     for name in ("pages",):
         spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
