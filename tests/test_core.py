@@ -53,6 +53,24 @@ def test_pages_by_token(base):
         search.unseal(token, b, b"other")
 
 
+def test_pages_read_ahead(base):
+    """Pages and tokens are those of single queries, also after a jump back, to another order, and to a first page again."""
+    d, r = base
+    b, ahead = search.Binding("me", d.index_id, 1, "q", 1, 1), search.Ahead()
+
+    def both(order, token):
+        one, two = (search.fetch(r, d, b, b"s", order=order, limit=1, token=token, ahead=a) for a in (None, ahead))
+        assert one == two
+        return two[1]
+
+    down, up = (("priority", True),), (("state", False), ("priority", False))
+    first = both(down, None)
+    second = both(down, first)
+    assert both(down, first) == second and both(up, None) != first
+    third = both(down, second)
+    assert both(down, third) is None and both(down, None) == first
+
+
 def test_json_edges(spark):
     d = Builder(Definition("x")).signed("i", E, pointer="/a~1b/0").unsigned("u", E).floating("f", E).keyword("k", E, multi=True).build()
     bodies = ['{"a/b":[7],"u":18446744073709551615,"f":-0.0,"k":["b","a","b",null]}', '{"u":-1}', '{"f":1,"k":"x"}', "{}", '{"u":null,"k":[]}', '{"i":1} x', "[" * 200 + "]" * 200, '{"f":2,"f":3}', "nonsense", '{"k":[["x"]]}', '{"u":1.0}', '{"f":"1"}']

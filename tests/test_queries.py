@@ -82,6 +82,18 @@ def test_next_token_counts_pages_of_50(spark, sf, monkeypatch):
     assert set(limits) == {50} and got.pages == len(limits) == got.hits // 50 + 1 and got.last_is_short
 
 
+def test_next_token_reads_ahead(spark, sf):
+    """41 pages cost far fewer jobs than pages."""
+    sc = spark.sparkContext
+    sc.setJobGroup("r08", "pages")
+    try:
+        got = Q.QUERIES["r08_next_token"](spark, sf.replace("sf0.001", "sf0.01")).first()
+        jobs = len(sc.statusTracker().getJobIdsForGroup("r08"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got.pages == 41 and 1 < jobs < 20
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
