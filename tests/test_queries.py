@@ -94,6 +94,12 @@ def test_next_token_reads_ahead(spark, sf):
     assert got.pages == 41 and 1 < jobs < 20
 
 
+def test_verify_normalises_once(spark, sf):
+    """The join of o05_verify works no package's name out, on neither side."""
+    plan = Q.QUERIES["o05_verify"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "regexp_replace" not in plan
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
