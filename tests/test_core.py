@@ -1,12 +1,13 @@
 """Edge cases of the core library, in the shapes of the reference's own tests."""
 
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodeworks.functions import scalar as X
-from lodeworks.operators import authz, compute, grouplog, programs, projection, search, textindex
+from lodeworks.operators import advisories, authz, compute, grouplog, programs, projection, search, textindex
 from lodeworks.operators import predicate as Q
 from lodeworks.plans import lineage
 from lodeworks.plans.catalog import Document
@@ -374,3 +375,17 @@ def test_block_max_reads_less_and_finds_the_same(spark, tmp_path):
     assert {x.result_path for x in ix.phrase("text", "b a c").collect()} == {p for p, t, _ in rows if " b a c " in f" {' '.join(t)} "}
     with pytest.raises(Invalid):
         ix.search(["other"], "a")
+
+
+def test_shards_without_bodies(spark):
+    """Against running sums, with bodies that are null; what doesn't need the bodies reads and shuffles none."""
+    made = [("abc"[i % 3], f"{i:04}", None if i % 97 == 5 else "x" * (i * 7 % 50)) for i in range(900)]
+    got = files.shards(spark.createDataFrame(made, "partition string, id string, body string").repartition(5), shard_bytes=300)
+    want, total = {}, {}
+    for p, i, body in sorted(made, key=lambda r: r[1]):
+        want[p, i] = total.get(p, 0) // 300
+        total[p] = total.get(p, 0) + (0 if body is None else len(body) + 1)
+    assert {(r.partition, r.id): r["shard"] for r in got.collect()} == want
+    sums = got.groupBy("partition", "shard").agg(F.sum("bytes").alias("n"))
+    assert sums.groupBy("partition").agg(F.sum("n")).rdd.collectAsMap() == total
+    assert "body#" not in sums._jdf.queryExecution().executedPlan().toString()
