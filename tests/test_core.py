@@ -389,3 +389,12 @@ def test_shards_without_bodies(spark):
     sums = got.groupBy("partition", "shard").agg(F.sum("bytes").alias("n"))
     assert sums.groupBy("partition").agg(F.sum("n")).rdd.collectAsMap() == total
     assert "body#" not in sums._jdf.queryExecution().executedPlan().toString()
+
+
+def test_manifest_is_one_pass(spark):
+    """Figures and digest of a shard come from one aggregation of its rows."""
+    r = spark.createDataFrame([("a", 0, "npm", "2024-01-01", "xy", "h2"), ("a", 0, "go", "unknown", "z", "h1")], "partition string, shard int, ecosystem string, day string, body string, content_hash string")
+    got = advisories.manifest(r)
+    row = got.first()
+    assert (row.documents, row.bytes, row.ecosystems, row.first_day, row.last_day) == (2, 5, ["go", "npm"], "2024-01-01", "unknown")
+    assert row.digest == hashlib.sha256(b"h1\nh2").hexdigest() and "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
