@@ -92,10 +92,25 @@ def _missing(token: str) -> Any:
 def json_set(doc: Any, pointer: str, value: Any) -> Any:
     """A copy with the value at the pointer: replaces or adds a key, replaces an element; the parent must exist."""
     path = tokens(pointer)
+    return _set(copy.deepcopy(doc), path, value) if path else copy.deepcopy(value)
+
+
+def json_remove(doc: Any, pointer: str) -> Any:
+    """A copy without what is at the pointer, which must be there."""
+    return _remove(copy.deepcopy(doc), tokens(pointer))
+
+
+def _parent(doc: Any, path: list[str]) -> Any:
+    for t in path[:-1]:
+        doc = doc[array_place(t, len(doc))] if isinstance(doc, list) else doc[t] if isinstance(doc, dict) else _missing(t)
+    return doc
+
+
+def _set(doc: Any, path: list[str], value: Any) -> Any:
+    """json_set() in place, of a pointer's tokens."""
     if not path:
-        return copy.deepcopy(value)
-    doc = copy.deepcopy(doc)
-    parent = json_select(doc, "".join("/" + t.replace("~", "~0").replace("/", "~1") for t in path[:-1]))
+        return value
+    parent = _parent(doc, path)
     if isinstance(parent, list):
         parent[array_place(path[-1], len(parent))] = value
     elif isinstance(parent, dict):
@@ -105,13 +120,11 @@ def json_set(doc: Any, pointer: str, value: Any) -> Any:
     return doc
 
 
-def json_remove(doc: Any, pointer: str) -> Any:
-    """A copy without what is at the pointer, which must be there."""
-    path = tokens(pointer)
+def _remove(doc: Any, path: list[str]) -> Any:
+    """json_remove() in place, of a pointer's tokens."""
     if not path:
         raise KeyError("")
-    doc = copy.deepcopy(doc)
-    parent = json_select(doc, "".join("/" + t.replace("~", "~0").replace("/", "~1") for t in path[:-1]))
+    parent = _parent(doc, path)
     if isinstance(parent, list):
         del parent[array_place(path[-1], len(parent))]
     elif isinstance(parent, dict):
@@ -228,11 +241,12 @@ def day(stamp: Column) -> Column:
 
 # --- functions of columns for edits, arithmetic, comparison and templates --------------------------------------------------
 def _edited(edit: Callable[..., Any]) -> Callable[..., Any]:
-    """A pandas UDF of JSON texts: canonical text after the edit; null where a text doesn't parse or the edit isn't possible."""
+    """Of a JSON text: canonical text after the edit of what was parsed, which nobody else holds; null where a text doesn't parse or the edit isn't possible."""
+    write = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
 
     def one(doc: str | None, *rest: str | None) -> str | None:
         try:
-            return None if doc is None else json.dumps(edit(json.loads(doc), *rest), ensure_ascii=False, separators=(",", ":"))
+            return None if doc is None else write(edit(json.loads(doc), *rest))
         except (KeyError, ValueError):
             return None
 
@@ -241,11 +255,11 @@ def _edited(edit: Callable[..., Any]) -> Callable[..., Any]:
 
 def set_column(doc: Column, pointer: str, value: Column) -> Column:
     """json_set() of a column; value: JSON text."""
-    tokens(pointer)
-    one = _edited(lambda d, v: json_set(d, pointer, json.loads(v)))
+    path = tokens(pointer)
 
     @F.pandas_udf("string")
     def run(docs: pd.Series, values: pd.Series) -> pd.Series:
+        one = _edited(lambda d, v: _set(d, path, json.loads(v)))
         return pd.Series([None if v is None else one(d, v) for d, v in zip(docs, values, strict=True)], dtype=object)
 
     return run(doc, value)
@@ -253,11 +267,11 @@ def set_column(doc: Column, pointer: str, value: Column) -> Column:
 
 def remove_column(doc: Column, pointer: str) -> Column:
     """json_remove() of a column."""
-    tokens(pointer)
-    one = _edited(lambda d: json_remove(d, pointer))
+    path = tokens(pointer)
 
     @F.pandas_udf("string")
     def run(docs: pd.Series) -> pd.Series:
+        one = _edited(lambda d: _remove(d, path))
         return pd.Series([one(d) for d in docs], dtype=object)
 
     return run(doc)

@@ -398,3 +398,10 @@ def test_manifest_is_one_pass(spark):
     row = got.first()
     assert (row.documents, row.bytes, row.ecosystems, row.first_day, row.last_day) == (2, 5, ["go", "npm"], "2024-01-01", "unknown")
     assert row.digest == hashlib.sha256(b"h1\nh2").hexdigest() and "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_column_edits_copy_nothing(spark):
+    """A document nested deeper than copy.deepcopy() can follow is edited all the same."""
+    deep = '{"b":1,"a":' + "[" * 450 + "]" * 450 + "}"
+    got = spark.createDataFrame([(deep,)], "d string").select(X.set_column(F.col("d"), "/b", F.lit("2")).alias("s"), X.remove_column(F.col("d"), "/b").alias("r")).first()
+    assert got.s == deep.replace('"b":1', '"b":2') and got.r == deep.replace('"b":1,', "")
