@@ -402,6 +402,6 @@ def test_manifest_is_one_pass(spark):
 
 def test_column_edits_copy_nothing(spark):
     """A document nested deeper than copy.deepcopy() can follow is edited all the same."""
-    deep = '{"b":1,"a":' + "[" * 450 + "]" * 450 + "}"
+    deep = '{"b":1,"a":' + "[" * 600 + "]" * 600 + "}"
     got = spark.createDataFrame([(deep,)], "d string").select(X.set_column(F.col("d"), "/b", F.lit("2")).alias("s"), X.remove_column(F.col("d"), "/b").alias("r")).first()
     assert got.s == deep.replace('"b":1', '"b":2') and got.r == deep.replace('"b":1,', "")
